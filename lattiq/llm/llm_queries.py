@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm.copies import canonical_id, canonical_word, copy_groups
+from lattiq.llm.canonical import map_to_list
 from lattiq.llm.groups import connected_groups, shared_value_links
+from lattiq.llm.overlap import record_overlaps
+from lattiq.operators.skew import join_groups
+from lattiq.plans.lineage import written
 from lattiq.sources.tables import table
 
 
@@ -27,6 +31,35 @@ def p2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge_copies(spark, sf_dir)[0].select(F.col("first_id").alias("edge_id"), "n_copies")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = table(spark, sf_dir, "do_diseases").select(F.col("mondo_id").alias("entry_id"), F.col("mondo_name").alias("name"))
+    edges = table(spark, sf_dir, "kg_df").filter("y_type = 'disease'").select(F.lit("kg_df.y_name").alias("field_name"), F.col("edge_id").alias("row_id"), F.col("y_name").alias("name"))
+    reps = table(spark, sf_dir, "table5_replication").select(F.lit("table5_replication.disease_name").alias("field_name"), F.col("rep_id").alias("row_id"), F.col("disease_name").alias("name"))
+    typed = written(edges.unionByName(reps).filter("name IS NOT NULL").join(listed.select("name"), "name", "left_anti"))
+    names = written(typed.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    mapped = names.join(map_to_list(names.select("name"), listed), "name")
+    return join_groups(typed, mapped, ["name"], "n", max(typed.count(), 1)).select("field_name", "row_id", F.col("entry_id").alias("mondo_id"))
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = table(spark, sf_dir, "test_pos")
+    sides = {"drug": "a", "disease": "b"}
+    test = test.select("test_id", "relation", *[F.col(f"{k}_{c}").alias(f"{s}_{c}") for k, s in sides.items() for c in ("index", "id", "name")])
+    return record_overlaps(table(spark, sf_dir, "train_triples"), test)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by split of the test pair and graph of the triple: test pairs concerned, triples, and links."""
+    found = _overlaps(spark, sf_dir)
+    split = table(spark, sf_dir, "test_pos").select("test_id", "split")
+    graph = table(spark, sf_dir, "train_triples").select("triple_id", "kg")
+    return found.join(split, "test_id").join(graph, "triple_id").groupBy("split", "kg").agg(F.count_distinct("test_id").alias("n_test"), F.count_distinct("triple_id").alias("n_triples"), F.count(F.lit(1)).alias("n_links"))
+
+
 def _drug_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     xref = table(spark, sf_dir, "drugbank_xref").select("drugbank_id", "namespace", "external_id")
     return connected_groups(shared_value_links(xref, "drugbank_id", ["namespace", "external_id"]))
@@ -40,7 +73,7 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drug_groups(spark, sf_dir).select(F.col("member").alias("drugbank_id"), F.col("group_id").alias("group_drugbank_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_report": p7_report}
 
 _CANON = r"""
         WITH w AS (
