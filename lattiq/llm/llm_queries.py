@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattiq.llm.copies import canonical_id, canonical_word, copy_groups
 from lattiq.llm.canonical import map_to_list
 from lattiq.llm.groups import connected_groups, shared_value_links
+from lattiq.llm.leaks import find_leaks
 from lattiq.llm.overlap import record_overlaps
 from lattiq.operators.skew import join_groups
 from lattiq.plans.lineage import written
@@ -73,7 +74,17 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drug_groups(spark, sf_dir).select(F.col("member").alias("drugbank_id"), F.col("group_id").alias("group_drugbank_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_report": p7_report}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked item with the number of documents that hold it and the most words of it that one holds."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("most_words"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items}
 
 _CANON = r"""
         WITH w AS (
