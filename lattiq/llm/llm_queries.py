@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lattiq.llm.copies import canonical_id, canonical_word, copy_groups
 from lattiq.llm.canonical import map_to_list
 from lattiq.llm.groups import connected_groups, shared_value_links
+from lattiq.llm.languages import NO_LABEL, language_segments
 from lattiq.llm.leaks import find_leaks
+from lattiq.llm.mixture import mix_sources, token_counts
 from lattiq.llm.overlap import record_overlaps
 from lattiq.operators.skew import join_groups
 from lattiq.plans.lineage import written
@@ -84,7 +86,38 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("most_words"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items}
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = written(token_counts(table(spark, sf_dir, "documents")))
+    return mix_sources(sizes, table(spark, sf_dir, "source_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_segments(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the documents whose label is missing, wrong or not the whole truth."""
+    segments = written(_segments(spark, sf_dir).select("doc_id", "seg_no", "lang"))
+    label = F.lower(F.trim(F.coalesce("lang", F.lit(""))))
+    labels = table(spark, sf_dir, "documents").select("doc_id", F.when(label.isin(*NO_LABEL), None).otherwise(label).alias("label"))
+    per = segments.groupBy("doc_id").agg(F.max("seg_no").alias("n"), F.min_by("lang", "seg_no").alias("first"))
+    odd = per.join(labels, "doc_id").filter((F.col("n") > 1) | F.col("label").isNull() | (F.col("label") != F.col("first"))).select("doc_id").distinct()
+    return segments.join(odd, "doc_id").select("doc_id", "seg_no", "lang").distinct()
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)
+
+
+QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments}
 
 _CANON = r"""
         WITH w AS (
