@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattiq.llm.copies import canonical_id, canonical_word, copy_groups
 from lattiq.llm.canonical import map_to_list
+from lattiq.llm.entities import match_entities
 from lattiq.llm.groups import connected_groups, shared_value_links
 from lattiq.llm.languages import NO_LABEL, language_segments
 from lattiq.llm.leaks import find_leaks
@@ -44,6 +45,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_groups(typed, mapped, ["name"], "n", max(typed.count(), 1)).select("field_name", "row_id", F.col("entry_id").alias("mondo_id"))
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_entities(table(spark, sf_dir, "nodes_df"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("node_key_a", "node_key_b")
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = table(spark, sf_dir, "test_pos")
     sides = {"drug": "a", "disease": "b"}
@@ -117,7 +126,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)
 
 
-QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments}
+QUERIES = {"p2_found": p2_found, "p2_edges": p2_edges, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_segments": p10_segments}
 
 _CANON = r"""
         WITH w AS (

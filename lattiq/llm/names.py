@@ -26,6 +26,7 @@ ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii":
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z]{2})")
 _WORD = re.compile(r"[^\W_]+\.?")
+_CONSONANTS = re.compile(r"(?<=[aeiouy])[^aeiouy\W\d_]{3,4}$")
 _TYPED = re.compile(r"(?:t|typ|type)?(\d+)")
 
 
@@ -55,6 +56,12 @@ def _is_subsequence(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
+def _whole_words(words: set[str]) -> frozenset[str]:
+    """words without those that are short forms of others."""
+    short = lambda w: any(len(v) > len(w) and v[0] == w[0] and len(w) <= 0.7 * len(v) and _is_subsequence(w, v) for v in words)
+    return frozenset(w for w in words if len(w) > 6 or not short(w))
+
+
 @dataclass(frozen=True)
 class Parsed:
     stem: str
@@ -75,18 +82,23 @@ class Lexicon:
         distinct = {fold(n) for n in names if n}
         counts = Counter(w for n in distinct for w in {x.rstrip(".") for x in _WORD.findall(n)})
         limit = max(at_least, least * len(distinct))
-        return cls(frozenset(w for w, n in counts.items() if n >= limit and len(w) > 2 and w.isalpha() and w not in WRAPPINGS))
+        return cls(_whole_words({w for w, n in counts.items() if n >= limit and len(w) > 2 and w.isalpha() and w not in WRAPPINGS}))
 
     def _class_words(self, token: str, short: bool) -> tuple[str, ...] | None:
-        """The class words that token stands for; short: a full stop follows, or the token is as short as an abbreviation."""
+        """The class words that token stands for, each as the shortest one of its family (transport for transporter)."""
+        found = self._written(token, short)
+        return found and tuple(min((v for v in self.words if len(v) > 5 and w.startswith(v)), key=len, default=w) for w in found)
+
+    def _written(self, token: str, short: bool) -> tuple[str, ...] | None:
+        """The class words that token is a way to write; short: a full stop follows, or it is as short as an abbreviation."""
         if token in self.words:
             return (token,)
         if token in SHORT_FORMS:
             return SHORT_FORMS[token]
         if token in SPELLINGS:
             return (SPELLINGS[token],)
-        if short and len(token) > 2:
-            if starts := [w for w in self.words if w.startswith(token)]:
+        if short and len(token) > 1:
+            if len(token) > 2 and (starts := [w for w in self.words if w.startswith(token)]):
                 return (min(starts),) if len(starts) == 1 else tuple(sorted(starts)[:1])
             if inside := [w for w in self.words if w[0] == token[0] and len(token) <= 0.7 * len(w) and _is_subsequence(token, w)]:
                 return (min(inside, key=lambda w: (len(w), w)),)
@@ -102,11 +114,17 @@ class Lexicon:
 
         short: a full stop follows, so that the end of token may be an abbreviation."""
         out, again = [], True
+        for w in ("the", "human"):
+            if token.startswith(w) and len(token) >= len(w) + 6:
+                token = token[len(w) :]
         if short:
             for n in range(min(8, len(token) - 6), 2, -1):
                 if starts := sorted(w for w in self.words if len(w) > n and w.startswith(token[-n:])):
                     token, out = token[:-n], starts[:1]
                     break
+        elif tail := _CONSONANTS.search(token):
+            if inside := [w for w in self.words if w[0] == tail.group()[0] and len(w) > 5 and _is_subsequence(tail.group(), w)]:
+                token, out = token[: tail.start()], [min(inside, key=lambda w: (len(w), w))]
         while again:
             again = False
             for w, meant in self._glue:
@@ -121,7 +139,7 @@ class Lexicon:
     def _glue(self) -> list[tuple[str, str]]:
         """What may be written together with a stem, longest first."""
         if (got := self._memo.get(_glue_key := ("glue",))) is None:
-            words = [(w, w) for w in self.words if len(w) >= 5] + [(w, m) for w, m in SPELLINGS.items() if m in self.words] + [("type", "type")]
+            words = [(w, w) for w in self.words if len(w) >= 4] + [(w, m) for w, m in SPELLINGS.items() if m in self.words] + [("type", "type")]
             got = self._memo[_glue_key] = sorted(words, key=lambda x: (-len(x[0]), x))
         return got
 
@@ -149,7 +167,7 @@ class Lexicon:
                 words.update(found)
             else:
                 rest, glued = self._unglued(token, raw.endswith("."))
-                words.update(glued)
+                words.update(w for g in glued for w in self._class_words(g, False) or ())
                 stem.append(rest)
         words.discard("type")
         return Parsed("".join(stem), frozenset(words), number)
@@ -164,7 +182,7 @@ def learn_lexicon(names: DataFrame, least: float = 0.005, at_least: int = 3) ->
     total = folded.count()
     counts = folded.select(F.explode(F.array_distinct(F.split("n", " "))).alias("w")).groupBy("w").count().filter(F.col("count") >= max(at_least, least * total))
     rows = counts.filter(F.col("w").rlike("^[a-z]{3,}$")).collect()
-    return Lexicon(frozenset(r.w for r in rows if r.w not in WRAPPINGS and r.w not in SPELLINGS))
+    return Lexicon(_whole_words({r.w for r in rows if r.w not in WRAPPINGS and r.w not in SPELLINGS}))
 
 
 def parse_names(names: DataFrame, lex: Lexicon) -> DataFrame:
