@@ -27,6 +27,7 @@ _OPENERS, _CLOSERS = frozenset("[{("), frozenset("]})")
 _QUOTES = frozenset("\"'")
 _BARE_STOP = re.compile(r"[,;|\s()\[\]{}]")
 _QUOTED_STOP = {q: re.compile(rf"[\\{q}]") for q in _QUOTES}
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
@@ -51,7 +52,10 @@ def _quoted(text: str, start: int) -> tuple[str, int] | None:
             parts.append(quote)
             at = here + 2
         elif not following or following.isspace() or following in _DELIMITERS or following in _CLOSERS:
-            return "".join(parts), here + 1
+            value = "".join(parts)
+            if _SURROGATE.search(value):  # escapes may spell one character as two
+                value = value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            return value, here + 1
         else:
             parts.append(quote)
             at = here + 1
