@@ -194,7 +194,8 @@ def parse_names(names: DataFrame, lex: Lexicon) -> DataFrame:
         return pd.DataFrame({"stem": [p.stem for p in parsed], "words": [" ".join(sorted(p.words)) for p in parsed], "number": [p.number for p in parsed]})
 
     kind = T.StructType([T.StructField("stem", T.StringType()), T.StructField("words", T.StringType()), T.StructField("number", T.LongType())])
-    return names.withColumn("__p", F.pandas_udf(parse, kind)(F.col("name"))).select(*names.columns, "__p.stem", "__p.words", "__p.number")
+    # called non-deterministic so that the optimizer does not repeat it for each field and filter
+    return names.withColumn("__p", F.pandas_udf(parse, kind).asNondeterministic()(F.col("name"))).select(*names.columns, "__p.stem", "__p.words", "__p.number")
 
 
 @lru_cache(maxsize=8)
