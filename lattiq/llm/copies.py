@@ -127,7 +127,7 @@ def copy_groups(rows: DataFrame, row_id: str, keys: list[Column], max_filter_byt
     flagged = written(hashed.withColumn("maybe", maybe).select("id", *[F.when(F.col("maybe"), F.col(n)).alias(n) for n in names], "maybe"))
     possible = flagged.filter("maybe").drop("maybe")
     groups = possible.groupBy(*names).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-    singles = flagged.filter(~F.col("maybe")).select(F.col("id").alias("first_id")).unionByName(keyed.filter(F.greatest(*[F.col(n).isNull().cast("int") for n in names]) == 1).select(F.col("id").alias("first_id")))
+    singles = flagged.filter(~F.col("maybe")).select(F.col("id").alias("first_id")).unionByName(keyed.filter(" OR ".join(f"{n} IS NULL" for n in names)).select(F.col("id").alias("first_id")))
     records = groups.select("first_id", "n_copies").unionByName(singles.withColumn("n_copies", F.lit(1).cast("bigint")))
     several = groups.filter("n_copies > 1")
     copies = join_groups(possible, several, names, "n_copies", max(total, 1)).filter("id <> first_id").select("first_id", F.col("id").alias("copy_id"))

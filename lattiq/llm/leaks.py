@@ -35,8 +35,10 @@ LEAST_WORDS = EXCERPT - EDITS
 OWN_SHARE = 0.6
 #: A word is rare (a name or figure, not customary) if at most so large a share of all documents has it beside any neighbour
 #: that it has in an item, and at most so large a share has it at all. An item without two such words, because it leaked
-#: into many documents itself, goes by its words that at most RARE_ITEMS of the items use.
-RARE_PAIR_SHARE, RARE_WORD_SHARE, LEAST_DOCUMENTS, RARE_ITEMS = 0.0012, 0.012, 3, 0.02
+#: into many documents itself, goes by its words that at most RARE_ITEMS of the items (or LEAST_ITEMS) use.
+RARE_PAIR_SHARE, RARE_WORD_SHARE, LEAST_DOCUMENTS, RARE_ITEMS, LEAST_ITEMS = 0.0012, 0.012, 3, 0.02, 2
+#: One rare word is enough for a candidate in a run of so many equal words.
+LONG_RUN = 9
 #: Rare words of a leak may be further apart or closer than in the item by this many words.
 DRIFT = 8
 
@@ -111,7 +113,7 @@ class Items:
         for n, (item_id, sentences, ws) in enumerate(self.items):
             rare = set(ws) - customary - frequent
             if len(rare) < 2:
-                rare = {w for w in ws if counts[w] <= RARE_ITEMS * len(self.items)}
+                rare = {w for w in ws if counts[w] <= max(LEAST_ITEMS, RARE_ITEMS * len(self.items))}
             self.ids.append(item_id)
             self.words.append(ws)
             self.rare.append(rare)
@@ -122,8 +124,17 @@ class Items:
                     self.places[w].append((n, at))
         return self
 
+    def _run(self, n: int, place: int, words: list[str], at: int) -> int:
+        """Words around words[at] that equal those around place in item n."""
+        item, low, high = self.words[n], 0, 1
+        while low < at and low < place and words[at - low - 1] == item[place - low - 1]:
+            low += 1
+        while at + high < len(words) and place + high < len(item) and words[at + high] == item[place + high]:
+            high += 1
+        return low + high
+
     def candidates(self, words: list[str]) -> list[int]:
-        """Items with two rare words in words at about their own distance, and with a whole piece."""
+        """Items with two rare words in words at about their own distance, or one in a long run, and with a whole piece."""
         seen: dict[int, list[tuple[int, int, str]]] = {}
         found = set()
         get = self.places.get
@@ -133,7 +144,7 @@ class Items:
                     if n in found:
                         continue
                     before = seen.setdefault(n, [])
-                    if any(v != w and abs((at - a) - (place - p)) <= DRIFT for a, p, v in before):
+                    if any(v != w and abs((at - a) - (place - p)) <= DRIFT for a, p, v in before) or self._run(n, place, words, at) >= LONG_RUN:
                         found.add(n)
                     before.append((at, place, w))
         if not found:
@@ -167,7 +178,7 @@ class Items:
                         for quarter in half.halves:
                             take(quarter)
         cut = self.excerpt(n, words)
-        return max(tuple(total), cut)
+        return max(tuple(total), cut, key=lambda x: (is_leak(*x), x))
 
     def excerpt(self, n: int, words: list[str]) -> tuple[int, int, int, int, int]:
         """As leaked(), for the longest excerpt of item n that begins or ends within a sentence.
@@ -178,12 +189,20 @@ class Items:
         best = (0, 0, 0, 0, 0)
         for shift in {h[0] for h in hits}:
             near = [h for h in hits if abs(h[0] - shift) <= DRIFT]
-            if len({h[2] for h in near}) < 2:
+            if len({h[2] for h in near}) < 2 and self._run(n, near[0][2], words, near[0][1]) < LONG_RUN:
                 continue
             low, high = max(0, min(h[2] for h in near) - EXCERPT), max(h[2] for h in near) + EXCERPT
             part, start = item[low:high], max(0, low + shift - DRIFT)
             blocks = SequenceMatcher(None, part, words[start : high + shift + DRIFT], autojunk=False).get_matching_blocks()
             held = [i for b in blocks for i in range(b.a, b.a + b.size) if abs(b.b + start - b.a - low - shift) <= DRIFT and (b.size > 1 or part[b.a] in rare)]
+            # from the rare words held outwards, up to the first one that is not: beyond, another text goes on
+            marks = [i for i in held if part[i] in rare]
+            if not marks:
+                continue
+            missed = [i for i, w in enumerate(part) if w in rare and i not in set(held)]
+            first = max((i + 1 for i in missed if i < marks[0]), default=0)
+            last = min((i for i in missed if i > marks[-1]), default=len(part))
+            held = [i for i in held if first <= i < last]
             if len(held) > best[0]:
                 inside = {w for w in part[held[0] : held[-1] + 1] if w in rare}
                 kept = {part[i] for i in held} & rare
@@ -193,7 +212,7 @@ class Items:
 
 
 def is_leak(words: int, names: int, of_names: int, figures: int, of_figures: int) -> bool:
-    return words >= LEAST_WORDS and names >= OWN_SHARE * of_names and figures >= OWN_SHARE * of_figures - 1
+    return words >= (LEAST_WORDS if names + figures > 1 else EXCERPT) and names >= OWN_SHARE * of_names and figures >= OWN_SHARE * of_figures - 1
 
 
 def _term_counter(terms: dict[str | tuple[str, str], int]):
