@@ -128,6 +128,30 @@ def label_propagation(und: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def local_moving(und: DataFrame, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
+    """(idx, community) by rounds in which nodes move to the neighbouring community of greatest modularity gain (Louvain's local moves).
+
+    Half of the nodes, by hash, move in each round, so that two nodes do not swap places for ever; the better of the
+    communities before and after is not sought, callers compare modularity()."""
+    simple = und.filter("u <> v")
+    adj = written(simple.select("u", "v").unionByName(simple.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    deg = written(degrees(simple))
+    twice = float(max(adj.count(), 1))
+    labels = written(deg.select("idx", F.col("idx").alias("community")))
+    for r in range(rounds):
+        volume = deg.join(labels, "idx").groupBy("community").agg(F.sum("deg").alias("vol"))
+        links = adj.join(labels.select(F.col("idx").alias("v"), "community"), "v").groupBy(F.col("u").alias("idx"), "community").agg(F.count(F.lit(1)).alias("l"))
+        own = labels.select("idx", "community").join(deg, "idx")
+        options = links.unionByName(own.select("idx", "community", F.lit(0).cast("bigint").alias("l"))).groupBy("idx", "community").agg(F.sum("l").alias("l"))
+        scored = options.join(own.select("idx", "deg", F.col("community").alias("now")), "idx").join(volume, "community")
+        rest = F.col("vol") - F.when(F.col("community") == F.col("now"), F.col("deg")).otherwise(0)
+        gain = F.col("l") - resolution * F.col("deg") * rest / twice
+        best = scored.withColumn("gain", gain).groupBy("idx", "now").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("now")).cast("int"), -F.col("community"))).alias("best"))
+        moves = F.pmod(F.xxhash64("idx", F.lit(r)), F.lit(2)) == 0
+        labels = written(best.select("idx", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community")))
+    return labels
+
+
 def modularity(und: DataFrame, labels: DataFrame) -> DataFrame:
     """(n_communities, modularity) of a partition (idx, community)."""
     und = und.filter("u <> v")
@@ -216,3 +240,27 @@ def classify_domain(nodes: DataFrame, closure: DataFrame, roots: list[tuple[int,
     j = nodes.join(by_root, "idx", "left").withColumn("term_domain", term)
     method = F.when(F.col("root_domain").isNotNull(), "ontology").when(F.col("term_domain").isNotNull(), "terms").otherwise("unclassified")
     return j.select("idx", F.coalesce("root_domain", "term_domain", F.lit("unclassified")).alias("domain"), method.alias("method"))
+
+
+def adjusted_mutual_information(pairs: DataFrame) -> float:
+    """AMI of two labellings (x, y); the expectation is computed on the driver from the margins, one row a label."""
+    import math
+
+    import numpy as np
+
+    cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    margin = lambda c: np.array([r.n for r in cells.groupBy(c).agg(F.sum("n").alias("n")).collect()], float)
+    a, b = margin("x"), margin("y")
+    total = a.sum()
+    if not total:
+        return float("nan")
+    counts = np.array([r.n for r in cells.select("n").collect()], float)  # at most labels of x times labels of y
+    h = lambda n: -float((n / total * np.log(n / total)).sum())
+    mutual = h(a) + h(b) - h(counts)
+    log = [math.lgamma(i + 1) for i in range(int(total) + 1)]
+    expected = 0.0
+    for i in a.astype(int):
+        for j in b.astype(int):
+            for n in range(max(1, int(i + j - total)), min(i, j) + 1):
+                expected += n / total * math.log(total * n / (i * j)) * math.exp(log[i] + log[j] + log[int(total) - i] + log[int(total) - j] - log[int(total)] - log[n] - log[i - n] - log[j - n] - log[int(total) - i - j + n])
+    return float((mutual - expected) / max((h(a) + h(b)) / 2 - expected, 1e-12))

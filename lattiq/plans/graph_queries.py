@@ -278,7 +278,7 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rk.thresholds(_scored(spark, sf_dir), [])
     total = t.agg(F.sum("pos").alias("all_pos"))  # one row
     tp, n = F.col("before_pos") + F.col("pos"), F.col("before_pos") + F.col("pos") + F.col("before_neg") + F.col("neg")
-    return t.join(F.broadcast(total)).select((-F.col("s")).alias("score"), n.alias("n_above"), tp.alias("tp"), F.round(tp / n, 6).alias("precision"), F.round(tp / F.col("all_pos"), 6).alias("recall"))
+    return t.join(F.broadcast(total)).select((F.lit(0.0) - F.col("s")).alias("score"), n.alias("n_above"), tp.alias("tp"), F.round(tp / n, 6).alias("precision"), F.round(tp / F.col("all_pos"), 6).alias("recall"))
 
 
 @query(_LABSCORE + """, r AS (SELECT label, count(*) OVER (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rnk, count(*) OVER () AS n FROM ls), k(k) AS (VALUES (1), (5), (10), (20), (50), (100), (200), (500))
