@@ -117,6 +117,9 @@ class Lexicon:
         for w in ("the", "human"):
             if token.startswith(w) and len(token) >= len(w) + 6:
                 token = token[len(w) :]
+        for w in ("complex", "compound", "provisional", "human"):
+            if token.endswith(w) and len(token) >= len(w) + 6:
+                token = token[: -len(w)]
         if short:
             for n in range(min(8, len(token) - 6), 2, -1):
                 if starts := sorted(w for w in self.words if len(w) > n and w.startswith(token[-n:])):
@@ -155,7 +158,9 @@ class Lexicon:
 
     def _parse(self, name: str) -> Parsed:
         stem, words, number = [], set(), 0
-        for raw in _WORD.findall(fold(name)):
+        # "B, A" stands for "A B"
+        before, comma, after = fold(name).partition(",")
+        for raw in _WORD.findall(f"{after} {before}" if comma else before):
             token = raw.rstrip(".")
             if typed := _TYPED.fullmatch(token):
                 number = int(typed.group(1)[:9])
