@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,6 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_paths: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    """Delete what written() left, when the program ends; plans may need it until then."""
+    for spark, path in _paths:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended before
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once into reliable storage; later plans start from there and survive the loss of executors."""
     shared_dir(df.sparkSession)
@@ -28,8 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As cut(), as a compressed Parquet table, for data that is read several times by column."""
+    """As cut(), as a compressed Parquet table, for data that is read several times by column. Deleted when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattiq-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _paths:
+        atexit.register(_clear)
+    _paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
