@@ -33,7 +33,7 @@ def test_prefixed_and_typed(spark, tmp_path):
     edges, nodes = gf.prefixed_triples(spark, p)
     assert {(r.x_type, r.y_type) for r in edges.collect()} == {("Gene", "Compound"), ("unknown", "Gene")}
     t = write(tmp_path / "b.tsv", "x\tp\ty\ny\tq\tz\n")
-    m = write(tmp_path / "biokg.metadata.1.tsv", "x\tNAME\tEx\nx\tOTHER\tno\n")
+    m = write(tmp_path / "names.1.tsv", "x\tNAME\tEx\nx\tOTHER\tno\n")
     pred = spark.createDataFrame([("p", "gene", "drug", 1), ("q", "pathway", "disease", 2)], "relation string, x_type string, y_type string, priority int")
     _, nodes = gf.typed_triples(spark, t, pred, m)
     assert {r.id: (r.type, r.name) for r in nodes.collect()} == {"x": ("gene", "Ex"), "y": ("pathway", "y"), "z": ("disease", "z")}
