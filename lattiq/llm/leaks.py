@@ -37,6 +37,10 @@ OWN_SHARE = 0.6
 #: that it has in an item, and at most so large a share has it at all. An item without two such words, because it leaked
 #: into many documents itself, goes by its words that at most RARE_ITEMS of the items (or LEAST_ITEMS) use.
 RARE_PAIR_SHARE, RARE_WORD_SHARE, LEAST_DOCUMENTS, RARE_ITEMS, LEAST_ITEMS = 0.0012, 0.012, 3, 0.02, 2
+#: An excerpt that leaked widely makes its own names customary. A run of COPIED_RUN of its words that stands in documents
+#: (at least two, and COPIED_SHARE of those with its least frequent word; copies with edits break runs) gives rarity back to
+#: those of its words that hardly stand elsewhere: in at most OWN_EXCESS times as many documents as the least frequent one.
+COPIED_RUN, COPIED_SHARE, OWN_EXCESS = 12, 0.05, 1.2
 #: One rare word is enough for a candidate in a run of so many equal words.
 LONG_RUN = 9
 #: Rare words of a leak may be further apart or closer than in the item by this many words.
@@ -54,6 +58,10 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _runs(words: list[str]) -> Iterator[tuple[str, ...]]:
+    return zip(*(words[i:] for i in range(COPIED_RUN)))
+
+
 class Unit:
     """A run of an item's words that is searched as a whole."""
 
@@ -95,23 +103,31 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, [u for s in _SENTENCE.split(t or "") if (u := words_of(s))], words_of(t or "")) for i, t in items]
-        #: words, and pairs of neighbours in a sentence -> number
-        self.terms: dict[str | tuple[str, str], int] = {}
-        for _, sentences, _ in self.items:
+        #: words, pairs of neighbours in a sentence, and runs of COPIED_RUN words -> number
+        self.terms: dict[str | tuple[str, ...], int] = {}
+        for _, sentences, whole in self.items:
             for ws in sentences:
                 for term in (*ws, *zip(ws, ws[1:])):
                     self.terms.setdefault(term, len(self.terms))
+            for term in (*whole, *_runs(whole)):
+                self.terms.setdefault(term, len(self.terms))
 
     def index(self, documents_with: dict[int, int], documents: int) -> Items:
         """Ready for candidates() and leaked(): documents_with has the number of documents that hold each term."""
         limit, word_limit = max(LEAST_DOCUMENTS, RARE_PAIR_SHARE * documents), max(LEAST_DOCUMENTS, RARE_WORD_SHARE * documents)
-        customary = {w for term, k in self.terms.items() if isinstance(term, tuple) and documents_with.get(k, 0) > limit for w in term}
+        customary = {w for term, k in self.terms.items() if isinstance(term, tuple) and len(term) == 2 and documents_with.get(k, 0) > limit for w in term}
         frequent = {term for term, k in self.terms.items() if isinstance(term, str) and documents_with.get(k, 0) > word_limit}
         counts = Counter(w for _, _, ws in self.items for w in set(ws))
         self.ids, self.words, self.rare, self.units, self.pieces = [], [], [], [], []
         self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)  # rare word -> (item, position)
         for n, (item_id, sentences, ws) in enumerate(self.items):
             rare = set(ws) - customary - frequent
+            for run in _runs(ws):
+                if (copies := documents_with.get(self.terms[run], 0)) >= 2:
+                    held = {w: documents_with.get(self.terms[w], 0) for w in run}
+                    least = min(held.values())
+                    if copies >= COPIED_SHARE * least:
+                        rare |= {w for w, k in held.items() if k <= OWN_EXCESS * least}
             if len(rare) < 2:
                 rare = {w for w in ws if counts[w] <= max(LEAST_ITEMS, RARE_ITEMS * len(self.items))}
             self.ids.append(item_id)
@@ -215,8 +231,8 @@ def is_leak(words: int, names: int, of_names: int, figures: int, of_figures: int
     return words >= (LEAST_WORDS if names + figures > 1 else EXCERPT) and names >= OWN_SHARE * of_names and figures >= OWN_SHARE * of_figures - 1
 
 
-def _term_counter(terms: dict[str | tuple[str, str], int]):
-    """Partition of documents -> (term, number of documents that have it), for the words and pairs of the items."""
+def _term_counter(terms: dict[str | tuple[str, ...], int]):
+    """Partition of documents -> (term, number of documents that have it), for the words, pairs and runs of the items."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -224,7 +240,7 @@ def _term_counter(terms: dict[str | tuple[str, str], int]):
         for batch in batches:
             for text in batch["text"]:
                 words = words_of(text)
-                counts.update(known & {*words, *zip(words, words[1:])})
+                counts.update(known & {*words, *zip(words, words[1:]), *_runs(words)})
         yield pd.DataFrame({"term": [terms[t] for t in counts], "n": list(counts.values())}, columns=["term", "n"])
 
     return run

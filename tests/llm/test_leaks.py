@@ -68,3 +68,14 @@ def test_item_in_a_third_of_the_corpus(spark):
     df = spark.createDataFrame(docs + [(1000 + i, items[0][1]) for i in range(150)], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(1000 + i, 0) for i in range(150)}
+
+
+def test_excerpt_in_a_third_of_the_corpus(spark):
+    """The other words of the item stay rare, so that the item as a whole has enough of them."""
+    rng, items, docs, _ = corpus(seed=8, docs=300)
+    part = " ".join(items[0][1].split()[:24])
+    spread = [(1000 + i, part + " " + docs[i][1]) for i in range(150)]
+    whole = [(2000, docs[200][1] + " " + items[0][1])]
+    df = spark.createDataFrame(docs + spread + whole, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, 0) for d, _ in spread + whole}
