@@ -29,9 +29,9 @@ KINDS = {
     "phenotype": ("phenotype", "effectphenotype", "phenotypicfeature", "symptom", "sideeffect", "phe"),
     "pathway": ("pathway", "pw"),
 }
-#: Length of the blocking grams, of the longer ones that replace a frequent gram, and how many stems make it frequent. One
-#: edit in a stem of twelve letters leaves a whole gram of five; the longer ones apply to common endings only.
-GRAM, LONG_GRAM, FREQUENT = 5, 7, 1000
+#: Length of the blocking grams, and how many stems make one frequent. One edit in a stem of twelve letters leaves a whole
+#: gram of five. The stems of a frequent gram meet in cells by length: the pairs are the same, more tasks share them.
+GRAM, FREQUENT = 5, 1000
 MOST_EDITS, CHARACTERS_AN_EDIT = 4, 3.5
 LEAST_STEM = 5
 #: Steps of the grid of similarities, rounds of transitivity, and the regularisation of the covariances.
@@ -71,12 +71,12 @@ def _stem_pairs(stems: DataFrame) -> DataFrame:
     """(kind, kg_a, stem_a, kg_b, stem_b, edits) of near stems in different graphs; stems: distinct (kg, kind, stem)."""
     at = F.sequence(F.lit(1), F.greatest(F.length("stem") - GRAM + 1, F.lit(1)))
     grams = stems.select("kg", "kind", "stem", F.explode(at).alias("at")).withColumn("gram", F.expr(f"substring(stem, at, {GRAM})"))
-    grams = grams.groupBy("kg", "kind", "stem", "gram").agg(F.min("at").alias("at"))
+    grams = grams.select("kg", "kind", "stem", "gram").distinct()
     frequent = grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT).select("kind", "gram", F.lit(True).alias("often"))
-    longer = F.expr(f"substring(stem, greatest(1, least(at, length(stem) - {LONG_GRAM - 1})), {LONG_GRAM})")
-    keyed = grams.join(frequent, ["kind", "gram"], "left").select("kg", "kind", "stem", F.when(F.col("often"), longer).otherwise(F.col("gram")).alias("key")).distinct()
-    side = lambda s: keyed.select("kind", "key", F.col("kg").alias(f"kg_{s}"), F.col("stem").alias(f"stem_{s}"))
-    pairs = side("a").join(side("b"), ["kind", "key"]).filter("kg_a < kg_b").filter(F.abs(F.length("stem_a") - F.length("stem_b")) <= MOST_EDITS)
+    keyed = grams.join(frequent, ["kind", "gram"], "left")
+    cell = {"a": F.array(F.length("stem")), "b": F.sequence(F.length("stem") - MOST_EDITS, F.length("stem") + MOST_EDITS)}
+    side = lambda s: keyed.select("kind", "gram", F.explode(F.when(F.col("often"), cell[s]).otherwise(F.array(F.lit(0)))).alias("cell"), F.col("kg").alias(f"kg_{s}"), F.col("stem").alias(f"stem_{s}"))
+    pairs = side("a").join(side("b"), ["kind", "gram", "cell"]).filter("kg_a < kg_b").filter(F.abs(F.length("stem_a") - F.length("stem_b")) <= MOST_EDITS)
     near = pairs.withColumn("edits", F.levenshtein("stem_a", "stem_b", MOST_EDITS)).filter((F.col("edits") >= 0) & (F.col("edits") * CHARACTERS_AN_EDIT <= F.least(F.length("stem_a"), F.length("stem_b"))))
     return near.select("kind", "kg_a", "stem_a", "kg_b", "stem_b", "edits").distinct()
 

@@ -1,5 +1,6 @@
 import random
 
+from lattiq.llm import entities
 from lattiq.llm.entities import match_entities
 
 SCHEMA = "node_key long, kg string, idx long, id string, type string, name string, synonym string, upstream_pipeline string, extra string"
@@ -46,3 +47,16 @@ def test_matches(spark, rows):
     assert len(got) == len(found) and all(0.5 <= r.confidence <= 1 for r in found)
     assert len(got & pairs) >= 0.97 * len(pairs) and len(got & pairs) >= 0.97 * len(got)
     assert rows(match_entities(df.limit(0))) == []
+
+
+def test_frequent_grams_lose_no_pair(spark, rows, monkeypatch):
+    """Blocking gives the pairs of any two stems that share a gram, however many stems share it."""
+    rng = random.Random(5)
+    stems = sorted({"".join(rng.choice("bdfgk") + rng.choice("ae") for _ in range(rng.choice((2, 3)))) + "".join(rng.choice(x) for x in ("l", "i", "z", "u", "mn", "a", "b")) for _ in range(60)})
+    stems += [s[:-1] for s in stems[:20]] + [s[:-6] + "o" + s[-6:] for s in stems[20:40]]
+    df = spark.createDataFrame([(rng.choice("ab"), "gene", s) for s in sorted(set(stems))], "kg string, kind string, stem string")
+    found = []
+    for frequent in (10**9, 3):
+        monkeypatch.setattr(entities, "FREQUENT", frequent)
+        found.append(rows(entities._stem_pairs(df)))
+    assert len(found[0]) > 100 and found[0] == found[1]
