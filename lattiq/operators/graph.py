@@ -118,6 +118,16 @@ def components(und: DataFrame) -> DataFrame:
     return everything.join(links.select(F.col("p").alias("idx"), F.col("q").alias("m")), "idx", "left").select("idx", F.coalesce("m", "idx").alias("component"))
 
 
+def connectivity(nodes: DataFrame, und: DataFrame) -> DataFrame:
+    """(n_nodes, n_components, largest, isolated) of nodes (idx) and the ends of links; a node without a link is a component of its own."""
+    c = written(components(und))
+    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("linked"), F.max("n").alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("ends"))
+    isolated = nodes.select("idx").distinct().join(c, "idx", "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
+    one = sizes.join(F.broadcast(isolated))  # single rows
+    largest = F.coalesce("most", F.when(F.col("isolated") > 0, 1).otherwise(0))
+    return one.select((F.col("ends") + F.col("isolated")).alias("n_nodes"), (F.col("linked") + F.col("isolated")).alias("n_components"), largest.cast("bigint").alias("largest"), "isolated")
+
+
 def label_propagation(und: DataFrame, rounds: int = 5) -> DataFrame:
     """(idx, community) after so many synchronous rounds in which each node takes its neighbours' most frequent label, ties to the smallest."""
     adj = written(und.filter("u <> v").select("u", "v").unionByName(und.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))))

@@ -92,6 +92,19 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(F.broadcast(isolated))  # single rows
 
 
+@query()
+def whole_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over the links of all relations; graph_components is the part that its recursive SQL can check."""
+    return g.components(undirected(edges(spark, sf_dir)))
+
+
+@query()
+def whole_graph_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, components (an isolated node is one), the largest of them and isolated nodes, over all relations and the node table."""
+    nodes = table(spark, sf_dir, "nodes_df").filter("kg = 'alder' AND idx IS NOT NULL").select("idx")
+    return g.connectivity(nodes, undirected(edges(spark, sf_dir)))
+
+
 @query(_BASE + """, h1 AS (SELECT DISTINCT p.u, p.v FROM prs p JOIN adj a ON a.a = p.u AND a.b = p.v),
     h2 AS (SELECT DISTINCT p.u, p.v FROM prs p JOIN adj a ON a.a = p.u JOIN adj b ON b.a = a.b AND b.b = p.v)
     SELECT p.u, p.v, CASE WHEN p.u = p.v THEN 0 WHEN h1.u IS NOT NULL THEN 1 WHEN h2.u IS NOT NULL THEN 2 END::INT AS hops FROM prs p LEFT JOIN h1 USING (u, v) LEFT JOIN h2 USING (u, v)""")
