@@ -75,6 +75,35 @@ def hop_distances(pairs: DataFrame, adj: DataFrame, most: int = 5) -> DataFrame:
     return pairs.join(seen.select(F.col("s").alias("u"), F.col("x").alias("v"), "hops"), ["u", "v"], "left")
 
 
+def distances_from(sources: DataFrame, adj: DataFrame) -> DataFrame:
+    """(s, x, hops) of all nodes that distinct sources (s) reach, at whatever distance."""
+    links = written(adj.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
+    frontier = written(sources.select("s", F.col("s").alias("x")).distinct())
+    seen, hop = written(frontier.withColumn("hops", F.lit(0))), 0
+    while not frontier.isEmpty():
+        hop += 1
+        step = frontier.join(links, "x").select("s", F.col("y").alias("x")).distinct()
+        frontier = written(step.join(seen.select("s", "x"), ["s", "x"], "left_anti"))
+        seen = written(seen.unionByName(frontier.withColumn("hops", F.lit(hop))))
+    return seen
+
+
+def proximity(pairs: DataFrame, diseases: DataFrame, adj: DataFrame, order: Column, most: int = 1000, least: int = 100) -> DataFrame:
+    """(u, v, observed, n_random, random_mean, low, high, p, bonferroni) of distinct connected pairs with at least least other diseases (d) that u reaches.
+
+    The observed distance beside that of most of those at most, least order first (may use u, v and d): mean, 2.5 and 97.5
+    percentiles, share not above it, and that share times the pairs tested."""
+    pairs = pairs.select("u", "v").distinct()
+    reached = written(distances_from(pairs.select(F.col("u").alias("s")), adj))
+    observed = pairs.join(reached.select(F.col("s").alias("u"), F.col("x").alias("v"), F.col("hops").alias("observed")), ["u", "v"])
+    pool = reached.join(diseases.select(F.col("d").alias("x")).distinct(), "x").select(F.col("s").alias("u"), F.col("x").alias("d"), "hops")
+    drawn = observed.join(pool, "u").filter("d <> v").withColumn("rank", F.row_number().over(Window.partitionBy("u", "v").orderBy(order, "d"))).filter(F.col("rank") <= most)
+    q = lambda x: F.percentile("hops", x)
+    at = F.avg((F.col("hops") <= F.col("observed")).cast("double"))
+    tested = written(drawn.groupBy("u", "v", "observed").agg(F.count(F.lit(1)).alias("n_random"), F.avg("hops").alias("random_mean"), q(0.025).alias("low"), q(0.975).alias("high"), at.alias("p")).filter(F.col("n_random") >= least))
+    return tested.withColumn("bonferroni", F.least(F.col("p") * tested.count(), F.lit(1.0)))
+
+
 def within_two(pairs: DataFrame, adj: DataFrame, by: list[str] = ()) -> DataFrame:
     """pairs (by.., u, v) with reached: whether v is u, a neighbour of u, or a neighbour of one; adj may carry by too."""
     links = adj.select(*by, "a", "b").distinct()

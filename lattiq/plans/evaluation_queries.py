@@ -82,6 +82,20 @@ def proximity_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("u", F.col("obs").alias("v")).agg(F.min("od").alias("observed"), F.round(F.avg("rd"), 4).alias("random_mean"), F.round(F.avg((F.col("rd") <= F.col("od")).cast("double")), 4).alias("p"))
 
 
+@query()
+def proximity_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole distance of each gold pair beside up to 1000 other diseases that its drug reaches; proximity_test is the part that its SQL can check."""
+    e = edges(spark, sf_dir)
+    diseases = node_types(e).filter(F.regexp_replace(F.lower("type"), "[^a-z]", "") == "disease").select(F.col("idx").alias("d"))
+    return g.proximity(gold_pairs(spark, sf_dir), diseases, adjacency(undirected(e)), sc.hashed(F.col("u"), F.col("v"), F.col("d")))
+
+
+@query()
+def hop_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops of each gold pair up to 5; hop_distance is the part that its SQL can check."""
+    return g.hop_distances(gold_pairs(spark, sf_dir), adjacency(undirected(edges(spark, sf_dir))))
+
+
 @query(f"""WITH must AS (SELECT drug_index AS idx FROM test_pos UNION SELECT disease_index FROM test_pos), pool AS (SELECT DISTINCT idx FROM nodes_df WHERE kg = 'alder' AND idx NOT IN (SELECT idx FROM must)),
     f AS (SELECT idx, row_number() OVER (ORDER BY {SQL_HASH("idx")}, idx) AS r FROM pool), k AS (SELECT idx FROM must UNION ALL SELECT idx FROM f WHERE r <= 300)
     SELECT idx, (row_number() OVER (ORDER BY idx) - 1)::BIGINT AS no FROM k""")
