@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattiq.functions import scores as sc
+from lattiq.functions.ids import relation_key
 from lattiq.operators import graph as g
 from lattiq.operators import linkpred as lp
 from lattiq.operators import ranking as rk
@@ -499,4 +500,5 @@ def training_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translation vectors of the nodes of each training graph."""
     t = table(spark, sf_dir, "train_triples").filter("head_index IS NOT NULL AND tail_index IS NOT NULL")
-    return lp.embed_graphs(t.select("kg", F.col("head_index").alias("h"), F.length("relation").alias("r"), F.col("tail_index").alias("t")), dim=8, epochs=3)
+    # the hash of the normalised relation is its number; embed_graphs numbers them anew
+    return lp.embed_graphs(t.select("kg", F.col("head_index").alias("h"), F.xxhash64(relation_key(F.col("relation"))).alias("r"), F.col("tail_index").alias("t")))
