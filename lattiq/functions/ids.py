@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Identifier patterns of public registries (first group: the id).
+# Identifier patterns of public registries (first group: the id). Letter case of the prefix is ignored,
+# as files spell it in several ways.
 PATTERNS = {
     "drugbank": r"\b(DB\d{5,})\b",
-    "mondo": r"(MONDO:\d+)",
-    "doid": r"(DOID:\d+)",
-    "ncbigene": r"NCBIGENE:(\d+)",
-    "pubchem": r"PUBCHEM\.COMPOUND:(\d+)",
-    "uniprot": r"UNIPROTKB:([A-Z0-9]+)",
-    "reactome": r"(R-[A-Z]{3}-\d+)",
-    "mesh": r"MESH:([A-Z]\d+)",
+    "mondo": r"(?i:MONDO):(\d+)",
+    "doid": r"(?i:DOID):(\d+)",
+    "ncbigene": r"(?i:NCBIGene):(\d+)",
+    "pubchem": r"(?i:PUBCHEM\.COMPOUND):(\d+)",
+    "uniprot": r"(?i:UniProtKB):([A-Z0-9\-]+)",
+    "reactome": r"(R-HSA-\d+)",
+    "mesh": r"(?i:MESH):([CD]\w*)",
 }
+#: Reactome's pattern for any species.
+REACTOME_ANY = r"(R-[A-Z]{3}-\d+)"
 # Confidence of a knowledge level; any other level has none.
-LEVEL_CONFIDENCE = {"knowledge_assertion": 1.0, "logical_entailment": 0.9, "statistical_association": 0.6, "prediction": 0.5, "observation": 0.3}
+LEVEL_CONFIDENCE = {"knowledge_assertion": 1.0, "logical_entailment": 0.9, "statistical_association": 0.6, "observation": 0.5, "prediction": 0.3}
+# Display words of node types; any other type is itself, in lower case with underscores.
+DISPLAY_TYPES = {
+    "drug": "drug", "compound": "compound", "small molecule": "compound", "disease": "disease", "phenotypic feature": "phenotype",
+    "phenotype": "phenotype", "effect/phenotype": "phenotype", "gene": "gene", "protein": "protein", "gene/protein": "gene/protein",
+    "pathway": "pathway", "anatomy": "anatomy", "molecular function": "molecular_function", "biological process": "biological_process",
+    "cellular component": "cellular_component", "exposure": "other",
+}
 
 
 def known(column: Column) -> Column:
@@ -42,7 +52,7 @@ def type_prefix(column: Column) -> Column:
 
 def bare_number(column: Column, prefix: str) -> Column:
     """column without the CURIE prefix and leading zeros; "0" if nothing is left."""
-    return F.regexp_replace(F.regexp_replace(column, f"^{prefix}:?", ""), r"^0+(?=.)|^$", "")
+    return F.regexp_replace(F.ltrim(F.regexp_replace(column, f"^{prefix}:?", ""), F.lit("0")), "^$", "0")
 
 
 def extract(column: Column, kind: str) -> Column:
@@ -74,6 +84,28 @@ def mesh_clean(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, r"\{.*?\}", ""))
 
 
+def mesh_head(column: Column) -> Column:
+    """A MeSH id up to its first blank."""
+    return F.substring_index(column, " ", 1)
+
+
+def bare_mesh(column: Column) -> Column:
+    """Whether column is a MeSH number without its prefix (C or D and digits only)."""
+    return column.rlike(r"^[DC]\d+$")
+
+
+def first_accession(column: Column) -> Column:
+    """A protein accession without its isoform suffix."""
+    return F.substring_index(column, "-", 1)
+
+
+def display_type(column: Column) -> Column:
+    """The display word of a node type; "other" for null and empty ones."""
+    low = F.lower(F.coalesce(column, F.lit("")))
+    listed = F.create_map(*[F.lit(x) for kv in DISPLAY_TYPES.items() for x in kv])
+    return F.coalesce(listed[low], F.nullif(F.replace(low, F.lit(" "), F.lit("_")), F.lit("")), F.lit("other"))
+
+
 def looks_opaque(column: Column) -> Column:
     """Whether a name is empty or consists of capitals, digits and id marks only."""
     return F.coalesce(column.rlike(r"^[A-Z0-9:_.\-]*$"), F.lit(True))

@@ -52,9 +52,13 @@ def validity(nodes: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
 
 def top_prefixes(rows: DataFrame, by: list[str], prefix: Column, example: str, k: int = 5, examples: int = 3) -> DataFrame:
     """The k most frequent prefixes of each group, with their first examples in order."""
-    counted = rows.withColumn("prefix", prefix).groupBy(*by, "prefix").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(example)), 1, examples).alias("ex"))
+    keyed = rows.select(*by, prefix.alias("prefix"), F.col(example).alias("example"))
+    counted = keyed.groupBy(*by, "prefix").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "prefix"))).filter(F.col("rank") <= k)
-    return ranked.select(*by, "rank", "prefix", "n", F.array_join("ex", " ").alias("examples"))
+    # the limit on the rank is applied before the shuffle, so no task sees all ids of a prefix
+    first = keyed.distinct().withColumn("at", F.row_number().over(Window.partitionBy(*by, "prefix").orderBy("example"))).filter(F.col("at") <= examples)
+    joined = first.groupBy(*by, "prefix").agg(F.array_join(F.array_sort(F.collect_list("example")), " ").alias("examples"))
+    return ranked.join(joined, [*by, "prefix"]).select(*by, "rank", "prefix", "n", "examples")
 
 
 def conformance(edges: DataFrame, allowed: DataFrame) -> DataFrame:

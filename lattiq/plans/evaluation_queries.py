@@ -118,7 +118,7 @@ def merged_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("drug_name", F.lower(F.trim("disease_name")).alias("disease")).agg(F.min_by("disease_name", "rep_id").alias("first_spelling"), F.count(F.lit(1)).alias("n"))
 
 
-# Search terms for the resolver, with the alias that a curator would try first.
+# Search terms for the resolver, with the alias that a curator would try first.
 _SEARCH = [("leukemia type 4", "chronic"), ("tumor type 3", None), ("anemia", "sickle"), ("no such disease", None)]
 
 
@@ -145,10 +145,10 @@ def gene_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("row_id", gene.alias("gene"), F.coalesce(F.size("g") > 1, F.lit(False)).alias("ambiguous"))
 
 
-@query(r"""SELECT xref_id, regexp_replace(regexp_replace(external_id, '^CHEBI:?', ''), '^0+(.)', '\1') AS bare, trim(regexp_replace(external_id || ' {note}', '\{.*?\}', '', 'g')) AS clean FROM drugbank_xref WHERE external_id IS NOT NULL""")
+@query(r"""SELECT xref_id, CASE WHEN ltrim(regexp_replace(external_id, '^CHEBI:?', ''), '0') = '' THEN '0' ELSE ltrim(regexp_replace(external_id, '^CHEBI:?', ''), '0') END AS bare, trim(regexp_replace(external_id || ' {note}', '\{.*?\}', '', 'g')) AS clean FROM drugbank_xref WHERE external_id IS NOT NULL""")
 def bare_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "drugbank_xref").filter("external_id IS NOT NULL")
-    return x.select("xref_id", F.regexp_replace(F.regexp_replace("external_id", "^CHEBI:?", ""), "^0+(.)", "$1").alias("bare"), ids.mesh_clean(F.concat("external_id", F.lit(" {note}"))).alias("clean"))
+    return x.select("xref_id", ids.bare_number(F.col("external_id"), "CHEBI").alias("bare"), ids.mesh_clean(F.concat("external_id", F.lit(" {note}"))).alias("clean"))
 
 
 @query()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -10,43 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a local master gets a temporary one; a
+    cluster, whose executors would each write to a folder of their own, is refused."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
+    if not named and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lattiq-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattiq-"))
-    return sc.getCheckpointDir()
-
-
-_paths: list[tuple[SparkSession, str]] = []
-
-
-def _clear() -> None:
-    """Delete what written() left, when the program ends; plans may need it until then."""
-    for spark, path in _paths:
-        try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session has ended before
-            return
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into reliable storage; later plans start from there and survive the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(named)
+    return named or sc.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As cut(), as a compressed Parquet table, for data that is read several times by column. Deleted when the program ends."""
+    """Compute df once into a compressed Parquet table of the shared folder; later plans start from there and survive the
+    loss of executors. The file system deletes it when the session's JVM ends, even if Python ends first."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattiq-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _paths:
-        atexit.register(_clear)
-    _paths.append((spark, path))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,15 +31,15 @@ def query(sql: str | None = None):
     SELECT node_key, nullif(trim(id), '') AS known, list_extract(string_split(id, '::'), -1) AS last_segment,
       regexp_replace(id, '^.*?::', '') AS after_first,
       CASE WHEN contains(id, '::') THEN split_part(id, '::', 1) WHEN id IS NOT NULL THEN 'unknown' END AS type_prefix,
-      nullif(regexp_extract(id, '\b(DB\d{5,})\b', 1), '') AS drugbank, nullif(regexp_extract(id, '(R-[A-Z]{3}-\d+)', 1), '') AS reactome,
+      nullif(regexp_extract(id, '\b(DB\d{5,})\b', 1), '') AS drugbank, nullif(regexp_extract(id, '(R-HSA-\d+)', 1), '') AS reactome, nullif(regexp_extract(id, '(R-[A-Z]{3}-\d+)', 1), '') AS reactome_any,
       coalesce(regexp_full_match(name, '[A-Z0-9:_.\-]*'), true) AS opaque,
-      regexp_replace(regexp_replace(id, '^HP:?', ''), '^0+(.)', '\1') AS bare
+      coalesce(nullif(ltrim(regexp_replace(id, '^HP:?', ''), '0'), ''), CASE WHEN id IS NOT NULL THEN '0' END) AS bare
     FROM nodes_df""")
 def id_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     return table(spark, sf_dir, "nodes_df").select(
         "node_key", ids.known(i).alias("known"), ids.last_segment(i).alias("last_segment"), ids.after_first_segment(i).alias("after_first"), ids.type_prefix(i).alias("type_prefix"),
-        ids.extract(i, "drugbank").alias("drugbank"), ids.extract(i, "reactome").alias("reactome"), ids.looks_opaque(F.col("name")).alias("opaque"), F.regexp_replace(F.regexp_replace(i, "^HP:?", ""), "^0+(.)", "$1").alias("bare"))
+        ids.extract(i, "drugbank").alias("drugbank"), ids.extract(i, "reactome").alias("reactome"), F.nullif(F.regexp_extract(i, ids.REACTOME_ANY, 1), F.lit("")).alias("reactome_any"), ids.looks_opaque(F.col("name")).alias("opaque"), ids.bare_number(i, "HP").alias("bare"))
 
 
 @query(r"""
@@ -204,11 +204,13 @@ def gap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- annotation accuracy -----------------------------------------------------------------------------------------
 
 _PATTERNS = {"gene/protein": [r"^\d{8}$"], "drug": ["DB"], "disease": [r"^\d{7}(_\d{7})*$"], "effect/phenotype": ["HP:"], "pathway": ["R-"], "Gene": ["Gene::"], "Compound": ["Compound::"], "Disease": ["Disease::"], "biolink:Gene": ["GN:"], "biolink:Disease": [r"^DIS:\d+$"]}
-_VALID = "CASE " + " ".join(f"WHEN type = '{t}' THEN " + " OR ".join(f"regexp_matches(id, '{p}')" if p.startswith("^") else f"starts_with(id, '{p}')" for p in ps) for t, ps in _PATTERNS.items()) + " END"
 
 
-@query(f"""
-    WITH f AS (SELECT kg, type, coalesce({_VALID}, false)::INT AS ok FROM nodes_df WHERE type IN ({", ".join(f"'{t}'" for t in _PATTERNS)}))
+@query(r"""
+    WITH f AS (SELECT kg, type, coalesce(CASE type WHEN 'gene/protein' THEN regexp_matches(id, '^[0-9]{8}$') WHEN 'drug' THEN starts_with(id, 'DB') WHEN 'disease' THEN regexp_matches(id, '^[0-9]{7}(_[0-9]{7})*$')
+        WHEN 'effect/phenotype' THEN starts_with(id, 'HP:') WHEN 'pathway' THEN starts_with(id, 'R-') WHEN 'Gene' THEN starts_with(id, 'Gene::') WHEN 'Compound' THEN starts_with(id, 'Compound::') WHEN 'Disease' THEN starts_with(id, 'Disease::')
+        WHEN 'biolink:Gene' THEN starts_with(id, 'GN:') WHEN 'biolink:Disease' THEN regexp_matches(id, '^DIS:[0-9]+$') END, false)::INT AS ok FROM nodes_df
+      WHERE type IN ('gene/protein', 'drug', 'disease', 'effect/phenotype', 'pathway', 'Gene', 'Compound', 'Disease', 'biolink:Gene', 'biolink:Disease'))
     SELECT kg, type, count(*)::BIGINT AS n, sum(ok)::BIGINT AS n_valid, round(sum(ok) * 100.0::DOUBLE / count(*), 1) AS pct FROM f GROUP BY ROLLUP (kg, type)""")
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.validity(table(spark, sf_dir, "nodes_df"), _PATTERNS)
@@ -244,7 +246,8 @@ def index_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALLOWED = [("drugprotein", "drug", "gene/protein"), ("diseaseprotein", "gene/protein", "disease"), ("proteinprotein", "gene/protein", "gene/protein"), ("indication", "drug", "disease"), ("contraindication", "drug", "disease"), ("drugdrug", "drug", "drug"), ("pathwayprotein", "gene/protein", "pathway")]
 
 
-@query(with_(SQL_E, "allowed(rel, x_type, y_type) AS (VALUES " + ", ".join(str(a) for a in _ALLOWED) + ")") + """
+@query(with_(SQL_E, """allowed(rel, x_type, y_type) AS (VALUES ('drugprotein', 'drug', 'gene/protein'), ('diseaseprotein', 'gene/protein', 'disease'), ('proteinprotein', 'gene/protein', 'gene/protein'),
+    ('indication', 'drug', 'disease'), ('contraindication', 'drug', 'disease'), ('drugdrug', 'drug', 'drug'), ('pathwayprotein', 'gene/protein', 'pathway'))""") + """
     SELECT e.rel, count(*)::BIGINT AS n, count(CASE WHEN a.rel IS NOT NULL OR l.rel IS NULL THEN 1 END)::BIGINT AS n_ok,
       round(count(CASE WHEN a.rel IS NOT NULL OR l.rel IS NULL THEN 1 END) * 100.0::DOUBLE / count(*), 3) AS pct, round(count(a.rel) * 100.0::DOUBLE / count(*), 3) AS strict_pct
     FROM e LEFT JOIN allowed a ON e.rel = a.rel AND e.x_type = a.x_type AND e.y_type = a.y_type LEFT JOIN (SELECT DISTINCT rel FROM allowed) l ON e.rel = l.rel GROUP BY e.rel""")
@@ -262,8 +265,8 @@ def derived_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("rel", "x_type", "y_type", named.alias("named_after_head")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_EXCLUSIVE = [("indication", "contraindication"), ("indication", "offlabeluse"), ("contraindication", "offlabeluse")]
-_CONFLICTS = with_(SQL_E, SQL_NT, "x(p, q) AS (VALUES " + ", ".join(str(a) for a in _EXCLUSIVE) + ")", "pr AS (SELECT DISTINCT rel, least(x_index, y_index) AS a, greatest(x_index, y_index) AS b FROM e)", "l AS (SELECT p || '/' || q AS conflict, a, b, count(DISTINCT rel) = 2 AS is_both FROM x JOIN pr ON rel IN (p, q) GROUP BY ALL)")
+_EXCLUSIVE = [("indication", "contraindication"), ("indication", "offlabeluse"), ("contraindication", "offlabeluse"), ("proteinprotein", "coexpression")]
+_CONFLICTS = with_(SQL_E, SQL_NT, "x(p, q) AS (VALUES ('indication', 'contraindication'), ('indication', 'offlabeluse'), ('contraindication', 'offlabeluse'), ('proteinprotein', 'coexpression'))", "pr AS (SELECT DISTINCT rel, least(x_index, y_index) AS a, greatest(x_index, y_index) AS b FROM e)", "l AS (SELECT p || '/' || q AS conflict, a, b, count(DISTINCT rel) = 2 AS is_both FROM x JOIN pr ON rel IN (p, q) GROUP BY ALL)")
 
 
 @query(_CONFLICTS + """SELECT conflict, count(CASE WHEN is_both THEN 1 END)::BIGINT AS n_both, count(*)::BIGINT AS n_any, round(count(CASE WHEN is_both THEN 1 END) * 100.0::DOUBLE / count(*), 3) AS pct FROM l GROUP BY conflict""")
@@ -306,22 +309,31 @@ def uncertainty_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.uncertainty(table(spark, sf_dir, "table5_replication"), ("p_raw", "bonferroni", "permutations"))
 
 
-_LEVELS = [*ids.LEVEL_CONFIDENCE, "not_provided"]
-_LEVEL_OF = "CASE edge_id % 11 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(["knowledge_assertion", "logical_entailment", "prediction", "observation", "knowledge_assertion", "statistical_association"])) + " ELSE 'knowledge_assertion' END"
+_LEVELS = ["knowledge_assertion", "logical_entailment", "statistical_association", "observation", "prediction", "not_provided"]
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of the edges, as far as the tables tell: loaded soon after it was stated an edge is asserted, later predicted, else not told."""
+    k = table(spark, sf_dir, "kg_df")
+    late = F.datediff("loaded_at", "asserted_at")
+    return k.select(F.when(late.isNull(), "unstated").when(late <= 5, "knowledge_assertion").when(late <= 60, "observation").when(F.col("x_source") == F.col("y_source"), "logical_entailment").when(F.col("x_source").isNotNull(), "prediction").otherwise("not_provided").alias("level"))
+
+
+_SQL_LEVELS = """r AS (SELECT CASE WHEN d IS NULL THEN 'unstated' WHEN d <= 5 THEN 'knowledge_assertion' WHEN d <= 60 THEN 'observation' WHEN x_source = y_source THEN 'logical_entailment' WHEN x_source IS NOT NULL THEN 'prediction' ELSE 'not_provided' END AS level
+    FROM (SELECT *, date_diff('day', asserted_at::DATE, loaded_at::DATE) AS d FROM kg_df))"""
 
 
-@query(f"""
-    WITH r AS (SELECT {_LEVEL_OF} AS level FROM kg_df), l(level) AS (VALUES {", ".join(f"('{x}')" for x in _LEVELS)}), c AS (SELECT l.level, count(r.level) AS n FROM l LEFT JOIN r ON l.level = r.level GROUP BY l.level)
+@query(with_(_SQL_LEVELS, "l(level) AS (VALUES ('knowledge_assertion'), ('logical_entailment'), ('statistical_association'), ('observation'), ('prediction'), ('not_provided'))") + """
+    , c AS (SELECT l.level, count(r.level) AS n FROM l LEFT JOIN r ON l.level = r.level GROUP BY l.level)
     SELECT level, n::BIGINT AS n, round(sum(CASE WHEN level IN ('knowledge_assertion', 'logical_entailment') THEN n ELSE 0 END) OVER () * 1.0::DOUBLE / sum(n) OVER (), 6) AS trusted_share FROM c""")
 def level_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.level_distribution(table(spark, sf_dir, "kg_df").select(F.expr(_LEVEL_OF).alias("level")), _LEVELS, ["knowledge_assertion", "logical_entailment"])
+    return q.level_distribution(_levels(spark, sf_dir), _LEVELS, ["knowledge_assertion", "logical_entailment"])
 
 
-@query(f"""
-    SELECT level, CASE level {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in ids.LEVEL_CONFIDENCE.items())} END AS confidence, count(*)::BIGINT AS n FROM (SELECT {_LEVEL_OF} AS level FROM kg_df) GROUP BY level""")
+@query(with_(_SQL_LEVELS) + """
+    SELECT level, CASE level WHEN 'knowledge_assertion' THEN 1.0 WHEN 'logical_entailment' THEN 0.9 WHEN 'statistical_association' THEN 0.6 WHEN 'observation' THEN 0.5 WHEN 'prediction' THEN 0.3 END::DOUBLE AS confidence, count(*)::BIGINT AS n FROM r GROUP BY level""")
 def level_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "kg_df").select(F.expr(_LEVEL_OF).alias("level"))
-    return r.groupBy("level").agg(F.count(F.lit(1)).alias("n")).select("level", ids.level_confidence(F.col("level")).alias("confidence"), "n")
+    return _levels(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n")).select("level", ids.level_confidence(F.col("level")).alias("confidence"), "n")
 
 
 @query("""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,7 @@ def get_session(app: str = "lattiq", cpus: int | None = None, shuffle_partitions
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", os.environ.get("LATTIQ_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="lattiq-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

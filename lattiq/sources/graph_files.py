@@ -17,7 +17,7 @@ from lattiq.operators.linkpred import numbered
 
 EDGE_COLUMNS = ["relation", "display_relation", "x_index", "x_id", "x_type", "x_name", "x_source", "y_index", "y_id", "y_type", "y_name", "y_source"]
 # The kind of thing that a CURIE prefix names.
-PREFIX_TYPES = {"NCBIGENE": "gene", "PUBCHEM.COMPOUND": "drug", "DOID": "disease", "GO": "function", "UBERON": "anatomy", "HP": "phenotype", "CL": "cell", "REACTOME": "pathway", "KEGG": "pathway"}
+PREFIX_TYPES = {"NCBIGENE": "Gene", "PUBCHEM.COMPOUND": "Drug", "DOID": "Disease", "GO": "GO", "UBERON": "Anatomy", "HP": "Phenotype", "CL": "Cell", "REACTOME": "Pathway", "KEGG": "Pathway"}
 
 
 def csv(spark: SparkSession, path: str, columns: list[str], header: bool = True, sep: str = ",", comment: str | None = None) -> DataFrame:

@@ -45,14 +45,14 @@ def test_scored(spark, tmp_path):
     bridge = spark.createDataFrame([("DB2", 9), ("DB1", 9)], "drugbank_id string, pubchem_cid long")
     edges, nodes = gf.scored_triples(spark, p, drug_bridge=bridge)
     assert sorted(r.x_id for r in edges.collect()) == ["NCBIGENE:1", "NCBIGENE:2", "NCBIGENE:4"]
-    assert {r.drugbank_id for r in nodes.filter("type = 'drug'").collect()} == {"DB1"}
+    assert {r.drugbank_id for r in nodes.filter("type = 'Drug'").collect()} == {"DB1"}
 
 
 def test_biolink_and_bridges(spark, tmp_path, rows):
     n = write(tmp_path / "n.tsv", "id\tname\tcategory\tequivalent_identifiers\tupstream_data_source\nA:1\tx\t['biolink:Gene']\t[]\ts\nB:2\ty\tbiolink:Disease\t[]\ts\nC:3\tz\tbiolink:Agent\t[]\ts\nD:4\tz\tbiolink:Gene\t[]\ts\n")
     e = write(tmp_path / "e.tsv", "subject\tpredicate\tobject\tprimary_knowledge_source\taggregator_knowledge_source\tupstream_data_source\tknowledge_level\tagent_type\tnum_references\nA:1\tp\tB:2\ts\t\tu\tprediction\tm\t3\nA:1\tp\tC:3\ts\t\tu\tother\tm\tx\n")
     edges, nodes = gf.biolink(spark, n, e, {"Gene": "gene", "Disease": "disease"})
-    assert [(r.confidence_score, r.num_references) for r in edges.collect()] == [(0.5, 3.0)] and nodes.count() == 2
+    assert [(r.confidence_score, r.num_references) for r in edges.collect()] == [(0.3, 3.0)] and nodes.count() == 2
     s = write(tmp_path / "m.tsv", "# c\nsubject_id\tpredicate_id\tobject_id\nMONDO:1\tskos:exactMatch\tDOID:2\nMESH:3\tskos:closeMatch\tMONDO:1\nMONDO:1\tskos:broadMatch\tX:1\n")
     assert rows(gf.sssom(spark, s)) == [("MONDO:1", "DOID:2"), ("MONDO:1", "MESH:3")]
     c = write(tmp_path / "c.tsv.gz", "# c\nAsp\tC1\t\tG\t12\t\tHomo sapiens\nAsp\tC1\t\tG\tx\t\tHomo sapiens\nAsp\tC1\t\tG\t13\t\tMus\n")
