@@ -6,8 +6,10 @@ n-grams of words, so a sentence's scores are the mean of its words' scores, and
 
 The machines are fitted on a bounded sample of labelled documents (SAMPLE_DOCUMENTS for each label, chosen by hash), in
 rounds: sentences that the machines of one round assign to another language than the label are left out of the next,
-which removes wrong labels and the foreign parts of mixed texts. The languages of a document's sentences are the most
-likely path under a cost for changing language, so that single foreign terms and very short sentences change nothing.
+which removes wrong labels and the foreign parts of mixed texts. Decisions are taken in order: the families of a
+document's sentences are the most likely path under a cost for changing family, and within each run of one family the
+languages are the most likely path among its members only, so that single foreign terms and very short sentences change
+nothing. The confidence of a language is P(family) times P(language in the family).
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BUCKETS, GRAMS = 1 << 15, (1, 2, 3, 4)
 ROUNDS, EPOCHS, REGULARISATION = 2, 4, 1e-5
 #: Cost, in nats, of a change of language between two sentences.
 CHANGE = 4.0
+#: Margin by which another family, or another language of the family, must win for a label to be left out of a round.
+DOUBT = 0.2
 MOST_CACHED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -54,20 +58,21 @@ class Machines:
 
     families: dict[str, tuple[str, ...]]
     weights: np.ndarray
-    steepness: float = 1.0
+    #: Of the probabilities of families, and of languages within one.
+    steepness: tuple[float, float] = (1.0, 1.0)
 
     def __post_init__(self):
         self.languages = [x for f in self.families.values() for x in f]
         self.pairs = [p for f in self.families.values() for p in combinations(f, 2)]
-        self.family_of = {x: i for i, f in enumerate(self.families.values()) for x in f}
-        # language scores from machine scores: the margin of the family and the mean margin over the pairs within it
-        turn = np.zeros((len(self.families) + len(self.pairs), len(self.languages)), np.float32)
+        self.members = [np.array([self.languages.index(x) for x in f]) for f in self.families.values()]
+        self.family_of = np.array([i for i, f in enumerate(self.families.values()) for _ in f])
+        # from the margins of the pairs to the mean margin of each language; a family of one needs no machine
+        votes = np.zeros((len(self.pairs), len(self.languages)), np.float32)
         for j, x in enumerate(self.languages):
-            turn[self.family_of[x], j] = 1.0
             within = [(i, p) for i, p in enumerate(self.pairs) if x in p]
             for i, p in within:
-                turn[len(self.families) + i, j] = (1.0 if p[0] == x else -1.0) / len(within)
-        self.turn = turn
+                votes[i, j] = (1.0 if p[0] == x else -1.0) / len(within)
+        self.votes = votes
         self._cache: dict[str, int] = {}
         self._rows = np.zeros((1024, self.weights.shape[1] + 1), np.float32)
 
@@ -85,24 +90,53 @@ class Machines:
             self._rows[n, -1] = len(grams)
         return self._rows[[cache[w] for w in words]]
 
-    def scores(self, sentences: list[list[str]]) -> np.ndarray:
-        """Language scores of each sentence: hierarchical, so languages outside the winning family rank below those in it."""
+    def scores(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each sentence the margins of the families, and of each language against the others of its family."""
         if not sentences:
-            return np.zeros((0, len(self.languages)), np.float32)
+            return np.zeros((0, len(self.families)), np.float32), np.zeros((0, len(self.languages)), np.float32)
         starts = np.cumsum([0, *map(len, sentences)])[:-1]
         sums = np.add.reduceat(self.word_rows([w for s in sentences for w in s]), starts, axis=0)
         machine = sums[:, :-1] / sums[:, -1:]
-        return machine @ self.turn
-
-    def log_probabilities(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Of each language for each sentence by itself; short sentences say little."""
-        logits = scores * (self.steepness * np.minimum((lengths[:, None] / 8.0) ** 2, 1.0))
-        logits = logits - logits.max(axis=1, keepdims=True)
-        return np.maximum(logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)), -30.0)
+        k = len(self.families)
+        return machine[:, :k], machine[:, k:] @ self.votes
+
+    def predict(self, scores: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The language of each sentence by itself: the best family, then the best of its languages."""
+        families, languages = scores
+        best = families.argmax(axis=1)
+        return np.array([self.members[f][languages[i, self.members[f]].argmax()] for i, f in enumerate(best)], np.int64)
+
+    def log_probabilities(self, scores: tuple[np.ndarray, np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P of each family, and of each language in its own family, for each sentence by itself; short sentences say little."""
+        weight = np.minimum((lengths[:, None] / 8.0) ** 2, 1.0)
+        within = np.zeros_like(scores[1], np.float64)
+        for m in self.members:
+            within[:, m] = _log_softmax(scores[1][:, m] * (self.steepness[1] * weight))
+        return _log_softmax(scores[0] * (self.steepness[0] * weight)), within
+
+    def path(self, families: np.ndarray, within: np.ndarray) -> list[int]:
+        """The language of each sentence of one document: the likeliest path of families, then of languages in each run of one family."""
+        out: list[int] = []
+        chosen = likeliest_path(families)
+        start = 0
+        for i in range(1, len(chosen) + 1):
+            if i == len(chosen) or chosen[i] != chosen[start]:
+                m = self.members[chosen[start]]
+                out += m[likeliest_path(within[start:i][:, m])].tolist()
+                start = i
+        return out
+
+
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits = logits - logits.max(axis=1, keepdims=True)
+    return np.maximum(logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)), -30.0)
 
 
 def likeliest_path(logp: np.ndarray) -> list[int]:
-    """The most likely language of each sentence of one document, at a cost of CHANGE for each change (Viterbi)."""
+    """The most likely column for each row, at a cost of CHANGE for each change (Viterbi)."""
+    top = logp.argmax(axis=1)
+    if (top == top[0]).all():
+        return top.tolist()
     total, back = logp[0], []
     for row in logp[1:]:
         stay, leave = total, total.max() - CHANGE
@@ -155,13 +189,16 @@ def fit(sentences: list[list[str]], labels: list[str], families: dict[str, tuple
             average += weights
         machines = Machines(families, (average / EPOCHS * scale).astype(np.float32))
         scores = machines.scores(sentences)
-        wrong = (scores.argmax(axis=1) != y_all) & (scores.max(axis=1) - scores[np.arange(len(y_all)), y_all] > 0.2)
-        keep = ~wrong
+        row, family = np.arange(len(y_all)), machines.family_of[y_all]
+        off_family = scores[0].max(axis=1) - scores[0][row, family] > DOUBT
+        own = np.where(machines.family_of[None, :] == family[:, None], scores[1], -np.inf)
+        keep = ~(off_family | (own.max(axis=1) - own[row, y_all] > DOUBT))
     # steepness of the probabilities: the likeliest on the kept sentences, tempered
-    kept = scores[keep]
-    gold = y_all[keep]
-    best = max((0.5, 1, 2, 4, 8), key=lambda a: float(np.mean((a * kept)[np.arange(len(gold)), gold] - np.log(np.exp(a * (kept - kept.max(1, keepdims=True))).sum(1)) - a * kept.max(1))))
-    machines.steepness = float(min(best, 6.0))
+    steepness = []
+    for logits, gold in ((scores[0][keep], family[keep]), (own[keep], y_all[keep])):
+        fits = {a: float(_log_softmax(a * logits)[np.arange(len(gold)), gold].mean()) for a in (0.5, 1, 2, 4, 8)} if len(gold) else {1: 0.0}
+        steepness.append(float(min(max(fits, key=fits.get), 6.0)))
+    machines.steepness = (steepness[0], steepness[1])
     return machines
 
 
@@ -185,21 +222,20 @@ def _labeller(machines: Machines):
             parts = [sentences_of(t) if t else [] for t in batch["text"]]
             flat = [s for p in parts for s in p]
             lengths = np.array([len(s) for s in flat], np.float64)
-            logp = machines.log_probabilities(machines.scores(flat), lengths)
-            best, at = logp.argmax(axis=1), 0
+            families, within = machines.log_probabilities(machines.scores(flat), lengths)
+            at = 0
             for doc_id, sentences in zip(batch["doc_id"], parts):
                 end = at + len(sentences)
                 if end == at:
                     continue
-                top = best[at:end]
-                path = top.tolist() if (top == top[0]).all() else likeliest_path(logp[at:end])
+                path = machines.path(families[at:end], within[at:end])
                 start, seg = 0, 0
                 for i in range(1, len(path) + 1):
                     if i == len(path) or path[i] != path[start]:
                         seg += 1
-                        weight = lengths[at + start : at + i]
-                        sure = float((np.exp(logp[at + start : at + i, path[start]]) * weight).sum() / weight.sum())
-                        out.append((doc_id, seg, names[path[start]], sure, i - start, int(weight.sum())))
+                        weight, lang = lengths[at + start : at + i], path[start]
+                        p = np.exp(families[at + start : at + i, machines.family_of[lang]] + within[at + start : at + i, lang])
+                        out.append((doc_id, seg, names[lang], float((p * weight).sum() / weight.sum()), i - start, int(weight.sum())))
                         start = i
                 at = end
             yield pd.DataFrame(out, columns=["doc_id", "seg_no", "lang", "confidence", "n_sentences", "n_words"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +98,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = written(token_counts(table(spark, sf_dir, "documents")))
+    sizes = written(token_counts(table(spark, sf_dir, "documents"), os.environ.get("LATTIQ_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")))
     return mix_sources(sizes, table(spark, sf_dir, "source_targets"))
 
 

@@ -24,6 +24,8 @@ from lattiq.plans.lineage import written
 
 BINS, REFINEMENTS = 2048, 4
 SEED = 20_240_613
+#: The inclusion probability of a certain document is one less this.
+CERTAIN = 1e-12
 
 
 @lru_cache(maxsize=2)
@@ -36,8 +38,10 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, source, n_tokens) of documents (doc_id, source, text), over whole texts; null and empty texts have none."""
+def token_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of documents (doc_id, source, text), over whole texts; null and empty texts have none.
+
+    tokenizer: path of the ranks file of a byte pair encoding, which every executor must be able to read."""
 
     def count(column: pd.Series) -> pd.Series:
         encode = _encoding(tokenizer).encode_ordinary
@@ -90,12 +94,13 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple
     rates = {s: _rate([(r.s / r.n, r.s, r.s2) for r in classes if r.source == s], rest) if rest > 0 else 0.0 for s, (_, rest) in plan.items()}
     lookup = lambda values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])[F.col("source")] if values else F.lit(None)
     u = (F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    p = F.least(F.lit(1.0), lookup(rates) * F.col("n_tokens"))
-    rank = F.when(p >= 1.0, F.lit(-100.0)).when(p > 0, F.log(u / (1 - u)) - F.log(p / (1 - p)))
+    # documents as good as certain keep ranks of their own, before all others but without ties
+    p = F.least(F.lit(1 - CERTAIN), lookup(rates) * F.col("n_tokens"))
+    rank = F.when(p > 0, F.log(u / (1 - u)) - F.log(p / (1 - p)))
     ranked = written(rows.filter(F.col("source").isin(list(plan))).withColumn("rank", rank)) if plan else rows.withColumn("rank", F.lit(0.0)).limit(0)
     low, high = dict.fromkeys(plan, -101.0), dict.fromkeys(plan, 101.0)
     left = {s: rest for s, (_, rest) in plan.items() if rest > 0}
-    for _ in range(REFINEMENTS if left else 0):
+    for refinement in range(REFINEMENTS if left else 0):
         width = {s: (high[s] - low[s]) / BINS for s in left}
         bin_ = F.floor((F.col("rank") - lookup({s: low[s] for s in left})) / lookup(width))
         counted = ranked.filter(F.col("source").isin(list(left)) & (F.col("rank") > lookup({s: low[s] for s in left})) & (F.col("rank") <= lookup({s: high[s] for s in left}))).groupBy("source", bin_.alias("b")).agg(F.sum("n_tokens").alias("s")).collect()
@@ -104,11 +109,13 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple
             for r in sorted((r for r in counted if r.source == s), key=lambda r: r.b):
                 if r.s > left[s]:
                     low[s], high[s] = start + r.b * width[s], start + (r.b + 1) * width[s]
+                    if refinement == REFINEMENTS - 1 and 2 * left[s] > r.s:
+                        low[s] = high[s]
                     break
                 left[s] -= r.s
             else:
                 low[s] = high[s]
-    # what is below the last bin is in; the bin itself, narrower than any gap that matters, too if more than half of it is missing
+    # what is below the last bin is in; the bin itself, narrower than any gap that matters, too if more than half of it is needed
     copies = F.coalesce(lookup({s: c for s, (c, _) in plan.items()}), F.lit(0))
     cut = lookup({s: low[s] for s in left})
     taken = F.when(F.col("rank").isNotNull() & cut.isNotNull() & (F.col("rank") <= cut), 1).otherwise(0) if left else F.lit(0)

@@ -38,6 +38,14 @@ def test_inclusion_grows_with_size(spark):
     assert taken.count(100) > 3 * taken.count(10) > 0
 
 
+def test_certain_documents_are_taken_without_ties(spark):
+    """Documents larger than their share would let them be are as good as certain, and may not all fall at once."""
+    data = [(i, "a", 1000) for i in range(40)] + [(100 + i, "a", 1) for i in range(4000)] + [(9000, "b", 20_000)]
+    mix, shares = mixed(spark, data, [("a", 0.5, 1), ("b", 0.5, 1)])
+    got = sum(r["n_tokens"] for r in mix if r["source"] == "a")
+    assert abs(got - 20_000) <= 1000 and shares["a"]["most_copies"] == 1
+
+
 def test_odd_inputs(spark):
     data = [(1, None, 5), (2, "x", 9), (3, "a", 0), (4, "a", 7), (4, "a", 7), (5, "huge", 10**9)]
     mix, shares = mixed(spark, data, [("a", 0.5, 2), ("empty", 0.5, 2), ("none", None, None)])
@@ -49,7 +57,7 @@ def test_odd_inputs(spark):
 
 def test_tokens(spark, rows):
     df = spark.createDataFrame([(1, "s", "two words"), (2, None, ""), (3, "s", None), (4, "s", "a " * 50_000)], "doc_id long, source string, text string")
-    got = {r[0]: r[2] for r in rows(token_counts(df))}
+    got = {r[0]: r[2] for r in rows(token_counts(df, "/opt/tokenizers/byte_bpe_50k.tiktoken"))}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 40_000
 
 
@@ -84,7 +92,7 @@ def machines():
 def test_held_out_accuracy(machines):
     rng = random.Random(9)
     data = [(s, x) for x in WORDS for _ in range(40) for s in sentences_of(text(rng, x))]
-    best = machines.scores([s for s, _ in data]).argmax(axis=1)
+    best = machines.predict(machines.scores([s for s, _ in data]))
     assert np.mean([machines.languages[b] == x for b, (_, x) in zip(best, data)]) > 0.97
 
 
@@ -94,6 +102,22 @@ def test_path_ignores_a_short_stranger():
     assert likeliest_path(np.maximum(np.log(np.array([[1, 0], [1e-9, 1], [1e-9, 1]]) + 1e-12), -30)) == [0, 1, 1]
 
 
+def test_family_comes_first():
+    """A large margin within a losing family decides nothing."""
+    from lattiq.llm.languages import BUCKETS, FAMILIES
+
+    m = Machines(FAMILIES, np.zeros((BUCKETS, 12), np.float32))
+    pairs = np.zeros((1, len(m.pairs)), np.float32)
+    for i, (a, b) in enumerate(m.pairs):
+        pairs[0, i] = 1.0 if a == "fr" else -1.0 if b == "fr" else 0.0
+    scores = (np.array([[0.2, -0.1, -1.0]], np.float32), pairs @ m.votes)
+    assert m.languages[m.predict(scores)[0]] in FAMILIES["germanic"]
+    families, within = m.log_probabilities(scores, np.array([20.0]))
+    assert m.languages[m.path(families, within)[0]] in FAMILIES["germanic"]
+    total = sum(np.exp(families[0, f] + within[0, members]).sum() for f, members in enumerate(m.members))
+    assert abs(total - 1) < 1e-6 and within[0, m.languages.index("pl")] == 0
+
+
 def test_segments(spark, machines):
     rng = random.Random(10)
     docs = [(1, text(rng, "de", "de", "de"), "de"), (2, text(rng, "en", "en", "fr", "fr", "en"), "en"), (3, text(rng, "pt", "pt").upper().replace(" ", "  "), None), (4, None, "en"), (5, "", "en"), (6, "12 34!", ""), (7, text(rng, *["nl"] * 300), "und"), (7, text(rng, "pl", "pl"), "xx")]
