@@ -31,11 +31,11 @@ def _search(entries: list[tuple], lex: Lexicon, threshold: int):
     by_stem: dict[str, list[tuple]] = {}
     for entry in entries:
         by_stem.setdefault(entry[1], []).append(entry)
-    tree, words = BKTree([s for s in by_stem if s]), lex.words
+    tree, key = BKTree([s for s in by_stem if s]), lex.key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parsed = [lexicon(words).parse(n) for n in batch["name"]]
+            parsed = [lexicon(key).parse(n) for n in batch["name"]]
             stems = sorted({p.stem for p in parsed if p.stem})
             near: dict[str, list[tuple[int, str]]] = {}
             for q, node, d in zip(*(x.tolist() for x in tree.within(stems, threshold))):
@@ -64,8 +64,10 @@ def map_to_list(names: DataFrame, entries: DataFrame, unmatched: str = "UNMATCHE
     or one without a stem is unmatched; entries with a null name, or equal in stem, class words and number, do no harm:
     the smallest id wins a tie. An empty list leaves every name unmatched.
     """
-    names, entries = names.select("name").filter("name IS NOT NULL"), entries.select("entry_id", "name").filter("name IS NOT NULL")
-    lex = learn_lexicon(entries.select("name"))
+    parallel = names.sparkSession.sparkContext.defaultParallelism
+    # few names make one small file and thus one task; each name is a search, so they are spread
+    names, entries = names.select("name").filter("name IS NOT NULL").repartition(4 * parallel, "name"), entries.select("entry_id", "name").filter("name IS NOT NULL")
+    lex = learn_lexicon(entries.select("name"), typed=names)
     parsed = parse_names(entries, lex).select("entry_id", "stem", "words", "number")
     shards = max(1, -(-entries.count() // shard_rows))
     winners = []

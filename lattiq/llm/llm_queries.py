@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = table(spark, sf_dir, "table5_replication").select(F.lit("table5_replication.disease_name").alias("field_name"), F.col("rep_id").alias("row_id"), F.col("disease_name").alias("name"))
     typed = written(edges.unionByName(reps).filter("name IS NOT NULL").join(listed.select("name"), "name", "left_anti"))
     names = written(typed.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
-    mapped = names.join(map_to_list(names.select("name"), listed), "name")
+    mapped = written(names.join(map_to_list(names.select("name"), listed), "name"))  # read twice by join_groups
     return join_groups(typed, mapped, ["name"], "n", max(typed.count(), 1)).select("field_name", "row_id", F.col("entry_id").alias("mondo_id"))
 
 

@@ -1,7 +1,12 @@
 """Names typed in many ways: folded, cleaned of wrappings, and taken apart into stem, class words and number.
 
-The class words (leukemia, kinase, chronic ...) are learned: they are the words that many names of a reference list
-share. Everything else that is neither a number nor a wrapping is the stem, the part that tells two things apart.
+Nothing about the words is given; they are learned from the names:
+* class words (leukemia, kinase, chronic ...) are those that many names of a reference list share;
+* frame words (suspected, nos, hx, human ...) wrap a name without belonging to it: frequent words of typed names that
+  the list does not use and that are not the rarest word of their name, or, without a list, words without which the
+  rest of the name mostly is a name of its own;
+* acronyms stand for class words that often follow each other; variants are frequent ways to write a class word.
+Everything else that is no number is the stem, the part that tells two things apart.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words that wrap a name without belonging to it, and short forms that follow no rule.
-WRAPPINGS = frozenset("a an the hx history of hxof pt patient with ptwith suspected probable possible confirmed nos disorder human provisional complex compound".split())
-SHORT_FORMS = {"ar": ("autosomal", "recessive"), "ad": ("autosomal", "dominant"), "dz": ("disease",), "inherited": ("hereditary",), "sdr": ("syndrome",)}
-# Spellings that differ between varieties of English.
-SPELLINGS = {"anaemia": "anemia", "haemorrhage": "hemorrhage", "leukaemia": "leukemia", "oedema": "edema", "oesophagitis": "esophagitis", "signalling": "signaling", "tumour": "tumor"}
+from lattiq.plans.lineage import written
+
+# Roman numerals up to ten.
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
+#: Share of a frame word's names in which it must stand beside a rarer word; share of them whose rest must be a name.
+FRAMES_RARER_WORD, FRAMES_REST_IS_NAME = 0.8, 0.25
+#: Least share of all typed names for a frame word.
+FRAME_SHARE = 0.0005
 
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z]{2})")
 _WORD = re.compile(r"[^\W_]+\.?")
@@ -71,18 +78,28 @@ class Parsed:
 
 @dataclass
 class Lexicon:
-    """Class words; made by learn() from a reference list, or given."""
+    """What is known of the words; made by learn() or learn_lexicon() from names, or given."""
 
     words: frozenset[str]
+    frames: frozenset[str] = frozenset()
+    acronyms: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    variants: frozenset[str] = frozenset()
     _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
+    def __post_init__(self):
+        self._acronyms = dict(self.acronyms)
+
     @classmethod
     def learn(cls, names, least: float = 0.005, at_least: int = 3) -> Lexicon:
         """Class words of names: letters only, and in at least that share (and number) of the distinct stripped names."""
         distinct = {fold(n) for n in names if n}
         counts = Counter(w for n in distinct for w in {x.rstrip(".") for x in _WORD.findall(n)})
         limit = max(at_least, least * len(distinct))
-        return cls(_whole_words({w for w, n in counts.items() if n >= limit and len(w) > 2 and w.isalpha() and w not in WRAPPINGS}))
+        return cls(_whole_words({w for w, n in counts.items() if n >= limit and len(w) > 2 and w.isalpha()}))
+
+    @property
+    def key(self) -> tuple:
+        return self.words, self.frames, self.acronyms, self.variants
 
     def _class_words(self, token: str, short: bool) -> tuple[str, ...] | None:
         """The class words that token stands for, each as the shortest one of its family (transport for transporter)."""
@@ -93,10 +110,10 @@ class Lexicon:
         """The class words that token is a way to write; short: a full stop follows, or it is as short as an abbreviation."""
         if token in self.words:
             return (token,)
-        if token in SHORT_FORMS:
-            return SHORT_FORMS[token]
-        if token in SPELLINGS:
-            return (SPELLINGS[token],)
+        if token in self._acronyms:
+            return self._acronyms[token]
+        if both := next(((token[:i], token[i:]) for i in range(3, len(token) - 2) if token[:i] in self.words and token[i:] in self.words), None):
+            return both
         if short and len(token) > 1:
             if len(token) > 2 and (starts := [w for w in self.words if w.startswith(token)]):
                 return (min(starts),) if len(starts) == 1 else tuple(sorted(starts)[:1])
@@ -114,10 +131,9 @@ class Lexicon:
 
         short: a full stop follows, so that the end of token may be an abbreviation."""
         out, again = [], True
-        for w in ("the", "human"):
+        for w in self._long_frames:
             if token.startswith(w) and len(token) >= len(w) + 6:
                 token = token[len(w) :]
-        for w in ("complex", "compound", "provisional", "human"):
             if token.endswith(w) and len(token) >= len(w) + 6:
                 token = token[: -len(w)]
         if short:
@@ -142,10 +158,20 @@ class Lexicon:
     def _glue(self) -> list[tuple[str, str]]:
         """What may be written together with a stem, longest first."""
         if (got := self._memo.get(_glue_key := ("glue",))) is None:
-            words = [(w, w) for w in self.words if len(w) >= 4] + [(w, m) for w, m in SPELLINGS.items() if m in self.words] + [("type", "type")]
+            words = [(w, w) for w in self.words if len(w) >= 4] + [(w, m[0]) for w in self.variants if len(w) >= 5 and (m := self._written(w, False))] + [("type", "type")]
             got = self._memo[_glue_key] = sorted(words, key=lambda x: (-len(x[0]), x))
         return got
 
+    @property
+    def _long_frames(self) -> list[str]:
+        if (got := self._memo.get(_key := ("frames",))) is None:
+            got = self._memo[_key] = sorted((w for w in self.frames if len(w) > 2), key=lambda w: (-len(w), w))
+        return got
+
+    def _is_frame(self, token: str) -> bool:
+        """Whether token is a frame word, or two that were written together."""
+        return token in self.frames or any(token[:i] in self.frames and token[i:] in self.frames for i in range(2, len(token) - 1))
+
     def parse(self, name: str | None) -> Parsed:
         """Stem, class words and number of name; null and blank names have an empty stem."""
         if not name:
@@ -166,7 +192,7 @@ class Lexicon:
                 number = int(typed.group(1)[:9])
             elif token in ROMAN:
                 number = ROMAN[token]
-            elif token in ("type", "typ") or token in WRAPPINGS:
+            elif token in ("type", "typ") or self._is_frame(token):
                 continue
             elif (found := self._class_words(token, raw.endswith(".") or len(token) <= 8)) is not None:
                 words.update(found)
@@ -178,24 +204,54 @@ class Lexicon:
         return Parsed("".join(stem), frozenset(words), number)
 
 
-def learn_lexicon(names: DataFrame, least: float = 0.005, at_least: int = 3) -> Lexicon:
-    """As Lexicon.learn, over a column "name" of any size: only the words above the share reach the driver.
-
-    Those are at most 1 / least times the mean number of words in a name.
-    """
-    folded = names.select(F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}]+", " ")).alias("n")).filter("n <> ''").distinct()
-    total = folded.count()
-    counts = folded.select(F.explode(F.array_distinct(F.split("n", " "))).alias("w")).groupBy("w").count().filter(F.col("count") >= max(at_least, least * total))
-    rows = counts.filter(F.col("w").rlike("^[a-z]{3,}$")).collect()
-    return Lexicon(_whole_words({r.w for r in rows if r.w not in WRAPPINGS and r.w not in SPELLINGS}))
+def _tokens(names: DataFrame, column: str = "name") -> DataFrame:
+    """Distinct (n, w): folded names, and the array of their words."""
+    folded = names.select(F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}]+", " ")).alias("n")).filter("n <> ''").distinct()
+    return folded.withColumn("w", F.split("n", " "))
+
+
+def learn_lexicon(names: DataFrame, least: float = 0.005, at_least: int = 3, typed: DataFrame | None = None) -> Lexicon:
+    """A lexicon of columns "name" of any size; only words above the share reach the driver.
+
+    Those are at most 1 / least (1 / FRAME_SHARE for frames) times the mean number of words in a name. names: the
+    reference list; typed: names typed freely for its entries. Without typed, names are both. Counts and shares are over all distinct names."""
+    listed = written(_tokens(names))
+    total = listed.count()
+    counted = lambda df: df.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    limit = max(at_least, least * total)
+    often = {r.w for r in counted(listed).filter(F.col("c") >= limit).collect()}
+    words = _whole_words({w for w in often if len(w) > 2 and w.isascii() and w.isalpha()})
+    follow = listed.select(F.explode(F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> struct(w[i - 1] AS a, get(w, i) AS b))")).alias("p")).select("p.a", "p.b")
+    pairs = follow.filter(F.col("a").isin(list(words)) & F.col("b").isin(list(words))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= limit).collect() if words else []
+    acronyms: dict[str, tuple[str, ...]] = {}
+    for r in sorted(pairs, key=lambda r: (-r.c, r.a, r.b)):
+        acronyms.setdefault(r.a[0] + r.b[0], (r.a, r.b))
+    lexicon = Lexicon(words, frozenset(), tuple(sorted(acronyms.items())))
+    if typed is None:
+        # a word is a frame if the rest of its names mostly is a name of its own
+        w = F.explode(F.array_distinct(F.filter("w", lambda x: x.isin(list(words))))) if words else F.lit(None).cast("string")
+        rests = listed.select(w.alias("f"), "w").filter("f IS NOT NULL").withColumn("n", F.array_join(F.filter("w", lambda x: x != F.col("f")), " "))
+        held = rests.join(listed.select("n", F.lit(1).alias("held")), "n", "left").groupBy("f").agg(F.avg(F.coalesce("held", F.lit(0))).alias("share"))
+        frames = {r.f for r in held.filter(F.col("share") >= FRAMES_REST_IS_NAME).collect()}
+        return Lexicon(_whole_words(set(words) - frames), frozenset(frames), lexicon.acronyms)
+    tokens = written(_tokens(typed))
+    many = max(at_least, FRAME_SHARE * tokens.count())
+    counts = written(counted(tokens))
+    per = tokens.select("n", F.explode(F.array_distinct("w")).alias("w")).join(counts, "w")
+    least_of = per.groupBy("n").agg(F.min("c").alias("least"))
+    # what stands beside a rarer word is no stem
+    beside = per.filter(F.col("c") >= many).join(least_of, "n").groupBy("w").agg(F.avg((F.col("c") > 2 * F.col("least")).cast("double")).alias("share"))
+    frequent = {r.w for r in beside.filter(F.col("share") >= FRAMES_RARER_WORD).collect()} - words - set(ROMAN)
+    variants = {w for w in frequent if lexicon._written(w, len(w) <= 8)}
+    return Lexicon(words, frozenset(frequent - variants - set(acronyms)), lexicon.acronyms, frozenset(variants))
 
 
 def parse_names(names: DataFrame, lex: Lexicon) -> DataFrame:
     """names with stem, words (sorted, blank between) and number of their column "name"."""
-    words = lex.words
+    key = lex.key
 
     def parse(column: pd.Series) -> pd.DataFrame:
-        parsed = [lexicon(words).parse(n) for n in column]
+        parsed = [lexicon(key).parse(n) for n in column]
         return pd.DataFrame({"stem": [p.stem for p in parsed], "words": [" ".join(sorted(p.words)) for p in parsed], "number": [p.number for p in parsed]})
 
     kind = T.StructType([T.StructField("stem", T.StringType()), T.StructField("words", T.StringType()), T.StructField("number", T.LongType())])
@@ -204,6 +260,6 @@ def parse_names(names: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def lexicon(words: frozenset[str]) -> Lexicon:
-    """One lexicon, with its memo, for each set of class words in a worker."""
-    return Lexicon(words)
+def lexicon(key: tuple) -> Lexicon:
+    """One lexicon, with its memo, for each set of known words in a worker."""
+    return Lexicon(*key)

@@ -149,7 +149,7 @@ def record_overlaps(train: DataFrame, test: DataFrame) -> DataFrame:
     ends = lambda df, sides: df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_index").cast("bigint").alias("i"), canonical_id(F.col(f"{s}_id")).alias("cid"), F.col(f"{s}_id").cast("string").alias("id"), F.col(f"{s}_name").cast("string").alias("name")) for s in sides])).alias("e")).select("e.*")
     things = ends(test, ["a", "b"])
     mentions = written(ends(train, ["head", "tail"]).groupBy("i", "cid", "id", "name").agg(F.count(F.lit(1)).alias("n")))
-    lex = learn_lexicon(things.select("name").unionByName(mentions.select("name")))
+    lex = learn_lexicon(things.select("name"), typed=mentions.select("name"))
     things = written(parse_names(things.dropDuplicates(["side", "i", "cid", "name"]), lex).withColumn("thing", F.concat_ws("\x01", "side", F.coalesce(F.col("i").cast("string"), "cid", "name"))))
     mentions = written(parse_names(mentions, lex).withColumn("mention", _mention("i", "id", "name")))
     texts = lambda df: written(df.select(F.explode(F.array(F.struct(F.lit("id").alias("kind"), F.col("cid").alias("text")), F.struct(F.lit("name").alias("kind"), F.col("stem").alias("text")))).alias("t")).select("t.*").filter("text <> ''").distinct())

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattiq.llm.canonical import map_to_list
-from lattiq.llm.names import Lexicon
+from lattiq.llm.names import Lexicon, learn_lexicon
 from lattiq.llm.strings import BKTree, Strings, _plain, distances
 
 short = st.text("abcde", max_size=9)
@@ -36,7 +36,7 @@ def test_tree_returns_every_entry_within_threshold(entries, queries, threshold):
 
 
 LISTED = [f"{p} {s}{e} {c} type {n}" for p, e, c in (("chronic", "oid", "leukemia"), ("hereditary", "", "tumor"), ("congenital", "", "esophagitis")) for s in ("brabomul", "stigretav", "kuplinor", "wezodrat") for n in (1, 2)]
-LEX = Lexicon.learn(LISTED, least=0.01)
+LEX = Lexicon(Lexicon.learn(LISTED, least=0.01).words, frozenset("hx of confirmed nos pt with".split()), (("ar", ("autosomal", "recessive")),))
 
 
 def test_parse():
@@ -48,6 +48,21 @@ def test_parse():
     assert LEX.parse(None) == LEX.parse("") and LEX.parse("?").stem == ""
 
 
+def test_frames_are_learned(spark):
+    """Words that wrap typed names, or without which names are names still, are told from stems and class words."""
+    stems = ["".join(random.Random(f"{i}").choices(["ba", "ri", "lo", "mu", "ke", "to"], k=5)) for i in range(60)]
+    listed = spark.createDataFrame([(f"autosomal recessive {s} ataxia",) for s in stems], "name string")
+    wraps = ["suspected {}", "pt with {}", "{} nos", "{} (disorder)", "{}"]
+    typed = spark.createDataFrame([(wraps[(i + j) % 5].format(f"ar {s} ataksia" if j else f"autosomal recessive {s} ataxia"),) for i, s in enumerate(stems) for j in range(5)], "name string")
+    lex = learn_lexicon(listed, typed=typed)
+    assert lex.words == {"autosomal", "recessive", "ataxia"} and lex.frames == {"suspected", "pt", "with", "nos", "disorder"}
+    assert dict(lex.acronyms)["ar"] == ("autosomal", "recessive") and "ataksia" in lex.variants
+    p = lex.parse(f"ptwith ar {stems[3]}ataksia nos")
+    assert (p.stem, p.words) == (stems[3], {"autosomal", "recessive", "ataxia"})
+    alone = learn_lexicon(spark.createDataFrame([(f"{w}{s} kinase",) for s in stems for w in ("", "human ")], "name string"))
+    assert alone.words == {"kinase"} and alone.frames == {"human"}
+
+
 def test_map(spark, rows):
     entries = spark.createDataFrame([(f"M{i:02}", n) for i, n in enumerate(LISTED)] + [("M99", None)], "entry_id string, name string")
     typed = {"chronic brabomuloid leukemia type 2": "M01", "Chronic barbomuloid leukemia II": "M01", "chronic brabomuloid leukemia type 3": "UNMATCHED", "chronic brabomuloid leukemia": "UNMATCHED",

@@ -42,6 +42,8 @@ def test_overlaps(spark, rows):
         (8, "indication", 10, None, None, 20, None, "y" * 20_000, ""),
         (9, "indication", 10, "DB00000002", "Kuplinoramab", 21, None, None, ""),  # the index decides
         (10, "indication", 22, None, None, 12, None, None, ""),
+        # names in which a word that wraps others is learned as such
+        *[(20 + i, "indication", None, None, f"{n} (compound)", None, None, "unlisted disease", "") for i, n in enumerate(("Pazolimumab", "Vikoretinib", "Sudamegant", "Wobexarin"))],
     ]
     df = spark.createDataFrame(train, TRAIN)
     assert rows(record_overlaps(df, test)) == [(1, 1), (1, 2), (1, 3), (1, 8), (3, 10)]
