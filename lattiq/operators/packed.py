@@ -27,10 +27,23 @@ _OPENERS, _CLOSERS = frozenset("[{("), frozenset("]})")
 _QUOTES = frozenset("\"'")
 _BARE_STOP = re.compile(r"[,;|\s()\[\]{}]")
 _QUOTED_STOP = {q: re.compile(rf"[\\{q}]") for q in _QUOTES}
+_BRACKET = re.compile(r"[()\[\]{}]")
+_CLOSING = {q: re.compile(rf"{q}(?=[,;|\s)\]}}]|$)") for q in _QUOTES}
 _SURROGATE = re.compile("[\ud800-\udfff]")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
+def _matched(text: str) -> set[int]:
+    """The places of opening brackets that some bracket closes."""
+    waiting, closed = [], set()
+    for hit in _BRACKET.finditer(text):
+        if hit.group() in _OPENERS:
+            waiting.append(hit.start())
+        elif waiting:
+            closed.add(waiting.pop())
+    return closed
+
+
 def _quoted(text: str, start: int) -> tuple[str, int] | None:
     """The value of the quoted section that opens at start, and the place after it; None if it is never closed."""
     quote, parts, at, end = text[start], [], start + 1, len(text)
@@ -62,35 +75,32 @@ def _quoted(text: str, start: int) -> tuple[str, int] | None:
     return None
 
 
-def _bare(text: str, start: int, depth: int) -> tuple[str, int]:
+def _bare(text: str, start: int, depth: int, matched: set[int]) -> tuple[str, int]:
     """The bare value that begins at start, and the place after it. Inner round brackets protect delimiters if they close."""
-    at, inner, safe, end = start, 0, None, len(text)
+    at, inner = start, 0
     while hit := _BARE_STOP.search(text, at):
         here, char = hit.start(), hit.group()
-        if char in "([{":
-            if inner == 0:
-                safe = None
-            inner += 1
-        elif char in ")]}":
+        if char in _OPENERS:
+            inner += here in matched
+        elif char in _CLOSERS:
             if inner:
                 inner -= 1
             elif depth:
                 return text[start:here], here
         elif inner == 0:
             return text[start:here], here
-        elif safe is None:
-            safe = here
         at = here + 1
-    if inner and safe is not None:
-        return text[start:safe], safe
-    return text[start:], end
+    return text[start:], len(text)
 
 
 def split_packed(text: str | None) -> list[str]:
-    """The values packed in text, in order."""
+    """The values packed in text, in order. Time grows in proportion to text, also where nothing that opens is closed."""
     if not text:
         return []
     values, at, end, depth = [], 0, len(text), 0
+    matched = _matched(text) if _BRACKET.search(text) else set()
+    # beyond the last place where a quote could close, one that opens cannot be closed
+    last = {q: max((m.start() for m in _CLOSING[q].finditer(text)), default=-1) for q in _QUOTES if q in text}
     while at < end:
         char = text[at]
         if char in _DELIMITERS or char.isspace():
@@ -100,8 +110,8 @@ def split_packed(text: str | None) -> list[str]:
         elif char in _CLOSERS and depth:
             depth, at = depth - 1, at + 1
         else:
-            got = _quoted(text, at) if char in _QUOTES else None
-            value, at = got or _bare(text, at, depth)
+            got = _quoted(text, at) if char in _QUOTES and at < last[char] else None
+            value, at = got or _bare(text, at, depth, matched)
             if value := value.strip():
                 values.append(value)
     return values

@@ -15,9 +15,22 @@ _PARTIAL = "field_name string, key_value string, part int, seq int, n_rows bigin
 
 
 def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each run of a key in a sorted batch: rows, distinct neighbours, and the neighbours at both ends."""
-    part = TaskContext.get().partitionId()
-    for seq, batch in enumerate(batches):
+    """One row for each run of a key in a sorted partition: rows, distinct neighbours, and the neighbours at both ends.
+
+    The last run of a batch stays open until the next batch shows whether it goes on."""
+    part, names = TaskContext.get().partitionId(), ["field_name", "key_value", "part", "seq", "n_rows", "n_neighbours", "first_neighbour", "last_neighbour"]
+    open_, seq = None, 0
+
+    def rows_of(runs: list[list]) -> pa.RecordBatch:
+        nonlocal seq
+        columns = list(zip(*runs))
+        order = range(seq, seq + len(runs))
+        seq += len(runs)
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        values = [columns[0], columns[1], [part] * len(runs), order, *columns[2:]]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
+
+    for batch in batches:
         n = batch.num_rows
         if not n:
             continue
@@ -30,20 +43,23 @@ def _partial_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         starts = pc.indices_nonzero(new_key).to_numpy()
         ends = [*starts[1:].tolist(), n]
         counted = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(new_neighbour.cast(pa.int64()))]).to_numpy()
-        lasts = [e - 1 for e in ends]
-        yield pa.RecordBatch.from_arrays(
-            [
-                columns[0].take(pa.array(starts)),
-                columns[1].take(pa.array(starts)),
-                pa.array([part] * len(starts), pa.int32()),
-                pa.array([seq] * len(starts), pa.int32()),
-                pa.array([e - s for s, e in zip(starts.tolist(), ends)], pa.int64()),
-                pa.array([int(counted[e] - counted[s]) for s, e in zip(starts.tolist(), ends)], pa.int64()),
-                neighbour.take(pa.array(starts)),
-                neighbour.take(pa.array(lasts)),
-            ],
-            names=["field_name", "key_value", "part", "seq", "n_rows", "n_neighbours", "first_neighbour", "last_neighbour"],
-        )
+        at = pa.array(starts)
+        last = neighbour.take(pa.array([e - 1 for e in ends])).to_pylist()
+        runs = [
+            [f, k, e - s, int(counted[e] - counted[s]), first, end]
+            for f, k, s, e, first, end in zip(columns[0].take(at).to_pylist(), columns[1].take(at).to_pylist(), starts.tolist(), ends, neighbour.take(at).to_pylist(), last)
+        ]
+        if open_ is not None:
+            if runs[0][:2] == open_[:2]:
+                goes_on = open_[5] is not None and open_[5] == runs[0][4]
+                runs[0] = [*open_[:2], open_[2] + runs[0][2], open_[3] + runs[0][3] - goes_on, open_[4], runs[0][5]]
+            else:
+                runs.insert(0, open_)
+        open_ = runs.pop()
+        if runs:
+            yield rows_of(runs)
+    if open_ is not None:
+        yield rows_of([open_])
 
 
 def per_key_states(rows: DataFrame, keys: dict[str, str], order: str, partitions: int | None = None) -> DataFrame:
@@ -87,3 +103,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     limit = total / most_hot
     hot, cold = groups.filter(F.col(size) > limit), groups.filter(F.col(size) <= limit)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], rows_a_task: int = 100_000) -> DataFrame:
+    """Inner join of left and right, both of which may hold many rows of one key.
+
+    A key with more than rows_a_task left rows is cut into so many salts; its left rows are spread over them by hash and
+    its right rows repeated for each. The table of such keys has at most the number of left rows / rows_a_task rows, one
+    in rows_a_task, and is broadcast. The result is that of left.join(right, keys); null keys match nothing."""
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows_a_task).select(*keys, F.ceil(F.col("__n") / rows_a_task).cast("int").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), salts).cast("int")
+    a = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread).drop("__salts")
+    b = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return a.join(b, [*keys, "__salt"]).drop("__salt")

@@ -57,3 +57,14 @@ def test_explode(spark, rows):
     assert explode_packed(df.limit(0), "f").count() == 0
     with pytest.raises(ValueError):
         explode_packed(df.withColumnRenamed("other", "pos"), "f")
+
+
+def test_time_is_linear_where_nothing_closes():
+    import time
+
+    from lattiq.operators.packed import split_packed
+
+    for text in ("(a, " * 60_000, "'a, " * 60_000, '"b(c ' * 60_000):
+        began = time.time()
+        assert len(split_packed(text)) >= 60_000
+        assert time.time() - began < 5

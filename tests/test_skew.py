@@ -41,3 +41,24 @@ def test_join_groups_keeps_every_row(spark, rows):
     groups = left.groupBy("k").count()
     for most in (1, 10, 1000):
         assert join_groups(left, groups, ["k"], "count", 100, most).count() == 100
+
+
+def test_salted_join_is_a_join(spark, rows):
+    from lattiq.operators.skew import salted_join
+
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 1), ("hot", 2), ("hot", 2)], "k string, a int")
+    right = spark.createDataFrame([("hot", i) for i in range(20)] + [(f"k{i}", i) for i in range(50)] + [(None, 3)], "k string, b int")
+    want = rows(left.join(right, "k"))
+    for rows_a_task in (7, 100_000):
+        assert rows(salted_join(left, right, ["k"], rows_a_task)) == want
+    assert rows(salted_join(left.limit(0), right, ["k"])) == []
+
+
+def test_states_fold_over_small_batches(spark, rows):
+    data = [(i, "hot" if i % 4 else f"k{i % 9}", "r", f"n{i % 13}" if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, x string, r string, y string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(per_key_states(df, {"x": "y", "r": "y"}, "id", 3)) == brute(data)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
