@@ -1,15 +1,21 @@
 """Consolidating pairwise links into groups: connected components by low-diameter decomposition.
 
 Each level grows clusters from exponentially shifted start times (a vertex joins the cluster whose shifted wave reaches
-it first), contracts every cluster to one super-vertex, and recurses on the edges between clusters until none is left;
-the assignments of the levels are composed. Waves are cut off after a few hops: a vertex then stays with the best
-cluster known so far, which is always one that it is linked to, so the groups are exact whatever the cut-off.
+it first; waves run until no vertex changes), contracts every cluster to one super-vertex, and recurses on the edges
+between clusters until none is left; the assignments of the levels are composed. A level cuts about a share BETA of the
+edges, so levels grow with the logarithm of the links, and waves of a level with that over BETA.
 
-Nothing is gathered on the driver but counts and the hubs of a level (at most MOST_HUBS vertices, by arithmetic).
+While a level has more than LOCAL_EDGES edges its waves are joins; below that, which is a fixed size, one task runs the
+same levels over arrays. Nothing is gathered on the driver but counts and the hubs of a level (at most MOST_HUBS
+vertices, by arithmetic).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +23,11 @@ from lattiq.operators.skew import join_groups
 from lattiq.plans.lineage import written
 
 #: Rate of the exponential shifts: about a share BETA of all edges is cut at each level by the decomposition itself.
-BETA = 0.2
-#: Hops a wave runs at one level.
-HOPS = 3
+BETA = 0.4
 #: A vertex with more than 1 / MOST_HUBS of all edges is a hub; its rows are joined by broadcast.
 MOST_HUBS = 1000
+#: Edges of a level that one task takes, both ways counted.
+LOCAL_EDGES = 2_000_000
 
 
 def _along(edges: DataFrame, state: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -39,10 +45,15 @@ def _level(edges: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     uniform = (F.pmod(F.xxhash64("u", F.lit(level)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     # a wave that starts earlier has a smaller key; the largest shift starts first
     state = degrees.select("u", (F.log(uniform) / BETA).alias("time"), F.col("u").alias("center"))
-    for _ in range(HOPS):
+    state = written(state)
+    while True:
         waves = _along(edges, state, hubs).select(F.col("v").alias("u"), (F.col("time") + 1).alias("time"), "center")
-        best = state.unionByName(waves).groupBy("u").agg(F.min(F.struct("time", "center")).alias("b"))
-        state = written(best.select("u", "b.time", "b.center"))
+        reached = waves.groupBy("u").agg(F.min(F.struct("time", "center")).alias("w"))
+        # no wave that comes by an edge is later than a step after the sender's own, so times only fall and waves end
+        better = F.col("w") < F.struct("time", "center")
+        state = written(state.join(reached, "u", "left").select("u", F.coalesce(F.when(better, F.col("w.time")), "time").alias("time"), F.coalesce(F.when(better, F.col("w.center")), "center").alias("center"), F.coalesce(better, F.lit(False)).alias("changed")))
+        if state.filter("changed").isEmpty():
+            break
     assignment = state.select("u", "center")
     one = _along(edges, assignment, hubs).select(F.col("center").alias("cu"), "v", "hub")
     half = one.filter("cu IS NOT NULL").select(F.col("v").alias("u"), F.col("cu").alias("v")).distinct()
@@ -51,7 +62,39 @@ def _level(edges: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     return assignment, written(contracted)
 
 
-def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def decompose(u: np.ndarray, v: np.ndarray, vertices: int, seed: int = 0) -> np.ndarray:
+    """The cluster of each vertex (0 .. vertices - 1) after all levels, for edges u - v in both directions."""
+    composed, level = np.arange(vertices), seed
+    while len(u):
+        shift = np.random.default_rng(level).exponential(1 / BETA, vertices)
+        time, center = -shift, np.arange(vertices)
+        while True:
+            # the earliest wave at each end; ties go to the smaller center
+            order = np.lexsort((center[u], time[u], v))
+            first = np.ones(len(order), bool)
+            first[1:] = v[order][1:] != v[order][:-1]
+            at, sender = v[order][first], u[order][first]
+            better = (time[sender] + 1 < time[at]) | ((time[sender] + 1 == time[at]) & (center[sender] < center[at]))
+            if not better.any():
+                break
+            time[at[better]], center[at[better]] = time[sender[better]] + 1, center[sender[better]]
+        composed = center[composed]
+        u, v = center[u], center[v]
+        edges = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+        u, v, level = edges[:, 0], edges[:, 1], level + 1
+    return composed
+
+
+def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(batches)
+    if parts:
+        edges = pd.concat(parts)
+        codes, names = pd.factorize(np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy()]))
+        cluster = decompose(codes[: len(edges)], codes[len(edges) :], len(names))
+        yield pd.DataFrame({"u": names, "center": names[cluster]})
+
+
+def connected_groups(links: DataFrame, a: str = "a", b: str = "b", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(member, group_id) of every record in links (a, b); group_id is the smallest member of the group.
 
     Links may repeat, point either way or join a record to itself; a link with a null end links nothing (its other end
@@ -61,9 +104,14 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     members = written(pairs.select(F.explode(F.array("x", "y")).alias("member")).filter("member IS NOT NULL").distinct())
     real = pairs.filter("x <> y")
     edges = written(real.selectExpr("x AS u", "y AS v").unionByName(real.selectExpr("y AS u", "x AS v")).distinct())
-    composed, level = members.withColumn("center", F.col("member")), 0
-    while not edges.isEmpty():
-        assignment, edges = _level(edges, level)
+    composed, level, n = members.withColumn("center", F.col("member")), 0, edges.count()
+    while n:
+        if n <= local_edges:
+            kind = edges.schema["u"].dataType.simpleString()
+            assignment, n = written(edges.coalesce(1).mapInPandas(_local, f"u {kind}, center {kind}")), 0
+        else:
+            assignment, edges = _level(edges, level)
+            n = edges.count()
         sizes = composed.groupBy("center").agg(F.count(F.lit(1)).alias("n"))
         step = sizes.join(assignment.select(F.col("u").alias("center"), F.col("center").alias("next")), "center")
         total = max(composed.count(), 1)

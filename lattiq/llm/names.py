@@ -233,7 +233,11 @@ def learn_lexicon(names: DataFrame, least: float = 0.005, at_least: int = 3, typ
         rests = listed.select(w.alias("f"), "w").filter("f IS NOT NULL").withColumn("n", F.array_join(F.filter("w", lambda x: x != F.col("f")), " "))
         held = rests.join(listed.select("n", F.lit(1).alias("held")), "n", "left").groupBy("f").agg(F.avg(F.coalesce("held", F.lit(0))).alias("share"))
         frames = {r.f for r in held.filter(F.col("share") >= FRAMES_REST_IS_NAME).collect()}
-        return Lexicon(_whole_words(set(words) - frames), frozenset(frames), lexicon.acronyms)
+        words = _whole_words(set(words) - frames)
+        known = Lexicon(words)
+        written_often = counted(listed).filter((F.col("c") >= max(at_least, FRAME_SHARE * total)) & (F.length("w") >= 5)).collect()
+        variants = frozenset(r.w for r in written_often if r.w not in words and r.w not in frames and known._written(r.w, False))
+        return Lexicon(words, frozenset(frames), lexicon.acronyms, variants)
     tokens = written(_tokens(typed))
     many = max(at_least, FRAME_SHARE * tokens.count())
     counts = written(counted(tokens))

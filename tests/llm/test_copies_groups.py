@@ -73,6 +73,7 @@ def test_groups_equal_union_find(spark, rows):
     pairs = chain + star + noise + noise + [("alone", "alone"), ("left", None), (None, None)]
     df = spark.createDataFrame(pairs, "a string, b string")
     assert rows(connected_groups(df)) == union_find(pairs)
+    assert rows(connected_groups(df, local_edges=100)) == union_find(pairs)  # joins first, then one task
     assert rows(connected_groups(df.limit(0))) == []
     numbers = spark.createDataFrame([(5, 3), (3, 9), (1, 2)], "a long, b long")
     assert rows(connected_groups(numbers)) == [(1, 1), (2, 1), (3, 3), (5, 3), (9, 3)]
