@@ -19,8 +19,9 @@ MOST_EDITS, CHARACTERS_AN_EDIT = 2, 3.5
 #: Pairs that one segment may bring together before it is refined.
 MOST_PAIRS = 250_000
 
-_LENGTH = "(la div (k + 1)) + IF(i >= k + 1 - la % (k + 1), 1, 0)"
-_START = "i * (la div (k + 1)) + greatest(0, i - (k + 1 - la % (k + 1)))"
+# where the i-th of k + 1 segments of a text of la characters begins, and its size
+_START = "cast(i * (la div (k + 1)) + greatest(0, i - (k + 1 - la % (k + 1))) AS int)"
+_SIZE = "cast((la div (k + 1)) + IF(i >= k + 1 - la % (k + 1), 1, 0) AS int)"
 
 
 def budget(length: Column) -> Column:
@@ -28,25 +29,27 @@ def budget(length: Column) -> Column:
     return F.least(F.lit(MOST_EDITS), F.floor(length / CHARACTERS_AN_EDIT)).cast("int")
 
 
-def _cut(rows: DataFrame, places: str) -> DataFrame:
-    """rows once for each of places (i, start, size) in rest: key grows by the segment, rest shrinks by it, and so does la."""
-    at = rows.withColumn("s", F.explode(F.expr(places)))
-    segment = F.expr("substring(rest, cast(s.start AS int) + 1, cast(s.size AS int))")
-    rest = F.expr("concat(substring(rest, 1, cast(s.start AS int)), substring(rest, cast(s.start + s.size AS int) + 1))")
-    key = F.xxhash64("key", "la", F.col("s.i"), segment)
-    return at.select("block", "side", "text", key.alias("key"), rest.alias("rest"), (F.col("la") - F.col("s.size")).cast("int").alias("la"), "k")
+def _cut(rows: DataFrame) -> DataFrame:
+    """rows (.., i, start, size) with the segment taken: key grows by it, rest shrinks by it, and so does la."""
+    key = F.xxhash64("key", "la", "i", F.expr("substring(rest, start + 1, size)"))
+    rest = F.expr("concat(substring(rest, 1, start), substring(rest, start + size + 1))")
+    return rows.select("block", "side", "text", key.alias("key"), rest.alias("rest"), (F.col("la") - F.col("size")).alias("la"), "k")
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    # exploded column by column, which stays in generated code where nested array functions do not
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumns({"start": F.expr(_START), "size": F.expr(_SIZE)})
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    return _cut(rows, f"transform(sequence(0, k), i -> named_struct('i', i, 'start', {_START}, 'size', {_LENGTH}))")
+    return _cut(_segments(rows))
 
 
 def _probe(rows: DataFrame) -> DataFrame:
     d = "(length(rest) - la)"
-    low, high = f"greatest(c.p - c.i, c.p + {d} - (k - c.i), 0)", f"least(c.p + c.i, c.p + {d} + (k - c.i), length(rest) - c.g)"
-    segments = f"transform(sequence(0, k), i -> named_struct('i', i, 'p', {_START}, 'g', {_LENGTH}))"
-    places = f"IF({low} <= {high}, transform(sequence({low}, {high}), q -> named_struct('i', c.i, 'start', q, 'size', c.g)), array())"
-    return _cut(rows, f"flatten(transform({segments}, c -> {places}))")
+    low, high = F.expr(f"greatest(start - i, start + {d} - (k - i), 0)"), F.expr(f"least(start + i, start + {d} + (k - i), length(rest) - size)")
+    ranged = _segments(rows).withColumns({"low": low, "high": high}).filter("low <= high")
+    return _cut(ranged.withColumn("start", F.explode(F.sequence("low", "high"))))
 
 
 def near_pairs(strings: DataFrame) -> DataFrame:
