@@ -1,11 +1,15 @@
 """Evaluation texts that leak into a corpus: pigeonhole edit matching over words.
 
-Every test item is cut into pieces of PIECE words. An excerpt of EXCERPT words with at most so many edits that one piece
-stays whole (the error budget plus one pieces of the pigeonhole principle) has an exact piece hit. A document is a
-candidate for an item if it hits a piece and holds two of the item's rare words (names and figures, which a leak keeps)
-at about the distance they have in the item. Candidates are verified by Myers' bit-parallel distance: each sentence of
-the item, or else each half of it, is searched in the whole document within its budget of edits; what is found with its
-own names and figures adds up, over broken-up and reordered copies, to the number of words leaked.
+An excerpt of EXCERPT words may have EDITS edits. Every test item is cut into pieces so short that any excerpt of it holds
+EDITS + 1 whole ones; one of them must then stand unchanged in a document that repeats the excerpt. Documents are
+searched for exact hits of all pieces; what is hit is verified by Myers' bit-parallel distance: each sentence of the
+item, or else each half or quarter of it, is searched in the whole document within its budget of edits, and windows
+around the hits are searched near their place, for excerpts that begin or end within a sentence. What is found adds up,
+over broken-up and reordered copies, to the number of words leaked.
+
+A leak must bear the item's own names and figures. Those are told from customary words by one statistic over all
+documents: how many use a word, and a pair of neighbours, outside copies. Within a copied run of COPIED_RUN words of the
+item a document's words are not counted, so an item stays as it is however widely it leaks.
 
 The items are a stated query set: they are broadcast in blocks of ITEMS_A_BLOCK, and each block meets every document in
 one pass without a shuffle. Texts are taken whole.
@@ -16,7 +20,6 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
@@ -24,27 +27,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEMS_A_BLOCK = 5_000
-#: Words of an item that a document must repeat; edits allowed among them, and the words of one piece that then stays whole.
+#: Words of an item that a document must repeat; edits allowed among them, and the words of one of EDITS + 1 pieces. An excerpt
+#: that begins anywhere holds at least EDITS + 1 whole pieces of the item's cut: (EDITS + 1) * PIECE + PIECE - 1 <= EXCERPT.
 EXCERPT, EDITS = 18, 4
 PIECE = (EXCERPT + 1) // (EDITS + 2)
+#: Words of a window around a hit, and edits allowed in it.
+WINDOW, WINDOW_EDITS = 3 * PIECE, 3
 #: Share of the words of a sentence that may be edited, dropped or added.
 EDIT_SHARE = 0.35
 #: Edited words do not count as repeated: this many of EXCERPT must be left.
 LEAST_WORDS = EXCERPT - EDITS
 #: Share of a found part's names, and of its figures, that must be the item's own.
 OWN_SHARE = 0.6
-#: A word is rare (a name or figure, not customary) if at most so large a share of all documents has it beside any neighbour
-#: that it has in an item, and at most so large a share has it at all. An item without two such words, because it leaked
-#: into many documents itself, goes by its words that at most RARE_ITEMS of the items (or LEAST_ITEMS) use.
-RARE_PAIR_SHARE, RARE_WORD_SHARE, LEAST_DOCUMENTS, RARE_ITEMS, LEAST_ITEMS = 0.0012, 0.012, 3, 0.02, 2
-#: An excerpt that leaked widely makes its own names customary. A run of COPIED_RUN of its words that stands in documents
-#: (at least two, and COPIED_SHARE of those with its least frequent word; copies with edits break runs) gives rarity back to
-#: those of its words that hardly stand elsewhere: in at most OWN_EXCESS times as many documents as the least frequent one.
-COPIED_RUN, COPIED_SHARE, OWN_EXCESS = 12, 0.05, 1.2
-#: One rare word is enough for a candidate in a run of so many equal words.
+#: A word is the item's own (a name or figure, not customary) if, outside copies, at most so large a share of all documents
+#: has it beside any neighbour that it has in an item, and at most so large a share has it at all.
+RARE_PAIR_SHARE, RARE_WORD_SHARE, LEAST_DOCUMENTS = 0.0012, 0.012, 3
+#: Equal words in a row that make a copy.
+COPIED_RUN = 12
+#: One own word is enough in a run of so many equal words.
 LONG_RUN = 9
-#: Rare words of a leak may be further apart or closer than in the item by this many words.
-DRIFT = 8
+#: Words of a leak may be further apart or closer than in the item by this many words; from a hit to the next, by so many.
+DRIFT, STEP = 8, 3
 
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\s*\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+(?:[.,]\d+)*")
@@ -99,77 +102,75 @@ class Unit:
 
 
 class Items:
-    """A block of test items, indexed by rare words and pieces."""
+    """A block of test items, indexed by pieces."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, [u for s in _SENTENCE.split(t or "") if (u := words_of(s))], words_of(t or "")) for i, t in items]
-        #: words, pairs of neighbours in a sentence, and runs of COPIED_RUN words -> number
-        self.terms: dict[str | tuple[str, ...], int] = {}
+        #: words, and pairs of neighbours in a sentence -> number
+        self.terms: dict[str | tuple[str, str], int] = {}
+        self.runs: set[tuple[str, ...]] = set()
         for _, sentences, whole in self.items:
             for ws in sentences:
                 for term in (*ws, *zip(ws, ws[1:])):
                     self.terms.setdefault(term, len(self.terms))
-            for term in (*whole, *_runs(whole)):
+            for term in whole:
                 self.terms.setdefault(term, len(self.terms))
+            self.runs.update(_runs(whole))
 
     def index(self, documents_with: dict[int, int], documents: int) -> Items:
-        """Ready for candidates() and leaked(): documents_with has the number of documents that hold each term."""
+        """Ready for candidates() and leaked(): documents_with has the number of documents that hold each term outside copies."""
         limit, word_limit = max(LEAST_DOCUMENTS, RARE_PAIR_SHARE * documents), max(LEAST_DOCUMENTS, RARE_WORD_SHARE * documents)
-        customary = {w for term, k in self.terms.items() if isinstance(term, tuple) and len(term) == 2 and documents_with.get(k, 0) > limit for w in term}
+        customary = {w for term, k in self.terms.items() if isinstance(term, tuple) and documents_with.get(k, 0) > limit for w in term}
         frequent = {term for term, k in self.terms.items() if isinstance(term, str) and documents_with.get(k, 0) > word_limit}
-        counts = Counter(w for _, _, ws in self.items for w in set(ws))
-        self.ids, self.words, self.rare, self.units, self.pieces = [], [], [], [], []
-        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)  # rare word -> (item, position)
+        self.ids, self.words, self.own, self.units, self.windows = [], [], [], [], []
+        self.pieces: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)  # piece -> (item, position)
+        self.holders: dict[str, list[int]] = defaultdict(list)  # own word -> items
+        self.bare: set[int] = set()  # items with hardly a word of their own: only equal runs can tell
         for n, (item_id, sentences, ws) in enumerate(self.items):
-            rare = set(ws) - customary - frequent
-            for run in _runs(ws):
-                if (copies := documents_with.get(self.terms[run], 0)) >= 2:
-                    held = {w: documents_with.get(self.terms[w], 0) for w in run}
-                    least = min(held.values())
-                    if copies >= COPIED_SHARE * least:
-                        rare |= {w for w, k in held.items() if k <= OWN_EXCESS * least}
-            if len(rare) < 2:
-                rare = {w for w in ws if counts[w] <= max(LEAST_ITEMS, RARE_ITEMS * len(self.items))}
+            own = set(ws) - customary - frequent
             self.ids.append(item_id)
             self.words.append(ws)
-            self.rare.append(rare)
-            self.units.append([Unit(u, rare) for u in sentences])
-            self.pieces.append([tuple(ws[i : i + PIECE]) for i in range(0, len(ws) - PIECE + 1, PIECE)])
-            for at, w in enumerate(ws):
-                if w in rare:
-                    self.places[w].append((n, at))
+            self.own.append(own)
+            self.units.append([Unit(u, own) for u in sentences])
+            self.windows.append({i: Unit(ws[i : i + WINDOW], own) for i in range(0, max(1, len(ws) - WINDOW + 1), PIECE)})
+            for w in own:
+                self.holders[w].append(n)
+            if len(own) < 2:
+                self.bare.add(n)
+            for i in range(0, len(ws) - PIECE + 1, PIECE):
+                self.pieces[tuple(ws[i : i + PIECE])].append((n, i))
         return self
 
-    def _run(self, n: int, place: int, words: list[str], at: int) -> int:
-        """Words around words[at] that equal those around place in item n."""
+    def _run(self, n: int, place: int, words: list[str], at: int) -> tuple[int, int]:
+        """The part of item n around place that equals the words around words[at]: begin and end."""
         item, low, high = self.words[n], 0, 1
         while low < at and low < place and words[at - low - 1] == item[place - low - 1]:
             low += 1
         while at + high < len(words) and place + high < len(item) and words[at + high] == item[place + high]:
             high += 1
-        return low + high
-
-    def candidates(self, words: list[str]) -> list[int]:
-        """Items with two rare words in words at about their own distance, or one in a long run, and with a whole piece."""
-        seen: dict[int, list[tuple[int, int, str]]] = {}
-        found = set()
-        get = self.places.get
-        for at, w in enumerate(words):
-            if posted := get(w):
-                for n, place in posted:
-                    if n in found:
-                        continue
-                    before = seen.setdefault(n, [])
-                    if any(v != w and abs((at - a) - (place - p)) <= DRIFT for a, p, v in before) or self._run(n, place, words, at) >= LONG_RUN:
-                        found.add(n)
-                    before.append((at, place, w))
-        if not found:
-            return []
-        grams = set(zip(*(words[i:] for i in range(PIECE))))
-        return [n for n in found if any(p in grams for p in self.pieces[n])]
-
-    def leaked(self, n: int, words: list[str]) -> tuple[int, int, int, int, int]:
-        """(words, names found, names there, figures found, figures there) of item n over its parts found in words."""
+        return place - low, place + high
+
+    def candidates(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Items of which a piece stands in words -> (place in words, place in item) of each hit.
+
+        Items that verification would turn down at once are left out: those of whose own words none is in words."""
+        holders, possible = self.holders.get, Counter()
+        for w in set(words):
+            if posted := holders(w):
+                possible.update(posted)
+        possible.update(self.bare)
+        found: dict[int, list[tuple[int, int]]] = {}
+        if possible:
+            get = self.pieces.get
+            for at, gram in enumerate(zip(*(words[i:] for i in range(PIECE)))):
+                if posted := get(gram):
+                    for n, place in posted:
+                        if n in possible:
+                            found.setdefault(n, []).append((at, place))
+        return {n: hits for n, hits in found.items() if possible[n] >= 2 or any(b - a >= LONG_RUN for a, b in (self._run(n, p, words, at) for at, p in hits))}
+
+    def leaked(self, n: int, words: list[str], hits: list[tuple[int, int]]) -> tuple[int, int, int, int, int]:
+        """(words, names found, names there, figures found, figures there) of item n over its parts found in words; hits as of candidates()."""
         total = [0] * 5
         here = set(words)
 
@@ -193,46 +194,51 @@ class Items:
                     if not take(half):
                         for quarter in half.halves:
                             take(quarter)
-        cut = self.excerpt(n, words)
+        cut = self.excerpt(n, words, hits)
         return max(tuple(total), cut, key=lambda x: (is_leak(*x), x))
 
-    def excerpt(self, n: int, words: list[str]) -> tuple[int, int, int, int, int]:
+    def excerpt(self, n: int, words: list[str], hits: list[tuple[int, int]]) -> tuple[int, int, int, int, int]:
         """As leaked(), for the longest excerpt of item n that begins or ends within a sentence.
 
-        Rare words that keep their distances mark the excerpt; words beside them are aligned, and count in runs of two."""
-        item, rare = self.words[n], self.rare[n]
-        hits = [(at - place, at, place) for at, w in enumerate(words) if w in rare for m, place in self.places[w] if m == n]
-        best = (0, 0, 0, 0, 0)
-        for shift in {h[0] for h in hits}:
-            near = [h for h in hits if abs(h[0] - shift) <= DRIFT]
-            if len({h[2] for h in near}) < 2 and self._run(n, near[0][2], words, near[0][1]) < LONG_RUN:
-                continue
-            low, high = max(0, min(h[2] for h in near) - EXCERPT), max(h[2] for h in near) + EXCERPT
-            part, start = item[low:high], max(0, low + shift - DRIFT)
-            blocks = SequenceMatcher(None, part, words[start : high + shift + DRIFT], autojunk=False).get_matching_blocks()
-            held = [i for b in blocks for i in range(b.a, b.a + b.size) if abs(b.b + start - b.a - low - shift) <= DRIFT and (b.size > 1 or part[b.a] in rare)]
-            # from the rare words held outwards, up to the first one that is not: beyond, another text goes on
-            marks = [i for i in held if part[i] in rare]
-            if not marks:
+        Hits at about the same distance belong together. Windows around them are searched near their place, runs of equal
+        words go on beyond the windows; between them count the words that stand near their place."""
+        item, own, best = self.words[n], self.own[n], (0, 0, 0, 0, 0)
+        figures = lambda ws: sum(w[0].isdigit() for w in ws)
+        for shift in {at - place for at, place in hits}:
+            near = [(at, place) for at, place in hits if abs(at - place - shift) <= DRIFT]
+            held: set[int] = set()
+            for at, place in near:
+                begin, end = self._run(n, place, words, at)
+                held.update(range(begin, end))
+                d = at - place
+                for i in range(place - WINDOW + PIECE, place + 1, PIECE):
+                    if i in self.windows[n]:
+                        low, high = max(0, i + d - STEP), i + d + WINDOW + STEP
+                        if self.windows[n][i].search(words[low:high])[0] <= WINDOW_EDITS:
+                            held.update(j for j in range(i, min(i + WINDOW, len(item))) if item[j] in words[max(0, j + d - STEP) : j + d + STEP + 1])
+            if len({item[i] for i in held} & own) < 2 and not any(b - a >= LONG_RUN for a, b in (self._run(n, p, words, at) for at, p in near)):
                 continue
-            missed = [i for i, w in enumerate(part) if w in rare and i not in set(held)]
+            # from the own words held outwards, up to the first one that is not: beyond, another text goes on
+            marks = sorted(i for i in held if item[i] in own) or sorted(held)
+            missed = [i for i, w in enumerate(item) if w in own and i not in held]
             first = max((i + 1 for i in missed if i < marks[0]), default=0)
-            last = min((i for i in missed if i > marks[-1]), default=len(part))
-            held = [i for i in held if first <= i < last]
-            if len(held) > best[0]:
-                inside = {w for w in part[held[0] : held[-1] + 1] if w in rare}
-                kept = {part[i] for i in held} & rare
-                figures = lambda ws: sum(w[0].isdigit() for w in ws)
-                best = (len(held), len(kept) - figures(kept), len(inside) - figures(inside), figures(kept), figures(inside))
+            last = min((i for i in missed if i > marks[-1]), default=len(item))
+            kept = sorted(i for i in held if first <= i < last)
+            if len(kept) > best[0]:
+                inside = {w for w in item[kept[0] : kept[-1] + 1] if w in own}
+                there = {item[i] for i in kept} & own
+                best = (len(kept), len(there) - figures(there), len(inside) - figures(inside), figures(there), figures(inside))
         return best
 
 
 def is_leak(words: int, names: int, of_names: int, figures: int, of_figures: int) -> bool:
+    """Whether so many words make a leak: LEAST_WORDS with own names or figures, EXCERPT without."""
     return words >= (LEAST_WORDS if names + figures > 1 else EXCERPT) and names >= OWN_SHARE * of_names and figures >= OWN_SHARE * of_figures - 1
 
 
-def _term_counter(terms: dict[str | tuple[str, ...], int]):
-    """Partition of documents -> (term, number of documents that have it), for the words, pairs and runs of the items."""
+def _term_counter(block: Items):
+    """Partition of documents -> (term, number of documents that have it outside copies), for the words and pairs of the items."""
+    terms, runs = block.terms, block.runs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -240,7 +246,14 @@ def _term_counter(terms: dict[str | tuple[str, ...], int]):
         for batch in batches:
             for text in batch["text"]:
                 words = words_of(text)
-                counts.update(known & {*words, *zip(words, words[1:]), *_runs(words)})
+                copied = [i for i, r in enumerate(_runs(words)) if r in runs]
+                if copied:
+                    within = {j for i in copied for j in range(i, i + COPIED_RUN)}
+                    free = {w for j, w in enumerate(words) if j not in within}
+                    pairs = {(words[j], words[j + 1]) for j in range(len(words) - 1) if j not in within or j + 1 not in within}
+                    counts.update(known & (free | pairs))
+                else:
+                    counts.update(known & {*words, *zip(words, words[1:])})
         yield pd.DataFrame({"term": [terms[t] for t in counts], "n": list(counts.values())}, columns=["term", "n"])
 
     return run
@@ -254,8 +267,8 @@ def _matcher(block: Items):
                 if not text:
                     continue
                 words = words_of(text)
-                for n in block.candidates(words):
-                    if is_leak(*(got := block.leaked(n, words))):
+                for n, hits in block.candidates(words).items():
+                    if is_leak(*(got := block.leaked(n, words, hits))):
                         out.append((doc_id, block.ids[n], got[0]))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
 
@@ -276,7 +289,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, items_a_block: int = ITEM
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         block = Items([tuple(r) for r in part.collect()])  # about items_a_block
-        counted = documents.select("text").mapInPandas(_term_counter(block.terms), "term int, n int").groupBy("term").agg(F.sum("n").alias("n"))
+        counted = documents.select("text").mapInPandas(_term_counter(block), "term int, n int").groupBy("term").agg(F.sum("n").alias("n"))
         block.index({r.term: r.n for r in counted.collect()}, total)  # as many rows as the block has terms
         parts.append(documents.mapInPandas(_matcher(block), kind))
     return reduce(DataFrame.unionByName, parts)
