@@ -5,17 +5,22 @@ each partition, of hashes seen once and of hashes seen repeatedly, and merges th
 twice anywhere. Rows with a bit that is not repeated are singletons for certain and never move; only the possible
 repeats are shuffled, grouped by their full canonical key, so false positives of the filter cost time, not exactness.
 
-The filter has eight bits a row up to max_filter_bytes, which bounds what the driver gathers and broadcasts. Beyond
-that (2^29 rows at the default) the filter fills up and passes more singletons on; the result stays exact.
+The filter is cut into segments, whose number grows with the rows; all bits of a hash lie in one. Partitions send the
+positions of a segment, or its bits where those are fewer bytes, and the segments are merged in two rounds, so that no
+task reads more than a root of the partitions. The filter has eight bits a row up to max_filter_bytes, which bounds what
+the driver gathers and broadcasts: at the default that is 2^26 (67 million) rows. Beyond, it fills up and passes more
+singletons on (at one bit a row, 2^29 rows, about a third of them); the result stays exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +33,8 @@ PROBES = 2
 MAX_FILTER_BYTES = 64 << 20
 #: The filter is merged in segments of this many bits.
 SEGMENT_BITS = 1 << 20
+#: Partitions that are merged in one round; more take two.
+ONE_ROUND = 256
 
 _NO_LETTER = r"[^\p{L}\p{N}]+"
 
@@ -44,68 +51,92 @@ def canonical_id(column: Column, member: int = 7) -> Column:
     return F.when(grouped, F.array_join(F.array_sort(F.regexp_extract_all(word, F.lit(rf"(\d{{{member}}})"), F.lit(1))), "")).otherwise(word)
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions of each hash, as columns."""
+def _positions(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each hash, and PROBES bit positions in it, as columns."""
     h = hashes.astype(np.uint64)
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(PROBES)], axis=1)
+    within = np.stack([(low + np.uint64(i) * high) % np.uint64(SEGMENT_BITS) for i in range(PROBES)], axis=1)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(segments)).astype(np.int64), within.astype(np.uint32)
 
 
-def _builder(bits: int):
-    """Partition of hashes -> rows (segment, once, repeated): the positions, within the segment, that were hit once and more often."""
+def _packed(positions: np.ndarray) -> tuple[bool, bytes]:
+    """Positions in a segment as bytes, or as bits where those are fewer bytes (dense)."""
+    if 4 * len(positions) <= SEGMENT_BITS // 8:
+        return False, positions.astype(np.uint32).tobytes()
+    bits = np.zeros(SEGMENT_BITS, bool)
+    bits[positions] = True
+    return True, np.packbits(bits).tobytes()
+
+
+def _unpacked(dense: bool, data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))) if dense else np.frombuffer(data, np.uint32)
+
+
+_PARTS = "segment bigint, grp int, once_dense boolean, once binary, more_dense boolean, more binary"
+_PART_NAMES = ["segment", "grp", "once_dense", "once", "more_dense", "more"]
+
+
+def _builder(segments: int, groups: int):
+    """Partition of hashes -> for each segment the positions that were hit once and more often."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        grp, parts = TaskContext.get().partitionId() % groups, []
         for batch in batches:
             hashes = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            segment, places = _positions(hashes, segments)
             # one record sets each of its bits once, also where two of its probes agree
-            places = np.sort(_positions(hashes, bits), axis=1)
+            places = np.sort(places, axis=1)
             keep = np.ones(places.shape, bool)
             keep[:, 1:] = places[:, 1:] != places[:, :-1]
-            parts.append(places[keep])
+            parts.append((segment[:, None] * SEGMENT_BITS + places)[keep])
         if not parts:
             return
         at, n = np.unique(np.concatenate(parts), return_counts=True)
-        segment = (at // np.uint64(SEGMENT_BITS)).astype(np.int64)
-        within = (at % np.uint64(SEGMENT_BITS)).astype(np.uint32)
-        for s in np.unique(segment):
-            here = segment == s
-            once, more = within[here & (n == 1)], within[here & (n > 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(s)]), pa.array([once.tobytes()]), pa.array([more.tobytes()])], names=["segment", "once", "repeated"])
+        segment, within = at // SEGMENT_BITS, at % SEGMENT_BITS
+        bounds = np.searchsorted(segment, np.append(np.unique(segment), segments))
+        for s, low, high in zip(np.unique(segment), bounds[:-1], bounds[1:]):
+            once, more = within[low:high][n[low:high] == 1], within[low:high][n[low:high] > 1]
+            row = (int(s), grp, *_packed(once), *_packed(more))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], names=_PART_NAMES)
 
     return build
 
 
-def _merge(key: tuple, parts: Iterator[pa.Table] | pa.Table) -> pa.Table:
-    """The bits of one segment that were set twice in all partitions together."""
+_KINDS = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_(), pa.binary()]
+
+
+def _merge(key: tuple, parts: pa.Table) -> pa.Table:
+    """The bits of one segment that were set once, and more often, in all parts together."""
     seen, repeated = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
-    for once, more in zip(parts.column("once"), parts.column("repeated")):
-        o, m = np.frombuffer(once.as_py(), np.uint32), np.frombuffer(more.as_py(), np.uint32)
+    for row in zip(*(parts.column(c) for c in _PART_NAMES[2:])):
+        once_dense, once, more_dense, more = (x.as_py() for x in row)
+        o, m = _unpacked(once_dense, once), _unpacked(more_dense, more)
         repeated[m] = True
         repeated[o[seen[o]]] = True
         seen[o] = True
         seen[m] = True
-    return pa.table({"segment": [key[0].as_py()], "bits": [np.packbits(repeated).tobytes()]})
+    row = (key[0].as_py(), 0, *_packed(np.flatnonzero(seen & ~repeated)), *_packed(np.flatnonzero(repeated)))
+    return pa.table([pa.array([v], t) for v, t in zip(row, _KINDS)], names=_PART_NAMES)
 
 
 def repeat_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> Column:
     """A condition on a column "hash" that holds for every hash that occurs twice in hashes, and for few others."""
-    bits = max(SEGMENT_BITS, min(rows * BITS_A_ROW, max_filter_bytes * 8))
-    segments = (
-        hashes.mapInArrow(_builder(bits), "segment bigint, once binary, repeated binary")
-        .groupBy("segment")
-        .applyInArrow(_merge, "segment bigint, bits binary")
-        .collect()  # at most max_filter_bytes
-    )
-    packed = np.zeros((-(-bits // SEGMENT_BITS), SEGMENT_BITS // 8), np.uint8)
-    for row in segments:
-        packed[row.segment] = np.frombuffer(bytes(row.bits), np.uint8)
-    shared = hashes.sparkSession.sparkContext.broadcast(packed.reshape(-1))
+    segments = max(1, -(-min(rows * BITS_A_ROW, max_filter_bytes * 8) // SEGMENT_BITS))
+    partitions = hashes.rdd.getNumPartitions()
+    groups = 1 if partitions <= ONE_ROUND else math.isqrt(partitions)
+    parts = hashes.mapInArrow(_builder(segments, groups), _PARTS)
+    if groups > 1:
+        parts = parts.groupBy("segment", "grp").applyInArrow(_merge, _PARTS)
+    merged = parts.groupBy("segment").applyInArrow(_merge, _PARTS).select("segment", "more_dense", "more").collect()  # at most max_filter_bytes
+    packed = np.zeros((segments, SEGMENT_BITS), bool)
+    for row in merged:
+        packed[row.segment, _unpacked(row.more_dense, bytes(row.more))] = True
+    shared = hashes.sparkSession.sparkContext.broadcast(np.packbits(packed, axis=1))
 
     def probe(column: pd.Series) -> pd.Series:
-        places = _positions(column.to_numpy(np.int64), bits)
-        byte, bit = (places >> np.uint64(3)).astype(np.int64), (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)
-        return pd.Series(((shared.value[byte] >> bit) & 1).all(axis=1))
+        segment, places = _positions(column.to_numpy(np.int64), segments)
+        byte, bit = (places >> 3).astype(np.int64), (7 - (places & 7)).astype(np.uint8)
+        return pd.Series(((shared.value[segment[:, None], byte] >> bit) & 1).all(axis=1))
 
     return F.pandas_udf(probe, T.BooleanType())(F.col("hash"))
 

@@ -1,11 +1,12 @@
 """Same or nearly same records across splits, by shared spans of their mentions.
 
 Each record states a relation between two things, and mentions each of them by an index, an id and a name, any of which
-may be missing or written in another way. The texts of all distinct mentions of both splits (canonical ids, and the
-stems of names) are concatenated, in effect, into one text whose suffix array is built in range partitions: every suffix
-is a row, sorted, and next to each suffix of the training side stand the suffixes of the evaluation side with the
-longest common prefixes. Spans from all suffixes of a mention are merged into its coverage; a mention that is covered
-enough is verified by edit distance and number. Records overlap if both mentions and the relation agree.
+may be missing or written in another way. The texts of all distinct mentions of both splits (indexes, canonical ids, and
+the stems of names) are concatenated, in effect, into one text whose suffix array is built in range partitions: every
+suffix is a row, sorted, and the evaluation suffixes next to a training suffix, above and below it, are those with the
+longest common prefixes. Each partition is passed once in either order, and remembers one suffix. Spans from all suffixes
+of a mention are merged into its coverage; a mention that is covered enough is verified by edit distance and number.
+Records overlap if both mentions and the relation agree.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from lattiq.llm.copies import canonical_id, canonical_word
 from lattiq.llm.names import learn_lexicon, parse_names
-from lattiq.operators.skew import join_groups
+from lattiq.operators.skew import join_groups, salted_join
 from lattiq.plans.lineage import written
 
 #: Shortest common prefix that counts as a shared span.
@@ -30,7 +31,7 @@ LEAST_COVERAGE = 0.35
 #: Edits allowed in a stem, and characters of a stem for each edit.
 MOST_EDITS, CHARACTERS_AN_EDIT = 4, 3
 
-_LINKS = "kind string, train string, test string, at int, n int, part int, open int, suffix string"
+_LINKS = "kind string, train string, at int, n int, part int, suffix string"
 
 
 def _common(a: str, b: str) -> int:
@@ -45,84 +46,62 @@ def _common(a: str, b: str) -> int:
 
 
 def _adjacent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of each training suffix to the nearest evaluation suffixes above and below it in a sorted partition.
-
-    Suffixes before the first and after the last evaluation suffix are left open (-1, 1; a partition without any: 2
-    for both ways), and rows without a training text state the partition's first and last evaluation suffix.
-    """
-    part, columns = TaskContext.get().partitionId(), ["kind", "train", "test", "at", "n", "part", "open", "suffix"]
-    above: dict[str, list[tuple[str, str]]] = {}  # by kind: the evaluation suffixes that equal the last one seen
-    waiting: dict[str, list[tuple[str, int, str]]] = {}  # by kind: training suffixes since then
-    first: dict[str, list[tuple[str, str]]] = {}
-
-    def linked(kind, train, at, suffix, tests):
-        n = _common(suffix, tests[0][0])
-        return [(kind, train, text, at, n, part, 0, suffix) for _, text in tests] if n >= LEAST_SPAN else []
-
-    def close(kind, tests):
-        return [x for train, at, suffix in waiting.get(kind, ()) for x in linked(kind, train, at, suffix, tests)]
+    """Links of each training suffix of a sorted partition to the evaluation suffix last passed: its common prefix n.
 
+    Training suffixes before the first evaluation suffix of their kind come out with their own suffix and n = -1. Rows
+    without a training text state the last evaluation suffix of each kind."""
+    part, columns = TaskContext.get().partitionId(), ["kind", "train", "at", "n", "part", "suffix"]
+    passed: dict[str, str] = {}
     for batch in batches:
         out = []
         for kind, suffix, is_test, text, at in zip(batch["kind"], batch["suffix"], batch["is_test"], batch["text"], batch["at"]):
             if is_test:
-                same = above.get(kind)
-                if same and same[0][0] == suffix:
-                    same.append((suffix, text))
-                    if len(first[kind]) and first[kind][0][0] == suffix:
-                        first[kind].append((suffix, text))
-                    out += [x for train, place, s in waiting.get(kind, ()) if s == suffix for x in linked(kind, train, place, s, [(suffix, text)])]
-                    continue
-                if same is None:
-                    out += [(kind, train, None, place, 0, part, -1, s) for train, place, s in waiting.get(kind, ())]
-                    first[kind] = [(suffix, text)]
-                out += close(kind, [(suffix, text)])
-                above[kind], waiting[kind] = [(suffix, text)], [w for w in waiting.get(kind, ()) if w[2] == suffix]
-            else:
-                if tests := above.get(kind):
-                    out += linked(kind, text, at, suffix, tests)
-                waiting.setdefault(kind, []).append((text, at, suffix))
+                passed[kind] = suffix
+            elif (near := passed.get(kind)) is None:
+                out.append((kind, text, at, -1, part, suffix))
+            elif (n := _common(suffix, near)) >= LEAST_SPAN:
+                out.append((kind, text, at, n, part, near))
         if out:
             yield pd.DataFrame(out, columns=columns)
-    out = [(kind, None, text, 0, 0, part, -1, s) for kind, tests in first.items() for s, text in tests]
-    out += [(kind, None, text, 0, 0, part, 1, s) for kind, tests in above.items() for s, text in tests]
-    out += [(kind, train, None, at, 0, part, 1 if kind in above else 2, s) for kind, rows in waiting.items() for train, at, s in rows]
-    yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame([(kind, None, 0, 0, part, suffix) for kind, suffix in passed.items()], columns=columns)
 
 
-def shared_spans(train: DataFrame, test: DataFrame) -> DataFrame:
-    """(kind, train, test, at, n): spans of n characters from at in a train text that a test text shares; texts are (kind, text)."""
-    texts = train.select("kind", "text", F.lit(0).alias("is_test")).unionByName(test.select("kind", "text", F.lit(1).alias("is_test")))
-    offsets = F.sequence(F.lit(0), F.length("text") - LEAST_SPAN)
-    suffixes = texts.filter(F.length("text") >= LEAST_SPAN).select("kind", "text", "is_test", F.explode(offsets).alias("at")).withColumn("suffix", F.expr("substring(text, at + 1)"))
-    order = ["kind", "suffix", F.col("is_test").desc(), "text"]
-    partitions = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _passed(suffixes: DataFrame, order: list) -> DataFrame:
+    """(kind, train, at, n, suffix): every training suffix with the evaluation suffix before it in order, of n equal characters."""
+    partitions = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scanned = written(suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInPandas(_adjacent, _LINKS))
-    inner = scanned.filter("train IS NOT NULL AND open = 0").select("kind", "train", "test", "at", "n")
-    # across partitions: the next evaluation suffix of each kind before and after a partition
-    ends = scanned.filter("train IS NULL").groupBy("kind", "part", "open").agg(F.min("suffix").alias("suffix"))
-    all_parts = scanned.select("kind", "part").distinct()
-    wide = all_parts.join(ends.groupBy("kind", "part").agg(F.max(F.when(F.col("open") == 1, F.col("suffix"))).alias("last"), F.max(F.when(F.col("open") == -1, F.col("suffix"))).alias("first")), ["kind", "part"], "left")
+    inner = scanned.filter("train IS NOT NULL AND n >= 0").select("kind", "train", "at", "n", "suffix")
+    # a partition's first training suffixes go by the last evaluation suffix of the partitions before; one row each
+    parts = scanned.groupBy("kind", "part").agg(F.max(F.when(F.col("train").isNull(), F.col("suffix"))).alias("last"))
     before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("kind").orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    near = wide.select("kind", "part", F.last("last", True).over(before).alias("lower"), F.first("first", True).over(after).alias("upper"))
-    opened = scanned.filter("train IS NOT NULL AND open <> 0").select("kind", "train", "at", "part", "open", "suffix").join(F.broadcast(near), ["kind", "part"])
-    ways = F.array(F.when(F.col("open").isin(-1, 2), F.col("lower")), F.when(F.col("open").isin(1, 2), F.col("upper")))
-    outer = opened.select("kind", "train", "at", "suffix", F.explode(ways).alias("other")).filter("other IS NOT NULL")
+    near = parts.select("kind", "part", F.last("last", True).over(before).alias("other"))
+    opened = scanned.filter("n = -1").join(F.broadcast(near), ["kind", "part"]).filter("other IS NOT NULL")
     shared = F.expr("aggregate(sequence(1, least(length(suffix), length(other))), 0, (n, i) -> IF(n = i - 1 AND substring(suffix, i, 1) = substring(other, i, 1), i, n))")
-    ends_by_suffix = scanned.filter("train IS NULL").select("kind", F.col("suffix").alias("other"), "test").distinct()
-    crossing = outer.withColumn("n", shared).filter(F.col("n") >= LEAST_SPAN).join(ends_by_suffix, ["kind", "other"]).select("kind", "train", "test", "at", "n")
-    return inner.unionByName(crossing)
+    outer = opened.withColumn("n", shared).filter(F.col("n") >= LEAST_SPAN).select("kind", "train", "at", "n", F.col("other").alias("suffix"))
+    return inner.unionByName(outer)
+
+
+def shared_spans(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(kind, train, test, at, n): spans of n characters from at in a train text that a test text shares; texts are (kind, text).
+
+    Of the kind "index" only whole texts are compared."""
+    texts = train.select("kind", "text", F.lit(0).alias("is_test")).unionByName(test.select("kind", "text", F.lit(1).alias("is_test")))
+    offsets = F.when(F.col("kind") == "index", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("text") - LEAST_SPAN))
+    suffixes = texts.filter(F.length("text") >= LEAST_SPAN).select("kind", "text", "is_test", F.explode(offsets).alias("at")).withColumn("suffix", F.expr("substring(text, at + 1)"))
+    up, down = ["kind", "suffix", F.col("is_test").desc(), "text"], [F.col("kind").desc(), F.col("suffix").desc(), F.col("is_test").desc(), "text"]
+    links = _passed(suffixes, up).unionByName(_passed(suffixes, down)).distinct()
+    holders = suffixes.filter("is_test = 1").select("kind", "suffix", F.col("text").alias("test")).distinct()
+    return salted_join(links, holders, ["kind", "suffix"]).select("kind", "train", "test", "at", "n")
 
 
 def match_texts(train: DataFrame, test: DataFrame) -> DataFrame:
     """(kind, train, test, edits) of distinct texts that are the same in all but writing.
 
-    Kind "id": the test text is the end of the train text (after a namespace). Kind "name": spans cover enough of the
+    Kind "index": the texts are equal. Kind "id": the test text is the end of the train text (after a namespace). Kind "name": spans cover enough of the
     train text and the edit distance is small; the nearest test texts are kept. Empty texts match nothing.
     """
     spans = shared_spans(train, test)
-    ids = spans.filter("kind = 'id' AND n = length(test) AND at + n = length(train)").select("kind", "train", "test", F.lit(0).alias("edits")).distinct()
+    ids = spans.filter("(kind = 'id' AND n = length(test) AND at + n = length(train)) OR (kind = 'index' AND train = test)").select("kind", "train", "test", F.lit(0).alias("edits")).distinct()
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)")))))
     names = spans.filter("kind = 'name'").groupBy("kind", "train", "test").agg(covered.alias("covered")).filter(F.col("covered") >= LEAST_COVERAGE * F.length("train"))
     # texts too short for a span are compared whole
@@ -152,9 +131,14 @@ def record_overlaps(train: DataFrame, test: DataFrame) -> DataFrame:
     lex = learn_lexicon(things.select("name"), typed=mentions.select("name"))
     things = written(parse_names(things.dropDuplicates(["side", "i", "cid", "name"]), lex).withColumn("thing", F.concat_ws("\x01", "side", F.coalesce(F.col("i").cast("string"), "cid", "name"))))
     mentions = written(parse_names(mentions, lex).withColumn("mention", _mention("i", "id", "name")))
-    texts = lambda df: written(df.select(F.explode(F.array(F.struct(F.lit("id").alias("kind"), F.col("cid").alias("text")), F.struct(F.lit("name").alias("kind"), F.col("stem").alias("text")))).alias("t")).select("t.*").filter("text <> ''").distinct())
-    matches = written(match_texts(texts(mentions.filter("i IS NULL")), texts(things)))
-    by_index = mentions.filter("i IS NOT NULL").join(things.filter("i IS NOT NULL").select("i", "thing").distinct(), "i").select("mention", "n", "thing")
+    number = F.lpad(F.col("i").cast("string"), 20, "0")
+    mentions, things = mentions.withColumn("number_text", number), things.withColumn("number_text", number)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in (("index", F.col("number_text")), ("id", F.col("cid")), ("name", F.col("stem")))])
+    texts = lambda df: written(df.select(F.explode(kinds).alias("t"), "i").filter(F.col("t.text") != "").select("t.*", "i"))
+    # where a mention has an index, that decides
+    matches = written(match_texts(texts(mentions).filter("i IS NULL OR kind = 'index'").select("kind", "text").distinct(), texts(things).select("kind", "text").distinct()))
+    same = matches.filter("kind = 'index'").select(F.col("train").alias("number_text"))
+    by_index = mentions.join(same, "number_text").join(things.filter("i IS NOT NULL").select("number_text", "thing").distinct(), "number_text").select("mention", "n", "thing")
     rest = mentions.filter("i IS NULL")
     ids, names = matches.filter("kind = 'id'").select("train", "test"), matches.filter("kind = 'name'").select("train", "test")
     by_id = rest.join(ids, rest["cid"] == ids["train"]).join(things.select(F.col("cid").alias("test"), "thing").distinct(), "test").select("mention", "n", "thing")

@@ -34,6 +34,22 @@ def test_copies_equal_brute_force(spark, rows):
     check(spark, rows, data, max_filter_bytes=16)  # a filter that is full changes nothing
 
 
+def test_filters_merge_in_two_rounds(spark, rows, monkeypatch):
+    """Many partitions, dense and sparse segments: the repeated bits are those of all rows together."""
+    import lattiq.llm.copies as copies
+
+    rng = random.Random(3)
+    data = [(i, f"k{rng.randrange(600)}", "p") for i in range(1200)] + [(3000 + i, "hot", "p") for i in range(300)]
+    df = spark.createDataFrame(data, "id long, a string, b string").repartition(9)
+    want = brute(data)
+    for bits in (1 << 20, 256):
+        monkeypatch.setattr(copies, "SEGMENT_BITS", bits)
+        for one_round in (256, 2):
+            monkeypatch.setattr(copies, "ONE_ROUND", one_round)
+            records, found = copy_groups(df, "id", [F.col("a"), F.col("b")])
+            assert (rows(records), rows(found)) == want
+
+
 def test_copies_of_nothing(spark, rows):
     check(spark, rows, [])
     check(spark, rows, [(1, None, None), (2, None, None)])
