@@ -28,6 +28,8 @@ from lattiq.plans.lineage import written
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 #: Share of a frame word's names in which it must stand beside a rarer word; share of them whose rest must be a name.
 FRAMES_RARER_WORD, FRAMES_REST_IS_NAME = 0.8, 0.25
+#: Words whose meaning a lexicon remembers.
+MOST_TOKENS = 20_000
 #: Least share of all typed names for a frame word.
 FRAME_SHARE = 0.0005
 
@@ -88,6 +90,8 @@ class Lexicon:
 
     def __post_init__(self):
         self._acronyms = dict(self.acronyms)
+        self._tokens: dict[tuple[str, bool], tuple[str, ...] | None] = {}
+        self._letters = {w: frozenset(w) for w in self.words}
 
     @classmethod
     def learn(cls, names, least: float = 0.005, at_least: int = 3) -> Lexicon:
@@ -103,6 +107,14 @@ class Lexicon:
 
     def _class_words(self, token: str, short: bool) -> tuple[str, ...] | None:
         """The class words that token stands for, each as the shortest one of its family (transport for transporter)."""
+        if (at := (token, short)) in self._tokens:
+            return self._tokens[at]
+        if len(self._tokens) >= MOST_TOKENS:
+            self._tokens.clear()
+        got = self._tokens[at] = self._shortest(token, short)
+        return got
+
+    def _shortest(self, token: str, short: bool) -> tuple[str, ...] | None:
         found = self._written(token, short)
         return found and tuple(min((v for v in self.words if len(v) > 5 and w.startswith(v)), key=len, default=w) for w in found)
 
@@ -121,7 +133,10 @@ class Lexicon:
                 return (min(inside, key=lambda w: (len(w), w)),)
         if len(token) >= 5:
             most = lambda w: 2 if max(len(w), len(token)) > 6 else 1
-            near = [(d, w) for w in self.words if len(w) >= 5 and (d := _edits(token, w, most(w))) <= most(w)]
+            # each edit changes at most one letter, so words with more other letters are too far
+            own = frozenset(token)
+            close = (w for w in self.words if len(w) >= 5 and len(own - self._letters[w]) <= most(w) and len(self._letters[w] - own) <= most(w))
+            near = [(d, w) for w in close if (d := _edits(token, w, most(w))) <= most(w)]
             if near:
                 return (min(near)[1],)
         return None
@@ -176,11 +191,7 @@ class Lexicon:
         """Stem, class words and number of name; null and blank names have an empty stem."""
         if not name:
             return Parsed("", frozenset(), 0)
-        if (got := self._memo.get(name)) is None:
-            got = self._parse(name)
-            if len(self._memo) < 100_000:
-                self._memo[name] = got
-        return got
+        return self._parse(name)
 
     def _parse(self, name: str) -> Parsed:
         stem, words, number = [], set(), 0
@@ -263,7 +274,7 @@ def parse_names(names: DataFrame, lex: Lexicon) -> DataFrame:
     return names.withColumn("__p", F.pandas_udf(parse, kind).asNondeterministic()(F.col("name"))).select(*names.columns, "__p.stem", "__p.words", "__p.number")
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2)
 def lexicon(key: tuple) -> Lexicon:
-    """One lexicon, with its memo, for each set of known words in a worker."""
+    """One lexicon, with what it remembers, for each set of known words in a worker."""
     return Lexicon(*key)

@@ -16,8 +16,8 @@ from lattiq.plans.lineage import written
 
 #: Most edits, and characters of the shorter string for each.
 MOST_EDITS, CHARACTERS_AN_EDIT = 2, 3.5
-#: Pairs that one segment may bring together before it is refined.
-MOST_PAIRS = 250_000
+#: Strings that may share an indexed segment; one that more share is refined. So no string meets more than that many under a segment.
+MOST_SHARING = 500
 
 # where the i-th of k + 1 segments of a text of la characters begins, and its size
 _START = "cast(i * (la div (k + 1)) + greatest(0, i - (k + 1 - la % (k + 1))) AS int)"
@@ -29,11 +29,15 @@ def budget(length: Column) -> Column:
     return F.least(F.lit(MOST_EDITS), F.floor(length / CHARACTERS_AN_EDIT)).cast("int")
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """rows (.., i, start, size) with the segment taken: key grows by it, rest shrinks by it, and so does la."""
-    key = F.xxhash64("key", "la", "i", F.expr("substring(rest, start + 1, size)"))
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (.., i, start, size) with key grown by the segment."""
+    return rows.withColumn("key", F.xxhash64("key", "la", "i", F.expr("substring(rest, start + 1, size)")))
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    """rows with the segment taken out of rest, and its size off la."""
     rest = F.expr("concat(substring(rest, 1, start), substring(rest, start + size + 1))")
-    return rows.select("block", "side", "text", key.alias("key"), rest.alias("rest"), (F.col("la") - F.col("size")).alias("la"), "k")
+    return rows.select("block", "side", "text", "key", rest.alias("rest"), (F.col("la") - F.col("size")).alias("la"), "k")
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -42,14 +46,14 @@ def _segments(rows: DataFrame) -> DataFrame:
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    return _cut(_segments(rows))
+    return _keyed(_segments(rows))
 
 
 def _probe(rows: DataFrame) -> DataFrame:
     d = "(length(rest) - la)"
     low, high = F.expr(f"greatest(start - i, start + {d} - (k - i), 0)"), F.expr(f"least(start + i, start + {d} + (k - i), length(rest) - size)")
     ranged = _segments(rows).withColumns({"low": low, "high": high}).filter("low <= high")
-    return _cut(ranged.withColumn("start", F.explode(F.sequence("low", "high"))))
+    return _keyed(ranged.withColumn("start", F.explode(F.sequence("low", "high"))))
 
 
 def near_pairs(strings: DataFrame) -> DataFrame:
@@ -63,15 +67,18 @@ def near_pairs(strings: DataFrame) -> DataFrame:
     lengths = F.explode(F.sequence(F.greatest(F.length("text") - F.col("k"), F.lit(1)), F.length("text") + F.when(F.col("text").rlike("[0-9]"), 0).otherwise(MOST_EDITS)))
     b = given.withColumn("la", lengths).withColumn("k", F.when(F.col("text").rlike("[0-9]"), 0).otherwise(budget(F.col("la")))).filter("abs(length(text) - la) <= k")
     b = _probe(b.withColumns({"key": first, "rest": F.col("text"), "la": F.col("la").cast("int")}))
-    sizes = lambda df, n: df.groupBy("key").agg(F.count(F.lit(1)).alias(n))
-    a, b = written(a), written(b)
-    # hashed, not broadcast: hot keys grow in number with the strings, and the joins below need the same partitions
-    hot = sizes(a, "na").join(sizes(b, "nb"), "key").filter(F.col("na") * F.col("nb") > MOST_PAIRS).select("key")
+    a = written(a.select("block", "side", "text", "key", "rest", "la", "k", "i", "start", "size"))
+    hot = written(a.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_SHARING).select("key"))
     left = lambda df: df.select("key", "block", F.col("side").alias("side_a"), F.col("text").alias("a"))
     right = lambda df: df.select("key", F.col("block").alias("block_b"), F.col("side").alias("side_b"), F.col("text").alias("b"))
-    far = lambda df: df.join(hot, "key", "left_semi")
-    cold = lambda df: df.join(hot, "key", "left_anti")
-    met = left(cold(a)).join(right(cold(b)), "key").unionByName(salted_join(left(_index(far(a))), right(_probe(far(b))), ["key"])).filter("block = block_b")
+    if hot.isEmpty():
+        met = left(a).join(right(b), "key")
+    else:
+        # hashed, not broadcast: hot keys grow in number with the strings, and the joins below need the same partitions
+        far = lambda df: _without(df.join(hot, "key", "left_semi"))
+        cold = lambda df: df.join(hot, "key", "left_anti")
+        met = left(cold(a)).join(right(cold(b)), "key").unionByName(salted_join(right(_probe(far(b))), left(_index(far(a))), ["key"]))
+    met = met.filter("block = block_b")
     shorter = F.least(F.length("a"), F.length("b"))
     near = met.filter("side_a < side_b").withColumn("edits", F.levenshtein("a", "b", MOST_EDITS)).filter((F.col("edits") >= 0) & (F.col("edits") <= budget(shorter)))
     return near.select("block", "side_a", "a", "side_b", "b", "edits").distinct()

@@ -59,7 +59,7 @@ def test_frequent_grams_lose_no_pair(spark, rows, monkeypatch):
     df = spark.createDataFrame([(rng.choice("ab"), "gene", s) for s in sorted(set(stems))], "side string, block string, text string")
     found = []
     for frequent in (10**9, 3):
-        monkeypatch.setattr(nearby, "MOST_PAIRS", frequent)
+        monkeypatch.setattr(nearby, "MOST_SHARING", frequent)
         found.append(rows(nearby.near_pairs(df)))
     assert len(found[0]) > 30 and found[0] == found[1]
 

@@ -30,7 +30,7 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
             if t == v if digits else edits <= min(2, math.floor(min(len(t), len(v)) / 3.5)):
                 want.add((k, s, t, u, v, edits))
     df = spark.createDataFrame([*rows, ("x", "p", None), ("x", "q", "")], "block string, side string, text string")
-    for most in (250_000, 5):  # without and with refined segments
-        monkeypatch.setattr(nearby, "MOST_PAIRS", most)
+    for most in (250_000, 2):  # without and with refined segments
+        monkeypatch.setattr(nearby, "MOST_SHARING", most)
         assert {tuple(r) for r in nearby.near_pairs(df).collect()} == want
     assert nearby.near_pairs(df.limit(0)).count() == 0
