@@ -194,8 +194,9 @@ class Items:
                     if not take(half):
                         for quarter in half.halves:
                             take(quarter)
-        cut = self.excerpt(n, words, hits)
-        return max(tuple(total), cut, key=lambda x: (is_leak(*x), x))
+        if is_leak(*total):
+            return tuple(total)
+        return max(tuple(total), self.excerpt(n, words, hits), key=lambda x: (is_leak(*x), x))
 
     def excerpt(self, n: int, words: list[str], hits: list[tuple[int, int]]) -> tuple[int, int, int, int, int]:
         """As leaked(), for the longest excerpt of item n that begins or ends within a sentence.
@@ -204,19 +205,29 @@ class Items:
         words go on beyond the windows; between them count the words that stand near their place."""
         item, own, best = self.words[n], self.own[n], (0, 0, 0, 0, 0)
         figures = lambda ws: sum(w[0].isdigit() for w in ws)
+        fits: dict[tuple[int, int], bool] = {}  # window, distance -> whether it stands there
+        around: dict[tuple[int, int], set[int]] = {}  # hit -> places of the item that stand around it
+        long_run = set()
+        for at, place in hits:
+            begin, end = self._run(n, place, words, at)
+            if end - begin >= LONG_RUN:
+                long_run.add((at, place))
+            held, d = set(range(begin, end)), at - place
+            for i in range(place - WINDOW + PIECE, place + 1, PIECE):
+                if i in self.windows[n]:
+                    if (i, d) not in fits:
+                        fits[i, d] = self.windows[n][i].search(words[max(0, i + d - STEP) : i + d + WINDOW + STEP])[0] <= WINDOW_EDITS
+                    if fits[i, d]:
+                        held.update(j for j in range(i, min(i + WINDOW, len(item))) if item[j] in words[max(0, j + d - STEP) : j + d + STEP + 1])
+            around[at, place] = held
+        done = set()
         for shift in {at - place for at, place in hits}:
-            near = [(at, place) for at, place in hits if abs(at - place - shift) <= DRIFT]
-            held: set[int] = set()
-            for at, place in near:
-                begin, end = self._run(n, place, words, at)
-                held.update(range(begin, end))
-                d = at - place
-                for i in range(place - WINDOW + PIECE, place + 1, PIECE):
-                    if i in self.windows[n]:
-                        low, high = max(0, i + d - STEP), i + d + WINDOW + STEP
-                        if self.windows[n][i].search(words[low:high])[0] <= WINDOW_EDITS:
-                            held.update(j for j in range(i, min(i + WINDOW, len(item))) if item[j] in words[max(0, j + d - STEP) : j + d + STEP + 1])
-            if len({item[i] for i in held} & own) < 2 and not any(b - a >= LONG_RUN for a, b in (self._run(n, p, words, at) for at, p in near)):
+            near = frozenset(h for h in hits if abs(h[0] - h[1] - shift) <= DRIFT)
+            if near in done:
+                continue
+            done.add(near)
+            held = set().union(*(around[h] for h in near))
+            if len({item[i] for i in held} & own) < 2 and not near & long_run:
                 continue
             # from the own words held outwards, up to the first one that is not: beyond, another text goes on
             marks = sorted(i for i in held if item[i] in own) or sorted(held)
@@ -236,24 +247,35 @@ def is_leak(words: int, names: int, of_names: int, figures: int, of_figures: int
     return words >= (LEAST_WORDS if names + figures > 1 else EXCERPT) and names >= OWN_SHARE * of_names and figures >= OWN_SHARE * of_figures - 1
 
 
+def _outside_copies(row: list[str], runs: set[tuple[str, ...]], terms: dict) -> set:
+    """The terms in a row of words, without those of copied runs."""
+    copied = [i for i, r in enumerate(_runs(row)) if r in runs] if len(row) >= COPIED_RUN else ()
+    if not copied:
+        return {*row, *(p for p in zip(row, row[1:]) if p in terms)}
+    within = {j for i in copied for j in range(i, i + COPIED_RUN)}
+    free = {w for j, w in enumerate(row) if j not in within}
+    return free | {p for j, p in enumerate(zip(row, row[1:])) if p in terms and not (j in within and j + 1 in within)}
+
+
 def _term_counter(block: Items):
     """Partition of documents -> (term, number of documents that have it outside copies), for the words and pairs of the items."""
     terms, runs = block.terms, block.runs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
-        known = terms.keys()
         for batch in batches:
             for text in batch["text"]:
                 words = words_of(text)
-                copied = [i for i, r in enumerate(_runs(words)) if r in runs]
-                if copied:
-                    within = {j for i in copied for j in range(i, i + COPIED_RUN)}
-                    free = {w for j, w in enumerate(words) if j not in within}
-                    pairs = {(words[j], words[j + 1]) for j in range(len(words) - 1) if j not in within or j + 1 not in within}
-                    counts.update(known & (free | pairs))
-                else:
-                    counts.update(known & {*words, *zip(words, words[1:])})
+                # words of the items in a row; the names of other texts break most such rows
+                row: list[str] = []
+                seen: set = set()
+                for w in (*words, None):
+                    if w in terms:
+                        row.append(w)
+                    elif row:
+                        seen |= _outside_copies(row, runs, terms)
+                        row = []
+                counts.update(seen)
         yield pd.DataFrame({"term": [terms[t] for t in counts], "n": list(counts.values())}, columns=["term", "n"])
 
     return run
