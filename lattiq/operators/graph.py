@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattiq.operators.ranking import cumulative
+from lattiq.operators.skew import salted_join
 from lattiq.plans.lineage import written
 
+#: Links that one task may take, in the last steps of operators that shrink a graph.
+LOCAL_LINKS = 2_000_000
+
 
 def degrees(und: DataFrame) -> DataFrame:
     """(idx, deg) of every node with a link; a loop counts twice."""
@@ -60,19 +64,52 @@ def clustering(und: DataFrame) -> DataFrame:
 
 
 def hop_distances(pairs: DataFrame, adj: DataFrame, most: int = 5) -> DataFrame:
-    """(u, v, hops) of distinct pairs; hops is null beyond most. The frontiers of all distinct sources grow together, once for each source."""
-    pairs = written(pairs.select("u", "v").distinct())
+    """(u, v, hops) of distinct pairs; hops is null beyond most, which is 5 at the highest.
+
+    Nearest first, and only for pairs not yet found: a link, a shared neighbour, a link between neighbours. What is left
+    lies at the rim of the graph: there the surroundings of both ends grow until they meet, two hops from u, three from v.
+    Hubs are cut by salted joins."""
+    if most > 5:
+        raise ValueError("distances beyond 5 hops are those of distances_from()")
+    every = written(pairs.select("u", "v").distinct())
     links = written(adj.select("a", "b").distinct())
-    frontier = written(pairs.select(F.col("u").alias("s"), F.col("u").alias("x")).distinct())
-    seen = written(frontier.withColumn("hops", F.lit(0)))
-    for hop in range(1, most + 1):
-        step = frontier.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").select("s", F.col("y").alias("x")).distinct()
-        frontier = written(step.join(seen.select("s", "x"), ["s", "x"], "left_anti"))
-        seen = written(seen.unionByName(frontier.withColumn("hops", F.lit(hop))))
-        open_ = pairs.select(F.col("u").alias("s"), F.col("v").alias("x")).join(seen, ["s", "x"], "left_anti")
-        if frontier.isEmpty() or open_.isEmpty():
-            break
-    return pairs.join(seen.select(F.col("s").alias("u"), F.col("x").alias("v"), "hops"), ["u", "v"], "left")
+    same = every.filter("u = v").select("u", "v", F.lit(0).alias("hops"))
+    # an end without links reaches nothing
+    linked = links.select(F.col("a").alias("x")).distinct()
+    rest = every.filter("u <> v").join(linked.withColumnRenamed("x", "u"), "u", "left_semi").join(linked.withColumnRenamed("x", "v"), "v", "left_semi")
+    found = [same]
+
+    def settle(hit: DataFrame, hops: int) -> bool:
+        nonlocal rest
+        hit = written(hit.select("u", "v").distinct())
+        found.append(hit.withColumn("hops", F.lit(hops)))
+        rest = written(rest.join(hit, ["u", "v"], "left_anti"))
+        return not rest.isEmpty()
+
+    near = lambda end, name: salted_join(links.select(F.col("a").alias(end), F.col("b").alias(name)), rest, [end])
+    steps = [
+        lambda: rest.join(links.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_semi"),
+        lambda: near("u", "w").join(near("v", "w"), ["u", "v", "w"], "left_semi"),
+        lambda: near("u", "w").join(near("v", "z"), ["u", "v"]).join(links.select(F.col("a").alias("w"), F.col("b").alias("z")), ["w", "z"], "left_semi"),
+    ]
+    going = True
+    for hops, step in enumerate(steps[:most], 1):
+        if going:
+            going = settle(step(), hops)
+    if going and most > 3:
+        grown = lambda ball: salted_join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ball, ["x"]).select("s", F.col("y").alias("x")).distinct()
+        start = lambda end: rest.select(F.col(end).alias("s"), F.col(end).alias("x")).distinct()
+        from_u, from_v = written(grown(grown(start("u")))), written(grown(grown(start("v"))))
+        for hops in range(4, most + 1):
+            if going:
+                if hops == 5:
+                    from_v = written(grown(from_v.join(rest.select(F.col("v").alias("s")).distinct(), "s", "left_semi")))
+                met = salted_join(from_u.select(F.col("s").alias("u"), "x"), rest, ["u"]).join(from_v.select(F.col("s").alias("v"), "x"), ["v", "x"], "left_semi")
+                going = settle(met, hops)
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return every.join(out, ["u", "v"], "left")
 
 
 def distances_from(sources: DataFrame, adj: DataFrame) -> DataFrame:
@@ -167,30 +204,128 @@ def label_propagation(und: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def local_moving(und: DataFrame, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
-    """(idx, community) by rounds in which nodes move to the neighbouring community of greatest modularity gain (Louvain's local moves).
+def _moving_rounds(edges: DataFrame, rounds: int, resolution: float) -> DataFrame:
+    """(idx, community) of weighted edges (u, v, w), u <= v, by rounds in which nodes move to the neighbouring community of greatest gain.
 
-    Half of the nodes, by hash, move in each round, so that two nodes do not swap places for ever; the better of the
-    communities before and after is not sought, callers compare modularity()."""
-    simple = und.filter("u <> v")
-    adj = written(simple.select("u", "v").unionByName(simple.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    deg = written(degrees(simple))
-    twice = float(max(adj.count(), 1))
-    labels = written(deg.select("idx", F.col("idx").alias("community")))
+    Half of the nodes, by hash, move in each round, so that two nodes do not swap places for ever. Rounds end when few move."""
+    adj = written(edges.filter("u <> v").select("u", "v", "w").unionByName(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    deg = written(edges.select(F.explode(F.array("u", "v")).alias("idx"), "w").groupBy("idx").agg(F.sum("w").alias("deg")))
+    twice = float(max(deg.agg(F.sum("deg")).first()[0] or 1, 1))
+    labels, n = written(deg.select("idx", F.col("idx").alias("community"))), deg.count()
     for r in range(rounds):
         volume = deg.join(labels, "idx").groupBy("community").agg(F.sum("deg").alias("vol"))
-        links = adj.join(labels.select(F.col("idx").alias("v"), "community"), "v").groupBy(F.col("u").alias("idx"), "community").agg(F.count(F.lit(1)).alias("l"))
+        links = adj.join(labels.select(F.col("idx").alias("v"), "community"), "v").groupBy(F.col("u").alias("idx"), "community").agg(F.sum("w").alias("l"))
         own = labels.select("idx", "community").join(deg, "idx")
         options = links.unionByName(own.select("idx", "community", F.lit(0).cast("bigint").alias("l"))).groupBy("idx", "community").agg(F.sum("l").alias("l"))
         scored = options.join(own.select("idx", "deg", F.col("community").alias("now")), "idx").join(volume, "community")
         rest = F.col("vol") - F.when(F.col("community") == F.col("now"), F.col("deg")).otherwise(0)
         gain = F.col("l") - resolution * F.col("deg") * rest / twice
         best = scored.withColumn("gain", gain).groupBy("idx", "now").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("now")).cast("int"), -F.col("community"))).alias("best"))
-        moves = F.pmod(F.xxhash64("idx", F.lit(r)), F.lit(2)) == 0
-        labels = written(best.select("idx", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community")))
+        moves = (F.pmod(F.xxhash64("idx", F.lit(r)), F.lit(2)) == 0) & (F.col("best") != F.col("now"))
+        moved = written(best.select("idx", F.when(moves, F.col("best")).otherwise(F.col("now")).alias("community"), moves.alias("moved")))
+        labels = moved.select("idx", "community")
+        if moved.filter("moved").count() < n / 200:
+            break
     return labels
 
 
+def louvain_local(u, v, w, n: int, resolution: float = 1.0):
+    """Community of each node 0 .. n - 1 of weighted edges (arrays, each pair once, loops allowed), by Louvain's levels."""
+    import numpy as np
+
+    whole = np.arange(n)
+    while True:
+        loop = u == v
+        deg = np.bincount(u, w, n) + np.bincount(v, w, n)
+        total = deg.sum()
+        if not total:
+            return whole
+        a, b, c = np.concatenate([u[~loop], v[~loop]]), np.concatenate([v[~loop], u[~loop]]), np.concatenate([w[~loop], w[~loop]])
+        order = np.argsort(a, kind="stable")
+        start = np.searchsorted(a[order], np.arange(n + 1)).tolist()
+        near, weight, degree = b[order].tolist(), c[order].tolist(), deg.tolist()
+        label, volume, moved_any = list(range(n)), deg.tolist(), False
+        for _ in range(50):
+            moved = 0
+            for i in range(n):
+                begin, end = start[i], start[i + 1]
+                if begin == end:
+                    continue
+                mine, links = label[i], {}
+                for k in range(begin, end):
+                    x = label[near[k]]
+                    links[x] = links.get(x, 0.0) + weight[k]
+                volume[mine] -= degree[i]
+                scale = resolution * degree[i] / total
+                best, gain = mine, links.get(mine, 0.0) - scale * volume[mine]
+                for x, l in links.items():
+                    g = l - scale * volume[x]
+                    if g > gain + 1e-12:
+                        best, gain = x, g
+                volume[best] += degree[i]
+                if best != mine:
+                    label[i] = best
+                    moved += 1
+            moved_any |= moved > 0
+            if moved <= n // 1000:
+                break
+        if not moved_any:
+            return whole
+        _, label = np.unique(label, return_inverse=True)
+        whole = label[whole]
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        n = int(label.max()) + 1
+        key, back = np.unique(low.astype(np.int64) * n + high, return_inverse=True)
+        u, v, w = key // n, key % n, np.bincount(back, w)
+
+
+def louvain(und: DataFrame, resolution: float = 1.0, rounds: int = 8, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(idx, community) of every linked node by Louvain's method: local moving, contraction of communities, and so on.
+
+    While the graph has more than local_links links, nodes move in rounds of joins; below that fixed size the levels that are
+    left run in one task, node by node. A community is named by its smallest node. Order and ties are fixed, so results repeat."""
+    import numpy as np
+    import pandas as pd
+
+    edges = written(und.filter("u <> v").select("u", "v", F.lit(1).cast("bigint").alias("w")))
+    composed, n = written(degrees(edges).select("idx", F.col("idx").alias("c"))), edges.count()
+
+    def local(batches):
+        parts = list(batches)
+        if parts:
+            e = pd.concat(parts).sort_values(["u", "v"])
+            names = np.unique(np.concatenate([e["u"].to_numpy(), e["v"].to_numpy()]))
+            found = louvain_local(np.searchsorted(names, e["u"]), np.searchsorted(names, e["v"]), e["w"].to_numpy(float), len(names), resolution)
+            yield pd.DataFrame({"c": names, "next": found})
+
+    compose = lambda step: written(composed.join(step, "c").select("idx", F.col("next").alias("c")))
+    while n > local_links:
+        step = _moving_rounds(edges, rounds, resolution).select(F.col("idx").alias("c"), F.col("community").alias("next"))
+        composed = compose(step)
+        end = lambda c: step.select(F.col("c").alias(c), F.col("next").alias(f"n_{c}"))  # noqa: E731, B023
+        j = edges.join(end("u"), "u").join(end("v"), "v")
+        edges = written(j.groupBy(F.least("n_u", "n_v").alias("u"), F.greatest("n_u", "n_v").alias("v")).agg(F.sum("w").alias("w")))
+        before, n = n, edges.count()
+        if n > 0.9 * before:  # no level shrinks it further
+            local_links = n
+    if n:
+        composed = compose(edges.coalesce(1).mapInPandas(local, "c bigint, next bigint"))
+    return composed.join(composed.groupBy("c").agg(F.min("idx").alias("community")), "c").select("idx", "community")
+
+
+def largest_component(und: DataFrame) -> DataFrame:
+    """(idx) of the largest component of the linked nodes; of equal ones that with the smallest node."""
+    c = written(components(und))
+    top = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return c.join(F.broadcast(top), "component").select("idx")
+
+
+def outside_types(nodes: DataFrame, inside: DataFrame, k: int = 3) -> DataFrame:
+    """The k most frequent types of nodes (idx, type) that are not inside (idx), with rank (a report)."""
+    out = nodes.join(inside, "idx", "left_anti").groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type").limit(k)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), "type")))
+
+
 def modularity(und: DataFrame, labels: DataFrame) -> DataFrame:
     """(n_communities, modularity) of a partition (idx, community)."""
     und = und.filter("u <> v")
@@ -281,25 +416,36 @@ def classify_domain(nodes: DataFrame, closure: DataFrame, roots: list[tuple[int,
     return j.select("idx", F.coalesce("root_domain", "term_domain", F.lit("unclassified")).alias("domain"), method.alias("method"))
 
 
-def adjusted_mutual_information(pairs: DataFrame) -> float:
-    """AMI of two labellings (x, y); the expectation is computed on the driver from the margins, one row a label."""
-    import math
+def _log_factorial(n):
+    """ln n! of an array, by Stirling's series beyond a short table."""
+    import numpy as np
+
+    n = np.asarray(n, float)
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 33)))])
+    x = np.maximum(n, 1) + 1
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n <= 32, small[np.minimum(n, 32).astype(int)], series)
 
+
+def adjusted_mutual_information(pairs: DataFrame) -> float:
+    """AMI of two labellings (x, y). The driver sees the distinct sizes of labels and how many have each, not the labels:
+    of n rows there can be no more than the root of 2 n distinct sizes."""
     import numpy as np
 
-    cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    margin = lambda c: np.array([r.n for r in cells.groupBy(c).agg(F.sum("n").alias("n")).collect()], float)
-    a, b = margin("x"), margin("y")
-    total = a.sum()
+    cells = written(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    total = cells.agg(F.sum("n")).first()[0] or 0
     if not total:
         return float("nan")
-    counts = np.array([r.n for r in cells.select("n").collect()], float)  # at most labels of x times labels of y
-    h = lambda n: -float((n / total * np.log(n / total)).sum())
-    mutual = h(a) + h(b) - h(counts)
-    log = [math.lgamma(i + 1) for i in range(int(total) + 1)]
-    expected = 0.0
-    for i in a.astype(int):
-        for j in b.astype(int):
-            for n in range(max(1, int(i + j - total)), min(i, j) + 1):
-                expected += n / total * math.log(total * n / (i * j)) * math.exp(log[i] + log[j] + log[int(total) - i] + log[int(total) - j] - log[int(total)] - log[n] - log[i - n] - log[j - n] - log[int(total) - i - j + n])
-    return float((mutual - expected) / max((h(a) + h(b)) / 2 - expected, 1e-12))
+    spread = lambda df: tuple(np.array(x, float) for x in zip(*[(r.n, r["count"]) for r in df.groupBy("n").count().collect()]))
+    margin = lambda c: spread(cells.groupBy(c).agg(F.sum("n").alias("n")))
+    (a, ka), (b, kb), (c, kc) = margin("x"), margin("y"), spread(cells.select("n"))
+    h = lambda n, k: -float((k * n / total * np.log(n / total)).sum())
+    mutual = h(a, ka) + h(b, kb) - h(c, kc)
+    f, expected = _log_factorial, 0.0
+    for i, ki in zip(a, ka):
+        for j, kj in zip(b, kb):
+            n = np.arange(max(1, i + j - total), min(i, j) + 1)
+            if len(n):
+                log = f(i) + f(j) + f(total - i) + f(total - j) - f(total) - f(n) - f(i - n) - f(j - n) - f(total - i - j + n)
+                expected += ki * kj * float((n / total * np.log(total * n / (i * j)) * np.exp(log)).sum())
+    return float((mutual - expected) / max((h(a, ka) + h(b, kb)) / 2 - expected, 1e-12))

@@ -8,11 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.functions.scores import hashed
+from lattiq.operators import graph as g
 from lattiq.operators.ranking import cumulative, ranking_metrics
+from lattiq.operators.resample import numbered_within
 
 STRATEGIES = ("random", "type_constrained", "shared_target")
 
 
+#: Scorers of pairs by name: the column of graph.pair_scores() that holds each.
+SCORERS = {"common_neighbors": "cn", "jaccard": "jaccard", "adamic_adar": "aa"}
+
+
+def score_pairs(scorer: str, pairs: DataFrame, adj: DataFrame, deg: DataFrame) -> DataFrame:
+    """(u, v, score) of distinct pairs by a scorer of SCORERS."""
+    if scorer not in SCORERS:
+        raise ValueError(f"unknown scorer {scorer!r}; known: {sorted(SCORERS)}")
+    return g.pair_scores(pairs, adj, deg).select("u", "v", F.col(SCORERS[scorer]).cast("double").alias("score"))
+
+
 def numbered(pool: DataFrame, key: str) -> DataFrame:
     """(key, no) with no from 0 in order of key, without a window over all rows."""
     distinct = pool.select(key).distinct().withColumn("__one", F.lit(1))
@@ -34,64 +47,72 @@ def random_negatives(positives: DataFrame, heads: DataFrame, tails: DataFrame, n
     return ranked.filter(F.col("before___one") < n).select("u", "v")
 
 
-def shared_target_negatives(positives: DataFrame, targets: DataFrame, tails: DataFrame, seed: int = 42) -> DataFrame:
-    """(u, v): for each positive (u, v) a drug w that shares a hashed target of u, beside a hashed tail; no positives; targets: (drug, target)."""
-    targets = targets.select("drug", "target").distinct()
-    by_drug = targets.groupBy("drug").agg(F.min(F.struct(hashed(F.col("drug"), F.col("target"), seed=seed).alias("h"), "target")).alias("t"))
-    chosen = positives.select("u", "v").join(by_drug.select(F.col("drug").alias("u"), F.col("t.target").alias("target")), "u")
-    # the drug of a target with the smallest hash, and the second one for the case that it is u itself
-    least = targets.groupBy("target").agg(F.slice(F.array_sort(F.collect_set(F.struct(hashed(F.col("target"), F.col("drug"), seed=seed + 1).alias("h"), "drug"))), 1, 2).alias("d"))
-    other = F.when(F.col("d")[0]["drug"] != F.col("u"), F.col("d")[0]["drug"]).otherwise(F.get("d", F.lit(1))["drug"])
-    t, nt = numbered(tails, "v"), tails.select("v").distinct().count()
-    drawn = chosen.join(least, "target").select(other.alias("w"), (hashed(F.col("u"), F.col("v"), seed=seed + 2) % max(nt, 1)).alias("no")).filter("w IS NOT NULL")
-    pairs = drawn.join(t, "no").select(F.col("w").alias("u"), "v").distinct()
-    return pairs.join(positives.select("u", "v").distinct(), ["u", "v"], "left_anti")
+def grouped_negatives(positives: DataFrame, known: DataFrame, heads: DataFrame, tails: DataFrame, ratio: int = 5, attempts: int = 30, seed: int = 42) -> DataFrame:
+    """(grp, u, v): for each group of positives (grp, u, v) ratio times as many distinct hashed pairs of heads (u) and the group's tails (grp, v).
+
+    Pairs in known (u, v) are left out; attempts times as many draws are made as pairs are wanted, so small pools give fewer."""
+    h, nh = numbered(heads, "u"), heads.select("u").distinct().count()
+    pool = tails.select("grp", "v").distinct()
+    t = numbered_within(pool, ["grp"], ["v"], "tn")
+    sizes = positives.groupBy("grp").agg((F.count(F.lit(1)) * ratio).alias("want")).join(pool.groupBy("grp").agg(F.count(F.lit(1)).alias("nt")), "grp")
+    draws = sizes.select("grp", "nt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("want") * attempts - 1)).alias("id"))
+    drawn = draws.select("grp", "id", (hashed(F.col("id"), seed=seed) % max(nh, 1)).alias("hn"), (hashed(F.col("id"), seed=seed + 1) % F.col("nt")).alias("tn"))
+    first = drawn.groupBy("grp", "hn", "tn").agg(F.min("id").alias("id"))
+    pairs = first.join(h.withColumnRenamed("no", "hn"), "hn").join(t, ["grp", "tn"]).join(known.select("u", "v").distinct(), ["u", "v"], "left_anti")
+    ranked = numbered_within(pairs.select("grp", "u", "v", "id"), ["grp"], ["id"])
+    return ranked.join(sizes, "grp").filter(F.col("no") < F.col("want")).select("grp", "u", "v")
+
+
+def shared_target_negatives(positives: DataFrame, targets: DataFrame, tails: DataFrame, n: int, attempts: int = 30, seed: int = 42) -> DataFrame:
+    """(u, v) of n pairs at most: each draw takes a positive (u, v), a target of u, another drug of that target, and a tail, all by hash.
+
+    Distinct, without positives; attempts * n draws are made. targets: (drug, target). A drug without targets, or whose
+    target has no other drug, gives nothing. Targets of a drug and drugs of a target are numbered by range partitions, so a
+    target with a third of all links is no problem."""
+    spark, t = positives.sparkSession, targets.select("drug", "target").distinct()
+    pos = numbered_within(positives.select("u", "v").distinct(), [], ["u", "v"], "pn")
+    n_pos, tail, nt = pos.count(), numbered(tails, "v"), tails.select("v").distinct().count()
+    if not n_pos or not nt or n <= 0:
+        return positives.select("u", "v").limit(0)
+    of_drug = numbered_within(t, ["drug"], ["target"], "k").select(F.col("drug").alias("u"), "k", "target")
+    of_target = numbered_within(t, ["target"], ["drug"], "k2").select("target", "k2", F.col("drug").alias("w"))
+    count = lambda c, name: t.groupBy(c).agg(F.count(F.lit(1)).alias(name))
+    draw = lambda i: hashed(F.col("id"), seed=seed + i)
+    d = spark.range(attempts * n).select("id", (draw(0) % n_pos).alias("pn"), (draw(3) % nt).alias("no")).join(pos.select("pn", "u"), "pn")
+    d = d.join(count("drug", "nd").withColumnRenamed("drug", "u"), "u").withColumn("k", draw(1) % F.col("nd")).join(of_drug, ["u", "k"])
+    # the other drugs of the target: one place less, those from u's own place on move up
+    own = of_target.select("target", F.col("w").alias("u"), F.col("k2").alias("mine"))
+    d = d.join(count("target", "nw"), "target").filter("nw > 1").join(own, ["target", "u"])
+    place = draw(2) % (F.col("nw") - 1)
+    d = d.withColumn("k2", place + (place >= F.col("mine")).cast("bigint")).join(of_target, ["target", "k2"]).join(tail, "no")
+    first = d.groupBy(F.col("w").alias("u"), "v").agg(F.min("id").alias("id")).join(positives.select("u", "v").distinct(), ["u", "v"], "left_anti")
+    return numbered_within(first, [], ["id"]).filter(F.col("no") < n).select("u", "v")
 
 
 def negatives(strategy: str, positives: DataFrame, heads: DataFrame, tails: DataFrame, targets: DataFrame, n: int, seed: int = 42) -> DataFrame:
     if strategy in ("random", "type_constrained"):
         return random_negatives(positives, heads, tails, n, seed=seed)
     if strategy == "shared_target":
-        return shared_target_negatives(positives, targets, tails, seed)
+        return shared_target_negatives(positives, targets, tails, n, seed=seed)
     raise ValueError(f"unknown strategy {strategy!r}; known: {STRATEGIES}")
 
 
-def poisson_bootstrap(scored: DataFrame, by: list[str], key: str, resamples: int = 20, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(by.., point, low, high) of AUROC over resamples in which each row of scored (by.., key, score, label) occurs a hashed number of times.
-
-    The number of times follows the Poisson law of mean 1 (cut at 4), the limit of drawing with replacement; so each row
-    decides by itself, in one pass, and resamples need no gathering. point is the mean over resamples."""
-    boots = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("boot")
-    drawn = scored.select(*by, key, "score", "label", boots)
-    u = hashed(F.col(key), F.col("boot"), F.col("label").cast("bigint"), seed=seed) / 1000003.0
-    times = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-    repeated = drawn.withColumn("times", times).filter("times > 0").select(*by, "boot", "score", "label", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col")
-    per = ranking_metrics(repeated, [*by, "boot"]).filter("auroc IS NOT NULL")
-    tail = (1 - level) / 2
-    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_valid"), F.round(F.avg("auroc"), 6).alias("point"), F.round(F.percentile("auroc", tail), 6).alias("low"), F.round(F.percentile("auroc", 1 - tail), 6).alias("high"))
-
-
-def permutation_test(a: DataFrame, b: DataFrame, key: str, permutations: int = 20, seed: int = 42) -> DataFrame:
-    """(observed, p): two-sided test of the difference of the AUROCs of two samples (key, score, label) whose rows swap sample by hash."""
-    pooled = a.select(F.lit(0).alias("side"), key, "score", "label").unionByName(b.select(F.lit(1).alias("side"), key, "score", "label"))
-    rows = pooled.select("side", key, "score", "label", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("perm"))
-    swap = (hashed(F.col(key), F.col("perm"), F.col("side"), seed=seed) % 2 == 1) & (F.col("perm") > 0)
-    sided = rows.withColumn("side", F.when(swap, 1 - F.col("side")).otherwise(F.col("side")))
-    m = ranking_metrics(sided, ["perm", "side"]).groupBy("perm").agg((F.max(F.when(F.col("side") == 0, F.col("auroc"))) - F.max(F.when(F.col("side") == 1, F.col("auroc")))).alias("d"))
-    observed = m.filter("perm = 0").select(F.col("d").alias("observed"))
-    return m.filter("perm > 0").join(F.broadcast(observed)).groupBy("observed").agg(F.round(F.avg((F.abs("d") >= F.abs("observed")).cast("double")), 6).alias("p")).select(F.round("observed", 6).alias("observed"), "p")
-
-
-def train_translation(pdf: pd.DataFrame, dim: int = 16, epochs: int = 30, rate: float = 0.05, margin: float = 1.0, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def train_translation(pdf: pd.DataFrame, dim: int = 16, epochs: int = 30, rate: float = 0.05, margin: float = 1.0, seed: int = 42, start: tuple[np.ndarray, np.ndarray] | None = None, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Entity and relation vectors of a translation model by margin-ranking gradient steps, for one graph (h, r, t from 0).
 
-    Entities are scaled to unit length after each epoch; a corrupted end is drawn from all entities."""
+    Entities are scaled to unit length after each epoch; a corrupted end is drawn from all entities. start: the vectors after
+    the first so many epochs, to go on from; an epoch's draws depend on its number alone, so a resumed fit is the same."""
     rng = np.random.default_rng(seed)
     n, m = int(pdf[["h", "t"]].to_numpy().max()) + 1, int(pdf["r"].max()) + 1
     bound = 6 / np.sqrt(dim)
     ent, rel = rng.uniform(-bound, bound, (n, dim)), rng.uniform(-bound, bound, (m, dim))
+    if start is not None:
+        if start[0].shape != ent.shape or start[1].shape != rel.shape:
+            raise ValueError(f"vectors of {start[0].shape} and {start[1].shape} do not fit a graph of {ent.shape} and {rel.shape}")
+        ent, rel = start[0].copy(), start[1].copy()
     x = pdf[["h", "r", "t"]].to_numpy()
-    for _ in range(epochs):
+    for epoch in range(first, epochs):
+        rng = np.random.default_rng([seed, epoch])
         order = rng.permutation(len(x))
         for part in np.array_split(order, max(1, len(order) // 512)):
             h, r, t = x[part].T
@@ -139,18 +160,77 @@ def train_rotation(pdf: pd.DataFrame, dim: int = 8, epochs: int = 20, rate: floa
     return ent, phase
 
 
+def fit_resumable(pdf: pd.DataFrame, path: str, epochs: int = 30, every: int = 10, **options) -> tuple[np.ndarray, np.ndarray]:
+    """As train_translation, kept at path (.npz) after every so many epochs and taken up from there; vectors of another shape are refused.
+
+    The file is written beside its name and moved there, so that a reader never sees half of it."""
+    import os
+
+    done, start = 0, None
+    if os.path.exists(path):
+        with np.load(path) as kept:
+            done, start = int(kept["epoch"]), (kept["ent"], kept["rel"])
+    while True:
+        upto = min(epochs, done + every)
+        start = train_translation(pdf, epochs=upto, start=start, first=done, **options)
+        done = max(done, upto)
+        with open(f"{path}.part", "wb") as f:
+            np.savez(f, epoch=done, ent=start[0], rel=start[1])
+        os.replace(f"{path}.part", path)
+        if done >= epochs:
+            return start
+
+
+MODELS = {"translation": train_translation, "rotation": train_rotation}
+
+
+def _numbered_parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    names, kinds = np.unique(pdf[["h", "t"]].to_numpy()), np.unique(pdf["r"].to_numpy())
+    codes = pd.DataFrame({"h": np.searchsorted(names, pdf["h"]), "r": np.searchsorted(kinds, pdf["r"]), "t": np.searchsorted(names, pdf["t"])}).sort_values(["h", "r", "t"])
+    return names, kinds, codes
+
+
+def score_reruns(triples: DataFrame, pairs: DataFrame, options: dict[str, dict] | None = None, seeds: tuple[int, ...] = (42, 1042, 2042)) -> DataFrame:
+    """(rerun, model, strategy, u, v, label, score): a model fitted to the triples of every rerun, and its scores of the rerun's pairs.
+
+    triples: (rerun, h, r, t); pairs: (rerun, strategy, u, v, label, r, r_inv), r and r_inv the relation to score by and its
+    inverse, of which the better score counts; the ends are not swapped for the inverse. The grid of reruns and models is
+    spread over tasks, one fit in each, which holds that rerun's triples; an end without vector scores least of all."""
+    options = options or {m: {} for m in MODELS}
+    models = F.explode(F.array(*[F.lit(m) for m in options])).alias("model")
+    left = triples.select("rerun", models, "h", "r", "t").groupBy("rerun", "model")
+    right = pairs.select("*", models).groupBy("rerun", "model")
+
+    def run(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        rerun, model = key
+        columns = ["rerun", "model", "strategy", "u", "v", "label", "score"]
+        if t.empty or p.empty:
+            return pd.DataFrame(columns=columns)
+        names, kinds, codes = _numbered_parts(t)
+        ent, rel = MODELS[model](codes, seed=seeds[int(rerun) % len(seeds)], **options[model])
+        place = lambda values, known: np.clip(np.searchsorted(known, values), 0, len(known) - 1)
+        hu, hv, best = place(p["u"], names), place(p["v"], names), np.full(len(p), -np.inf)
+        for c in ("r", "r_inv"):
+            r = place(p[c], kinds)
+            d = ent[hu] + rel[r] - ent[hv] if model == "translation" else ent[hu] * np.exp(1j * rel[r]) - ent[hv]
+            score = -np.sqrt((np.abs(d) ** 2).sum(1) + (1e-12 if model == "rotation" else 0.0))
+            best = np.where(kinds[r] == p[c].to_numpy(), np.maximum(best, score), best)
+        known = (names[hu] == p["u"].to_numpy()) & (names[hv] == p["v"].to_numpy()) & np.isfinite(best)
+        return p[["strategy", "u", "v", "label"]].assign(rerun=rerun, model=model, score=np.where(known, best, -1e9))[columns]
+
+    return left.cogroup(right).applyInPandas(run, "rerun int, model string, strategy string, u bigint, v bigint, label int, score double")
+
+
 def embed_graphs(triples: DataFrame, model: str = "translation", **options) -> DataFrame:
     """(kg, idx, vec) of entity vectors, one model fitted for each graph (h, r, t as any integers).
 
     One graph is fitted in one task, which holds its triples: this is for graphs that fit there; graphs run side by side."""
-    if model not in ("translation", "rotation"):
+    if model not in MODELS:
         raise ValueError(f"unknown model {model!r}")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(pdf[["h", "t"]].to_numpy())
-        kinds = np.unique(pdf["r"].to_numpy())
-        codes = pd.DataFrame({"h": np.searchsorted(names, pdf["h"]), "r": np.searchsorted(kinds, pdf["r"]), "t": np.searchsorted(names, pdf["t"])}).sort_values(["h", "r", "t"])
-        ent, _ = (train_translation if model == "translation" else train_rotation)(codes, **options)
+        names, _, codes = _numbered_parts(pdf)
+        ent, _ = MODELS[model](codes, **options)
         vec = ent if model == "translation" else np.concatenate([ent.real, ent.imag], axis=1)
         return pd.DataFrame({"kg": pdf["kg"].iloc[0], "idx": names, "vec": [v.astype("float32").tolist() for v in vec]})
 

@@ -25,9 +25,12 @@ def cumulative(rows: DataFrame, by: list[str], order: list[str], values: list[st
 
 
 def thresholds(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., s, pos, neg, before_pos, before_neg) for each distinct score, highest first (s = -score); scored: (by.., score, label)."""
+    """(by.., s, pos, neg, before_pos, before_neg) for each distinct score, highest first (s = -score).
+
+    scored: (by.., score, label), and weight where a row stands for several."""
     label = F.col("label").cast("int")
-    counts = scored.groupBy(*by, (-F.col("score")).alias("s")).agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
+    weight = F.col("weight") if "weight" in scored.columns else F.lit(1)
+    counts = scored.groupBy(*by, (-F.col("score")).alias("s")).agg(F.sum(label * weight).alias("pos"), F.sum((1 - label) * weight).alias("neg"))
     return cumulative(counts, by, ["s"], ["pos", "neg"])
 
 

@@ -10,6 +10,7 @@ from lattiq.functions import scores as sc
 from lattiq.functions.vectors import name_vectors
 from lattiq.operators import graph as g
 from lattiq.operators import ranking as rk
+from lattiq.plans.lineage import written
 from lattiq.plans.graph_queries import _LABSCORE, _RECOVERY, _recovery, _scored
 from lattiq.sources.kg_view import SQL_ADJ, SQL_E, SQL_GOLD, SQL_HASH, SQL_NT, SQL_UND, adjacency, edges, gold_pairs, node_types, undirected, with_
 from lattiq.sources.tables import table
@@ -37,14 +38,6 @@ def _by_group(scored: DataFrame) -> DataFrame:
     return m.select("grp", "n_pos", "n_neg", F.round("auroc", 4).alias("auroc"))
 
 
-@query(_LABSCORE + ", gs AS (SELECT CASE WHEN coalesce(d.deg, 0) <= 3 THEN 'sparse' WHEN coalesce(d.deg, 0) <= 10 THEN 'middle' ELSE 'dense' END AS grp, score, label FROM ls LEFT JOIN deg d ON d.idx = ls.v)" + _GROUPED)
-def tier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUROC by the degree of the disease."""
-    deg = g.degrees(undirected(edges(spark, sf_dir))).select(F.col("idx").alias("v"), "deg")
-    d = F.coalesce("deg", F.lit(0))
-    return _by_group(_scored(spark, sf_dir).join(deg, "v", "left").withColumn("grp", F.when(d <= 3, "sparse").when(d <= 10, "middle").otherwise("dense")))
-
-
 @query(_LABSCORE + ", nm AS (SELECT disease_index AS v, lower(min(disease_name)) AS name FROM test_pos GROUP BY disease_index), gs AS (SELECT CASE WHEN contains(name, 'leukemia') OR contains(name, 'tumor') THEN 'cancer' WHEN contains(name, 'anemia') THEN 'blood' WHEN name IS NULL THEN 'unnamed' ELSE 'other' END AS grp, score, label FROM ls LEFT JOIN nm USING (v))" + _GROUPED)
 def domain_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUROC by the domain of the disease, from terms in its name."""
@@ -61,41 +54,14 @@ def differential_resilience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("resilience").alias("random_index"), F.round(sc.differential_resilience(F.lit(0.9), F.col("resilience")), 3).alias("differential"))
 
 
-@query(with_(SQL_E, SQL_UND, SQL_ADJ, SQL_GOLD, "ds AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS no FROM (SELECT DISTINCT v FROM gold))",
-             f"x AS (SELECT p.u, p.v AS obs, d.v, k.k FROM (SELECT DISTINCT u, v FROM gold) p, range(5) k(k) JOIN ds d ON d.no = ({SQL_HASH('p.u', 'p.v', 'k.k')}) % (SELECT count(*) FROM ds))") + """
-    , a AS (SELECT DISTINCT u, v FROM x UNION SELECT u, v FROM gold), h1 AS (SELECT DISTINCT a.u, a.v FROM a JOIN adj j ON j.a = a.u AND j.b = a.v), h2 AS (SELECT DISTINCT a.u, a.v FROM a JOIN adj j ON j.a = a.u JOIN adj l ON l.a = j.b AND l.b = a.v),
-    d AS (SELECT a.u, a.v, CASE WHEN h1.u IS NOT NULL THEN 1 WHEN h2.u IS NOT NULL THEN 2 ELSE 3 END AS d FROM a LEFT JOIN h1 USING (u, v) LEFT JOIN h2 USING (u, v))
-    SELECT x.u, x.obs AS v, min(o.d)::INT AS observed, round(avg(r.d), 4) AS random_mean, round(avg((r.d <= o.d)::INT::DOUBLE), 4) AS p FROM x JOIN d r ON r.u = x.u AND r.v = x.v JOIN d o ON o.u = x.u AND o.v = x.obs GROUP BY x.u, x.obs""")
-def proximity_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each gold pair beside that of five hashed other diseases (distances beyond 2 count as 3)."""
-    from lattiq.operators.linkpred import numbered
-
-    adj = adjacency(undirected(edges(spark, sf_dir)))
-    p = gold_pairs(spark, sf_dir).select("u", "v").distinct()
-    ds = numbered(p, "v")
-    n = ds.count()
-    draws = p.select("u", F.col("v").alias("obs"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-    x = draws.withColumn("no", sc.hashed(F.col("u"), F.col("obs"), F.col("k")) % max(n, 1)).join(ds, "no").select("u", "obs", "v")
-    d = g.hop_distances(x.select("u", "v").unionByName(p), adj, most=2).select("u", "v", F.coalesce("hops", F.lit(3)).alias("d"))
-    d = d.withColumn("d", F.when(F.col("d") == 0, 2).otherwise(F.col("d")))
-    j = x.join(d.withColumnRenamed("d", "rd"), ["u", "v"]).join(d.select("u", F.col("v").alias("obs"), F.col("d").alias("od")), ["u", "obs"])
-    return j.groupBy("u", F.col("obs").alias("v")).agg(F.min("od").alias("observed"), F.round(F.avg("rd"), 4).alias("random_mean"), F.round(F.avg((F.col("rd") <= F.col("od")).cast("double")), 4).alias("p"))
-
-
 @query()
 def proximity_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole distance of each gold pair beside up to 1000 other diseases that its drug reaches; proximity_test is the part that its SQL can check."""
+    """Whole distance of each gold pair beside up to 1000 other diseases that its drug reaches."""
     e = edges(spark, sf_dir)
     diseases = node_types(e).filter(F.regexp_replace(F.lower("type"), "[^a-z]", "") == "disease").select(F.col("idx").alias("d"))
     return g.proximity(gold_pairs(spark, sf_dir), diseases, adjacency(undirected(e)), sc.hashed(F.col("u"), F.col("v"), F.col("d")))
 
 
-@query()
-def hop_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops of each gold pair up to 5; hop_distance is the part that its SQL can check."""
-    return g.hop_distances(gold_pairs(spark, sf_dir), adjacency(undirected(edges(spark, sf_dir))))
-
-
 @query(f"""WITH must AS (SELECT drug_index AS idx FROM test_pos UNION SELECT disease_index FROM test_pos), pool AS (SELECT DISTINCT idx FROM nodes_df WHERE kg = 'alder' AND idx NOT IN (SELECT idx FROM must)),
     f AS (SELECT idx, row_number() OVER (ORDER BY {SQL_HASH("idx")}, idx) AS r FROM pool), k AS (SELECT idx FROM must UNION ALL SELECT idx FROM f WHERE r <= 300)
     SELECT idx, (row_number() OVER (ORDER BY idx) - 1)::BIGINT AS no FROM k""")
@@ -153,20 +119,32 @@ def bare_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities by local moving, beside the modularity of label propagation and of the entity types."""
+    """Modularity of Louvain's communities, of label propagation and of the entity types."""
     e = edges(spark, sf_dir)
     und = undirected(e)
     types = node_types(e).select("idx", F.xxhash64("type").alias("community"))
     rows = lambda name, labels: g.modularity(und, labels).withColumn("method", F.lit(name))
-    return rows("local_moving", g.local_moving(und)).unionByName(rows("label_propagation", g.label_propagation(und))).unionByName(rows("types", types))
+    return rows("louvain", g.louvain(und)).unionByName(rows("label_propagation", g.label_propagation(und))).unionByName(rows("types", types))
+
+
+@query()
+def resolution_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Louvain's communities of the whole graph at three resolutions: number, modularity, and agreement with the entity types."""
+    e = edges(spark, sf_dir)
+    und, types, out = undirected(e), node_types(e).select("idx", "type"), None
+    for resolution in (0.5, 1.0, 2.0):
+        labels = written(g.louvain(und, resolution))
+        pairs = labels.join(types, "idx").select(F.col("type").alias("x"), F.col("community").alias("y"))
+        one = g.modularity(und, labels).join(g.agreement(pairs)).select(F.lit(resolution).alias("resolution"), "n_communities", "modularity", "nmi", "ari", F.lit(round(g.adjusted_mutual_information(pairs), 6)).alias("ami"))  # single rows
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
 def adjusted_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AMI of entity types and local-moving communities of the sparse part of the graph."""
+    """AMI of entity types and Louvain's communities of the whole graph."""
     e = edges(spark, sf_dir)
-    labels = g.local_moving(undirected(e.filter(F.col("rel").isin("drugeffect", "drugpathway"))), rounds=4)
-    ami = g.adjusted_mutual_information(labels.join(node_types(e), "idx").select(F.col("type").alias("x"), F.pmod("community", F.lit(12)).alias("y")))
+    ami = g.adjusted_mutual_information(g.louvain(undirected(e)).join(node_types(e), "idx").select(F.col("type").alias("x"), F.col("community").alias("y")))
     return spark.createDataFrame([(round(ami, 6),)], "ami double")
 
 

@@ -11,6 +11,8 @@ from lattiq.functions.ids import relation_key
 from lattiq.operators import graph as g
 from lattiq.operators import linkpred as lp
 from lattiq.operators import ranking as rk
+from lattiq.operators import resample as rs
+from lattiq.operators.retrieval import capped_per_group
 from lattiq.sources.kg_view import SQL_ADJ, SQL_E, SQL_GOLD, SQL_HASH, SQL_NT, SQL_UND, adjacency, edges, gold_pairs, node_types, undirected, with_
 from lattiq.sources.tables import table
 
@@ -64,57 +66,72 @@ def mean_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("n_nodes", "n_links", F.round("clustering", 6).alias("clustering"))
 
 
-@query()
+@query(with_(SQL_E, SQL_UND, "s AS (SELECT * FROM und WHERE u <> v)", "n AS (SELECT u AS a, v AS b FROM s UNION ALL SELECT v, u FROM s)",
+             "tri AS (SELECT x.a AS idx, count(*) / 2 AS t FROM n x JOIN n y ON x.b = y.a JOIN n z ON y.b = z.a AND z.b = x.a GROUP BY x.a)",
+             "d AS (SELECT a AS idx, count(*) AS deg FROM n GROUP BY a)", "c AS (SELECT count(*) AS nn, sum(deg) / 2 AS m, avg(CASE WHEN deg > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (deg * (deg - 1)) ELSE 0.0::DOUBLE END) AS c FROM d LEFT JOIN tri USING (idx))",
+             "r AS (SELECT round(c / (2.0::DOUBLE * m / nn / (nn - 1)), 1) AS ratio FROM c)") + "SELECT ratio, round(CASE WHEN ratio > 1 THEN least(1.0::DOUBLE, ln(ratio) / ln(1000.0::DOUBLE)) ELSE 0.0::DOUBLE END, 6) AS score FROM r")
 def small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = g.clustering(undirected(edges(spark, sf_dir)))
     return c.select("ratio", F.round(sc.small_world(F.col("ratio")), 6).alias("score"))
 
 
-_SPARSE = "und AS (SELECT DISTINCT least(x_index, y_index) AS u, greatest(x_index, y_index) AS v FROM e WHERE rel IN ('drugeffect', 'drugpathway', 'pathwayprotein'))"
+_COMPONENTS = "WITH RECURSIVE " + ", ".join((SQL_E, SQL_UND, SQL_ADJ)) + """, ends AS (SELECT DISTINCT a AS idx FROM adj),
+    cc(idx, component) USING KEY (idx) AS (SELECT idx, idx FROM ends UNION SELECT r.idx, min(c.component) FROM cc c JOIN adj ON adj.a = c.idx JOIN recurring.cc r ON r.idx = adj.b WHERE c.component < r.component GROUP BY r.idx)"""
 
 
-@query("WITH RECURSIVE " + SQL_E + ", " + _SPARSE + """, n AS (SELECT u AS a, v AS b FROM und UNION SELECT v, u FROM und),
-    reach AS (SELECT a, a AS b FROM n UNION SELECT r.a, n.b FROM reach r JOIN n ON n.a = r.b)
-    SELECT a AS idx, min(b) AS component FROM reach GROUP BY a""")
+@query(_COMPONENTS + " SELECT idx, component FROM cc")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the sparse part of the graph (effects and pathways)."""
-    return g.components(undirected(edges(spark, sf_dir).filter(F.col("rel").isin("drugeffect", "drugpathway", "pathwayprotein"))))
+    """Components over the links of all relations, named by their smallest node."""
+    return g.components(undirected(edges(spark, sf_dir)))
 
 
-@query("WITH RECURSIVE " + SQL_E + ", " + SQL_NT + ", " + _SPARSE + """, n AS (SELECT u AS a, v AS b FROM und UNION SELECT v, u FROM und),
-    reach AS (SELECT a, a AS b FROM n UNION SELECT r.a, n.b FROM reach r JOIN n ON n.a = r.b),
-    c AS (SELECT a AS idx, min(b) AS component FROM reach GROUP BY a), s AS (SELECT component, count(*) AS n FROM c GROUP BY component)
-    SELECT (SELECT count(*) FROM s)::BIGINT AS n_components, (SELECT max(n) FROM s)::BIGINT AS largest, (SELECT count(*) FROM nt WHERE idx NOT IN (SELECT idx FROM c))::BIGINT AS isolated""")
-def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    c = g.components(undirected(e.filter(F.col("rel").isin("drugeffect", "drugpathway", "pathwayprotein"))))
-    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_components"), F.max("n").alias("largest"))
-    isolated = node_types(e).join(c, "idx", "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
-    return sizes.join(F.broadcast(isolated))  # single rows
+_ALDER = "an AS (SELECT DISTINCT idx FROM nodes_df WHERE kg = 'alder' AND idx IS NOT NULL), sz AS (SELECT component, count(*) AS n FROM cc GROUP BY component), iso AS (SELECT count(*) AS k FROM an WHERE idx NOT IN (SELECT idx FROM cc))"
 
 
-@query()
-def whole_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components over the links of all relations; graph_components is the part that its recursive SQL can check."""
-    return g.components(undirected(edges(spark, sf_dir)))
+def _alder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nodes_df").filter("kg = 'alder' AND idx IS NOT NULL")
 
 
-@query()
-def whole_graph_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_COMPONENTS + ", " + _ALDER + " SELECT (sum(n) + k)::BIGINT AS n_nodes, (count(*) + k)::BIGINT AS n_components, max(n)::BIGINT AS largest, k::BIGINT AS isolated FROM sz, iso GROUP BY k")
+def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, components (an isolated node is one), the largest of them and isolated nodes, over all relations and the node table."""
-    nodes = table(spark, sf_dir, "nodes_df").filter("kg = 'alder' AND idx IS NOT NULL").select("idx")
-    return g.connectivity(nodes, undirected(edges(spark, sf_dir)))
+    return g.connectivity(_alder(spark, sf_dir).select("idx"), undirected(edges(spark, sf_dir)))
+
+
+@query(_COMPONENTS + ", " + _ALDER + """, top AS (SELECT idx FROM cc WHERE component = (SELECT component FROM sz ORDER BY n DESC, component LIMIT 1)), ty AS (SELECT idx, min(type) AS type FROM nodes_df WHERE kg = 'alder' AND idx IS NOT NULL GROUP BY idx),
+    c AS (SELECT coalesce(type, 'none') AS type, count(*) AS n FROM ty WHERE idx NOT IN (SELECT idx FROM top) GROUP BY 1) SELECT type, n::BIGINT AS n, row_number() OVER (ORDER BY n DESC, type)::INT AS rank FROM c ORDER BY n DESC, type LIMIT 3""")
+def outside_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent types of nodes outside the largest component (a report)."""
+    types = _alder(spark, sf_dir).groupBy("idx").agg(F.coalesce(F.min("type"), F.lit("none")).alias("type"))
+    return g.outside_types(types, g.largest_component(undirected(edges(spark, sf_dir))))
+
+
+@query(_COMPONENTS + """, sz AS (SELECT component, count(*) AS n FROM cc GROUP BY component), top AS (SELECT idx FROM cc WHERE component = (SELECT component FROM sz ORDER BY n DESC, component LIMIT 1)),
+    """ + SQL_NT + ", " + SQL_GOLD + f""", hh AS (SELECT idx AS u, row_number() OVER (ORDER BY idx) - 1 AS no FROM nt WHERE type = 'drug' AND idx IN (SELECT idx FROM top)), vv AS (SELECT idx AS v, row_number() OVER (ORDER BY idx) - 1 AS no FROM nt WHERE type = 'disease' AND idx IN (SELECT idx FROM top)),
+    dr AS (SELECT id, ({SQL_HASH("id")}) % (SELECT count(*) FROM hh) AS hn, ({SQL_HASH("id", seed=43)}) % (SELECT count(*) FROM vv) AS tn FROM range(25000) r(id)), f AS (SELECT hn, tn, min(id) AS id FROM dr GROUP BY hn, tn),
+    pr AS (SELECT u, v, id FROM f JOIN hh ON hh.no = hn JOIN vv ON vv.no = tn WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE (g.u = hh.u AND g.v = vv.v)))
+    SELECT u, v FROM (SELECT *, row_number() OVER (ORDER BY id) AS r FROM pr) WHERE r <= 500""")
+def component_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 hashed drug - disease pairs of the largest component that are no gold pairs."""
+    e = edges(spark, sf_dir)
+    inside = node_types(e).join(g.largest_component(undirected(e)), "idx", "left_semi")
+    of = lambda t, c: inside.filter(F.col("type") == t).select(F.col("idx").alias(c))
+    return lp.random_negatives(gold_pairs(spark, sf_dir), of("drug", "u"), of("disease", "v"), 500, attempts=50)
+
 
+_HOPS = _BASE + """, src AS (SELECT DISTINCT u FROM prs), b0 AS (SELECT u, u AS x FROM src), b1 AS (SELECT DISTINCT b0.u, a.b AS x FROM b0 JOIN adj a ON a.a = b0.x), b2 AS (SELECT DISTINCT b1.u, a.b AS x FROM b1 JOIN adj a ON a.a = b1.x), b3 AS (SELECT DISTINCT b2.u, a.b AS x FROM b2 JOIN adj a ON a.a = b2.x),
+    b4 AS (SELECT DISTINCT b3.u, a.b AS x FROM b3 JOIN adj a ON a.a = b3.x), b5 AS (SELECT DISTINCT b4.u, a.b AS x FROM b4 JOIN adj a ON a.a = b4.x),
+    al AS (SELECT u, x, min(h) AS h FROM (SELECT *, 0 AS h FROM b0 UNION ALL SELECT *, 1 FROM b1 UNION ALL SELECT *, 2 FROM b2 UNION ALL SELECT *, 3 FROM b3 UNION ALL SELECT *, 4 FROM b4 UNION ALL SELECT *, 5 FROM b5) GROUP BY u, x), hp AS (SELECT p.u, p.v, h::INT AS hops FROM prs p LEFT JOIN al ON al.u = p.u AND al.x = p.v)"""
 
-@query(_BASE + """, h1 AS (SELECT DISTINCT p.u, p.v FROM prs p JOIN adj a ON a.a = p.u AND a.b = p.v),
-    h2 AS (SELECT DISTINCT p.u, p.v FROM prs p JOIN adj a ON a.a = p.u JOIN adj b ON b.a = a.b AND b.b = p.v)
-    SELECT p.u, p.v, CASE WHEN p.u = p.v THEN 0 WHEN h1.u IS NOT NULL THEN 1 WHEN h2.u IS NOT NULL THEN 2 END::INT AS hops FROM prs p LEFT JOIN h1 USING (u, v) LEFT JOIN h2 USING (u, v)""")
+
+@query(_HOPS + "SELECT u, v, hops FROM hp")
 def hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops of each gold pair up to 5."""
     _, adj, gold = _graph(spark, sf_dir)
-    return g.hop_distances(gold, adj, most=2)
+    return g.hop_distances(gold, adj)
 
 
-@query()
+@query(_HOPS + "SELECT k::INT AS k, round(avg((coalesce(hops, 99) <= k)::INT::DOUBLE), 6) AS recovered FROM hp, range(1, 6) r(k) GROUP BY k")
 def hop_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of gold pairs within k hops, k from 1 to 5."""
     _, adj, gold = _graph(spark, sf_dir)
@@ -131,8 +148,9 @@ def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.path_counts(gold, adj)
 
 
-_TRIALS = [(0.1, 0), (0.1, 1), (0.3, 0), (0.3, 1), (0.5, 0), (0.5, 1)]
-_DROP = _BASE + ", tr(rate, trial) AS (VALUES " + ", ".join(f"({r}::DOUBLE, {t})" for r, t in _TRIALS) + "), dr AS (SELECT rate, trial, u, v, row_number() OVER (PARTITION BY rate, trial ORDER BY " + SQL_HASH("u", "v", "trial") + ", u, v) AS rn FROM und, tr), kept AS (SELECT rate, trial, u, v FROM dr WHERE rn > round(rate * (SELECT count(*) FROM und))), ka AS (SELECT rate, trial, u AS a, v AS b FROM kept UNION ALL SELECT rate, trial, v, u FROM kept WHERE u <> v)"
+#: Six rates of dropout, three trials each.
+_TRIALS = [(r / 10, t) for r in range(6) for t in range(3)]
+_DROP = _BASE + ", tr AS (SELECT r::DOUBLE / 10 AS rate, t::INT AS trial FROM range(6) a(r), range(3) b(t)), dr AS (SELECT rate, trial, u, v, row_number() OVER (PARTITION BY rate, trial ORDER BY " + SQL_HASH("u", "v", "trial") + ", u, v) AS rn FROM und, tr), kept AS (SELECT rate, trial, u, v FROM dr WHERE rn > round(rate * (SELECT count(*) FROM und))), ka AS (SELECT rate, trial, u AS a, v AS b FROM kept UNION ALL SELECT rate, trial, v, u FROM kept WHERE u <> v)"
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,39 +204,65 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.label_propagation(undirected(edges(spark, sf_dir)))
 
 
-_BYTYPE = with_(SQL_E, SQL_UND, SQL_NT, "lab AS (SELECT idx, (ascii(type) + length(type) * 256)::BIGINT AS community FROM nt)")
-
-
-def _type_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return node_types(edges(spark, sf_dir)).select("idx", (F.ascii("type") + F.length("type") * 256).cast("bigint").alias("community"))
+_BYTYPE = with_(SQL_E, SQL_UND, SQL_NT, "lab AS (SELECT idx, type AS community FROM nt)")
 
 
 @query(_BYTYPE + """, s AS (SELECT * FROM und WHERE u <> v), ins AS (SELECT x.community, count(*) AS l FROM s JOIN lab x ON x.idx = u JOIN lab y ON y.idx = v WHERE x.community = y.community GROUP BY 1),
     vol AS (SELECT community, count(*) AS d FROM (SELECT u AS idx FROM s UNION ALL SELECT v FROM s) JOIN lab USING (idx) GROUP BY 1), m AS (SELECT count(*) AS m FROM s)
     SELECT count(*)::BIGINT AS n_communities, round(sum(coalesce(l, 0) * 1.0::DOUBLE / m - (d / (2.0::DOUBLE * m)) ** 2), 6) AS modularity FROM vol LEFT JOIN ins USING (community), m""")
 def type_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.modularity(undirected(edges(spark, sf_dir)), _type_labels(spark, sf_dir))
+    e = edges(spark, sf_dir)
+    return g.modularity(undirected(e), node_types(e).select("idx", F.col("type").alias("community")))
 
 
-@query()
-def community_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    und = undirected(edges(spark, sf_dir))
-    return g.modularity(und, g.label_propagation(und))
+# the partition that SQL can state too: each node goes with its smallest neighbour
+_NEAREST = with_(SQL_E, SQL_UND, SQL_NT) + ", lab AS (SELECT idx, min(o) AS community FROM (SELECT u AS idx, v AS o FROM und UNION ALL SELECT v, u FROM und) GROUP BY idx)"
+
+
+def _nearest(und: DataFrame) -> DataFrame:
+    return adjacency(und).groupBy(F.col("a").alias("idx")).agg(F.min("b").alias("community"))
 
 
-@query(with_(SQL_E, SQL_NT) + """, c AS (SELECT idx % 17 AS community, type, count(*) AS n FROM nt GROUP BY ALL)
+@query(_NEAREST + """, c AS (SELECT community, type, count(*) AS n FROM lab JOIN nt USING (idx) GROUP BY ALL)
     SELECT community, sum(n)::BIGINT AS size, arg_max(type, (n, type)) AS dominant, round(max(n) * 1.0::DOUBLE / sum(n), 6) AS purity FROM c GROUP BY community""")
-def community_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nt = node_types(edges(spark, sf_dir))
-    return g.purity(nt.select("idx", (F.col("idx") % 17).alias("community")), nt)
+def neighbourhood_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most frequent type of the nodes that share their smallest neighbour."""
+    e = edges(spark, sf_dir)
+    return g.purity(_nearest(undirected(e)), node_types(e))
 
 
-@query(with_(SQL_E, SQL_NT) + """, p AS (SELECT type AS x, idx % 5 AS y FROM nt), c AS (SELECT x, y, count(*)::DOUBLE AS n FROM p GROUP BY ALL), t AS (SELECT sum(n) AS t FROM c),
+@query(_NEAREST + """, p AS (SELECT type AS x, community AS y FROM lab JOIN nt USING (idx)), c AS (SELECT x, y, count(*)::DOUBLE AS n FROM p GROUP BY ALL), t AS (SELECT sum(n) AS t FROM c),
     a AS (SELECT sum(n) AS n FROM c GROUP BY x), b AS (SELECT sum(n) AS n FROM c GROUP BY y),
     en AS (SELECT (SELECT -sum(n / t * ln(n / t)) FROM c, t) AS hxy, (SELECT -sum(n / t * ln(n / t)) FROM a, t) AS hx, (SELECT -sum(n / t * ln(n / t)) FROM b, t) AS hy, (SELECT sum(n * (n - 1) / 2) FROM c) AS sxy, (SELECT sum(n * (n - 1) / 2) FROM a) AS sx, (SELECT sum(n * (n - 1) / 2) FROM b) AS sy, (SELECT t * (t - 1) / 2 FROM t) AS st)
     SELECT round((hx + hy - hxy) / ((hx + hy) / 2), 6) AS nmi, round((sxy - sx * sy / st) / ((sx + sy) / 2 - sx * sy / st), 6) AS ari FROM en""")
 def partition_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.agreement(node_types(edges(spark, sf_dir)).select(F.col("type").alias("x"), (F.col("idx") % 5).alias("y")))
+    """Agreement of types with the partition by smallest neighbour."""
+    e = edges(spark, sf_dir)
+    return g.agreement(_nearest(undirected(e)).join(node_types(e), "idx").select(F.col("type").alias("x"), F.col("community").alias("y")))
+
+
+@query()
+def community_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, most frequent type and its share of Louvain's communities of the whole graph."""
+    e = edges(spark, sf_dir)
+    return g.purity(g.louvain(undirected(e)), node_types(e))
+
+
+@query()
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Louvain's communities of the whole graph."""
+    return g.louvain(undirected(edges(spark, sf_dir)))
+
+
+@query()
+def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.label_propagation(undirected(edges(spark, sf_dir)))
+
+
+@query()
+def community_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    und = undirected(edges(spark, sf_dir))
+    return g.modularity(und, g.label_propagation(und))
 
 
 @query(with_(SQL_E, SQL_UND, SQL_ADJ, "c AS (SELECT DISTINCT drug_index AS centre FROM test_pos)") + """
@@ -308,7 +352,8 @@ def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BASE + _SCORED + """, x AS (SELECT rank() OVER (ORDER BY cn) + (count(*) OVER (PARTITION BY cn) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY round(aa, 9)) + (count(*) OVER (PARTITION BY round(aa, 9)) - 1) / 2.0::DOUBLE AS ry FROM scored)
     SELECT count(*)::BIGINT AS n, round(corr(rx, ry), 6) AS rho, round((corr(rx, ry) + 1) / 2, 6) AS effect FROM x""")
-def rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scorer_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of two scorers over the gold pairs."""
     und, adj, gold = _graph(spark, sf_dir)
     s = g.pair_scores(gold, adj, g.degrees(und)).select("cn", F.round("aa", 9).alias("aa"))
     return rk.spearman(s, "cn", "aa").select("n", "rho", F.round(sc.effect_size(F.col("rho")), 6).alias("effect"))
@@ -339,22 +384,26 @@ def kruskal_wallis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.kruskal(g.degrees(undirected(e)).join(node_types(e), "idx").select("type", "deg"), "type", "deg")
 
 
-@query(_LABSCORE + f""", d AS (SELECT u, v, label, score, b.boot, {SQL_HASH("u * 100003 + v", "b.boot", "label")} / 1000003.0::DOUBLE AS p FROM ls, range(20) b(boot)),
-    w AS (SELECT boot, score, label, CASE WHEN p < 0.367879::DOUBLE THEN 0 WHEN p < 0.735759::DOUBLE THEN 1 WHEN p < 0.919699::DOUBLE THEN 2 WHEN p < 0.981012::DOUBLE THEN 3 ELSE 4 END AS n FROM d),
-    s AS (SELECT boot, score, sum(n * label) AS pos, sum(n * (1 - label)) AS neg FROM w GROUP BY boot, score),
-    c AS (SELECT boot, sum(pos) AS np, sum(neg) AS nn, sum(pos * (below + neg / 2.0::DOUBLE)) AS won FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY boot ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) GROUP BY boot),
-    a AS (SELECT round(won / (np * nn), 6) AS auroc FROM c WHERE np > 0 AND nn > 0)
-    SELECT count(*)::BIGINT AS n_valid, round(avg(auroc), 6) AS point, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM a""")
+@query(_LABSCORE + f""", nb AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY u, v) - 1 AS no, count(*) OVER (PARTITION BY label) AS n FROM ls), sn AS (SELECT label, max(n) AS n FROM nb GROUP BY label),
+    bd AS (SELECT label, boot, ({SQL_HASH("boot", "draw", "label")}) % n AS no FROM (SELECT label, n, boot, unnest(range(n)) AS draw FROM sn, range(1000) b(boot))), s AS (SELECT boot, score, sum(label) AS pos, sum(1 - label) AS neg FROM bd JOIN nb USING (label, no) GROUP BY boot, score),
+    c AS (SELECT boot, pos, neg, pos * (sum(neg) OVER (PARTITION BY boot ORDER BY score) - neg / 2.0::DOUBLE) AS won, pos * 1.0::DOUBLE * sum(pos) OVER w / (sum(pos) OVER w + sum(neg) OVER w) AS pr FROM s WINDOW w AS (PARTITION BY boot ORDER BY score DESC)),
+    a AS (SELECT boot, round(sum(won) / (sum(pos) * sum(neg)), 6) AS auroc, round(sum(pr) / sum(pos), 6) AS ap FROM c GROUP BY boot)
+    SELECT count(*)::BIGINT AS n_valid, round(avg(auroc), 5) AS auroc, round(quantile_cont(auroc, 0.025), 5) AS auroc_low, round(quantile_cont(auroc, 0.975), 5) AS auroc_high, round(avg(ap), 5) AS ap, round(quantile_cont(ap, 0.025), 5) AS ap_low, round(quantile_cont(ap, 0.975), 5) AS ap_high FROM a""")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir).withColumn("pair", F.col("u") * 100003 + F.col("v"))
-    return lp.poisson_bootstrap(s, [], "pair")
+    """AUROC and average precision over 1000 stratified resamples, mean and 95 % interval."""
+    b = rs.bootstrap(_scored(spark, sf_dir), [], ["u", "v"])
+    return b.select("n_valid", *[F.round(c, 5).alias(c) for c in b.columns if c != "n_valid"])
 
 
-@query()
+@query(_LABSCORE + f""", nb AS (SELECT label, score, row_number() OVER (ORDER BY u % 2, u, v) - 1 AS row, count(*) FILTER (u % 2 = 0) OVER () AS na FROM ls),
+    de AS (SELECT perm, label, score, na, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN row ELSE {SQL_HASH("row", "perm")} END, row) - 1 AS place FROM nb, range(1001) p(perm)),
+    s AS (SELECT perm, (place >= na)::INT AS side, score, sum(label) AS pos, sum(1 - label) AS neg FROM de GROUP BY ALL), w AS (SELECT perm, side, pos, neg, pos * (sum(neg) OVER (PARTITION BY perm, side ORDER BY score) - neg / 2.0::DOUBLE) AS won FROM s),
+    a AS (SELECT perm, side, round(sum(won) / nullif(sum(pos) * sum(neg), 0), 6) AS auroc FROM w GROUP BY perm, side), d AS (SELECT perm, max(CASE WHEN side = 0 THEN auroc END) - max(CASE WHEN side = 1 THEN auroc END) AS d FROM a GROUP BY perm), o AS (SELECT d AS o FROM d WHERE perm = 0)
+    SELECT round(o, 6) AS observed, round(avg(coalesce((abs(d) >= abs(o))::INT::DOUBLE, 0)), 6) AS p, round(least(avg(coalesce((abs(d) >= abs(o))::INT::DOUBLE, 0)) * 3, 1), 6) AS bonferroni FROM d, o WHERE perm > 0 GROUP BY o""")
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Difference of AUROC between two thirds of the pairs by drug, against permutations."""
-    s = _scored(spark, sf_dir).withColumn("pair", F.col("u") * 100003 + F.col("v"))
-    return lp.permutation_test(s.filter("u % 2 = 0"), s.filter("u % 2 = 1"), "pair")
+    """Difference of AUROC between the pairs of even and of odd drugs against 1000 permutations, for three comparisons."""
+    s = _scored(spark, sf_dir)
+    return rs.permutation_test(s.filter("u % 2 = 0"), s.filter("u % 2 = 1"), ["u", "v"], comparisons=3)
 
 
 @query(f"""WITH r AS (SELECT test_id, row_number() OVER (ORDER BY {SQL_HASH("test_id")}, test_id) AS rn, count(*) OVER () AS n FROM test_pos) SELECT test_id, CASE WHEN rn <= floor(0.9::DOUBLE * n) THEN 'train' ELSE 'test' END AS part FROM r""")
@@ -363,12 +412,11 @@ def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.exact_split(t, "h", "test_id").select("test_id", "part")
 
 
-@query(f"""WITH r AS (SELECT test_id, drug_id, row_number() OVER (PARTITION BY drug_id ORDER BY {SQL_HASH("test_id")}, test_id) AS r FROM test_pos) SELECT test_id, drug_id FROM r WHERE r <= 2""")
+@query(f"""WITH r AS (SELECT test_id, drug_id, {SQL_HASH("test_id")} AS h FROM test_pos) SELECT test_id, drug_id FROM (SELECT *, row_number() OVER (PARTITION BY drug_id ORDER BY h, test_id) AS r FROM r) WHERE r <= 5 ORDER BY h, test_id LIMIT 500""")
 def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hashed pairs of each drug (a capped sample by definition)."""
+    """Five hashed pairs of each drug at most, 500 overall (a capped sample by definition)."""
     t = table(spark, sf_dir, "test_pos").select("test_id", "drug_id", sc.hashed(F.col("test_id")).alias("h"))
-    kept = t.groupBy("drug_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "test_id"))), 1, 2).alias("k"))
-    return kept.select(F.explode("k.test_id").alias("test_id"), "drug_id")
+    return capped_per_group(t, "drug_id", ["h", "test_id"]).select("test_id", "drug_id")
 
 
 _NEG = with_(SQL_E, SQL_GOLD) + f""", hh AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS no FROM (SELECT DISTINCT u FROM gold)), vv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS no FROM (SELECT DISTINCT v FROM gold)),
@@ -382,14 +430,21 @@ def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp.negatives("type_constrained", p, p, p, p, 500)
 
 
-@query()
+_TARGETS = "tg AS (SELECT DISTINCT CASE WHEN x_type = 'drug' THEN x_index ELSE y_index END AS drug, CASE WHEN x_type = 'drug' THEN y_index ELSE x_index END AS target FROM e WHERE rel = 'drugprotein' AND (x_type = 'drug') <> (y_type = 'drug'))"
+
+
+@query(with_(SQL_E, SQL_GOLD, _TARGETS) + f""", pp AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS pn FROM (SELECT DISTINCT u, v FROM gold)), tl AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS no FROM (SELECT DISTINCT v FROM gold)),
+    od AS (SELECT drug, target, row_number() OVER (PARTITION BY drug ORDER BY target) - 1 AS k, count(*) OVER (PARTITION BY drug) AS nd FROM tg), ot AS (SELECT target, drug, row_number() OVER (PARTITION BY target ORDER BY drug) - 1 AS k2, count(*) OVER (PARTITION BY target) AS nw FROM tg),
+    d0 AS (SELECT id, u, ({SQL_HASH("id", seed=45)}) % (SELECT count(*) FROM tl) AS no FROM range(15000) r(id) JOIN pp ON pp.pn = ({SQL_HASH("id")}) % (SELECT count(*) FROM pp)),
+    d1 AS (SELECT d0.*, od.target FROM d0 JOIN od ON od.drug = d0.u AND od.k = ({SQL_HASH("id", seed=43)}) % od.nd), d2 AS (SELECT d1.*, ot.k2 AS mine, nw, ({SQL_HASH("id", seed=44)}) % (nw - 1) AS pl FROM d1 JOIN ot ON ot.target = d1.target AND ot.drug = d1.u WHERE nw > 1),
+    d3 AS (SELECT ot.drug AS u, tl.v, min(id) AS id FROM d2 JOIN ot ON ot.target = d2.target AND ot.k2 = pl + (pl >= mine)::INT JOIN tl ON tl.no = d2.no GROUP BY ALL)
+    SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY id) AS r FROM d3 WHERE NOT EXISTS (SELECT 1 FROM gold WHERE gold.u = d3.u AND gold.v = d3.v)) WHERE r <= 500""")
 def shared_target_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 hashed pairs whose drug shares a target with the drug of a gold pair."""
     p = gold_pairs(spark, sf_dir)
-    return lp.negatives("shared_target", p, p, p, _targets(spark, sf_dir), 0)
+    return lp.negatives("shared_target", p, p, p, _targets(spark, sf_dir), 500)
 
 
-_TARGETS = "tg AS (SELECT DISTINCT CASE WHEN x_type = 'drug' THEN x_index ELSE y_index END AS drug, CASE WHEN x_type = 'drug' THEN y_index ELSE x_index END AS target FROM e WHERE rel = 'drugprotein' AND (x_type = 'drug') <> (y_type = 'drug'))"
-
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir).filter("rel = 'drugprotein' AND (x_type = 'drug') <> (y_type = 'drug')")
@@ -416,18 +471,6 @@ def gene_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_paths"), F.round(F.sum(1 / (1.0 + F.col("n"))), 6).alias("score"))
 
 
-@query(with_(SQL_E, SQL_UND, SQL_ADJ, _DEG, _TARGETS) + """
-    , q AS (SELECT drug AS u, target AS v FROM tg), s AS (SELECT q.u, q.v, n.b AS w FROM q JOIN adj n ON n.a = q.u WHERE n.b <> q.v),
-    m AS (SELECT s.u, s.v, sum(CASE WHEN d.deg > 1 THEN 1.0::DOUBLE / ln(d.deg) ELSE 0.0::DOUBLE END) AS aa FROM s JOIN adj b ON b.a = s.v AND b.b = s.w AND b.b <> s.u JOIN deg d ON d.idx = s.w GROUP BY s.u, s.v)
-    SELECT q.u, q.v, round(coalesce(aa, 0.0::DOUBLE), 6) AS aa FROM q LEFT JOIN m USING (u, v)""")
-def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adamic-Adar of each drug-target link with that link left out of the graph; degrees are those before."""
-    und, adj, _ = _graph(spark, sf_dir)
-    pairs = _targets(spark, sf_dir).select(F.col("drug").alias("u"), F.col("target").alias("v"))
-    # without the link itself neither end is the other's neighbour, which is what aa leaves out anyway
-    return g.pair_scores(pairs, adj, g.degrees(und)).select("u", "v", F.round("aa", 6).alias("aa"))
-
-
 # --- time, resampling reports ------------------------------------------------------------------------------------
 
 

@@ -31,10 +31,10 @@ def brute(links):
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_components_of_all_relations(spark, rows):
     expected = brute(rows(undirected(edges(spark, SF))))
-    assert dict(rows(graph_queries.whole_graph_components(spark, SF))) == expected
+    assert dict(rows(graph_queries.graph_components(spark, SF))) == expected
     nodes = {r.idx for r in spark.read.parquet(f"{SF}/nodes_df.parquet").filter("kg = 'alder' AND idx IS NOT NULL").select("idx").collect()}
     sizes, isolated = Counter(expected.values()), len(nodes - set(expected))
-    assert rows(graph_queries.whole_graph_connectivity(spark, SF)) == [(len(nodes | set(expected)), len(sizes) + isolated, max(sizes.values()), isolated)]
+    assert rows(graph_queries.connectivity(spark, SF)) == [(len(nodes | set(expected)), len(sizes) + isolated, max(sizes.values()), isolated)]
 
 
 def test_connectivity_of_a_small_graph(spark, rows):
