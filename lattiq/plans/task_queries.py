@@ -51,7 +51,7 @@ _GROUPED = """, gs AS (SELECT lab.grp, label, aa AS score FROM lab JOIN sc USING
       FROM gs WINDOW w AS (PARTITION BY grp ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     mx AS (SELECT grp, sum(label) AS p, sum(1 - label) AS q, (sum(CASE WHEN label = 1 THEN mid END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / nullif(sum(label) * sum(1 - label), 0) AS auroc,
       avg(CASE WHEN label = 1 THEN tp * 1.0::DOUBLE / rnk END) AS ap, avg(CASE WHEN label = 1 THEN 1.0::DOUBLE / rnk END) AS mrr, avg(CASE WHEN label = 1 THEN (rnk <= 10)::INT::DOUBLE END) AS h10, avg(CASE WHEN label = 1 THEN (rnk <= 50)::INT::DOUBLE END) AS h50, avg(CASE WHEN label = 1 THEN (rnk <= 100)::INT::DOUBLE END) AS h100 FROM rw GROUP BY grp)"""
-_METRICS = "p::BIGINT AS n_pos, q::BIGINT AS n_neg, round(auroc, 4) AS auroc, round(ap, 4) AS ap, round(mrr, 4) AS mrr, round(h10, 4) AS hits10, round(h50, 4) AS hits50, round(h100, 4) AS hits100"
+_METRICS = "p::BIGINT AS n_pos, q::BIGINT AS n_neg, round(round(auroc, 6), 4) AS auroc, round(round(ap, 6), 4) AS ap, round(round(mrr, 6), 4) AS mrr, round(round(h10, 6), 4) AS hits10, round(round(h50, 6), 4) AS hits50, round(round(h100, 6), 4) AS hits100"
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -114,7 +114,7 @@ def tier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(_tier_scores(spark, sf_dir))
 
 
-@query(_TIERS + """, k AS (SELECT max(CASE WHEN grp = 'Q4' THEN round(auroc, 4) END) AS q4, max(CASE WHEN grp = 'Q1' THEN round(auroc, 4) END) AS q1 FROM mx) SELECT q4, q1, round((q4 - q1) / nullif(q4, 0) * 100, 1) AS gap FROM k""")
+@query(_TIERS + """, k AS (SELECT max(CASE WHEN grp = 'Q4' THEN round(round(auroc, 6), 4) END) AS q4, max(CASE WHEN grp = 'Q1' THEN round(round(auroc, 6), 4) END) AS q1 FROM mx) SELECT q4, q1, round((q4 - q1) / nullif(q4, 0) * 100, 1) AS gap FROM k""")
 def generalisation_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative loss of AUROC from the best connected diseases to the sparse ones, in percent."""
     m = _metrics(_tier_scores(spark, sf_dir))
@@ -147,7 +147,7 @@ def area_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(_area_scores(spark, sf_dir))
 
 
-@query(_AREAS + """, m AS (SELECT round(auroc, 4) AS a FROM mx), ps AS (SELECT grp, score FROM gs WHERE label = 1), x AS (SELECT grp, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM ps),
+@query(_AREAS + """, m AS (SELECT round(round(auroc, 6), 4) AS a FROM mx), ps AS (SELECT grp, score FROM gs WHERE label = 1), x AS (SELECT grp, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM ps),
     kk AS (SELECT count(*) AS n, sum(r) AS r FROM x GROUP BY grp), t AS (SELECT count(*)::DOUBLE AS t FROM x), ti AS (SELECT sum(c ** 3 - c) AS ti FROM (SELECT count(*)::DOUBLE AS c FROM x GROUP BY score)),
     h AS (SELECT count(*)::BIGINT AS n_groups, round((12 / (t * (t + 1)) * sum(kk.r * kk.r / kk.n) - 3 * (t + 1)) / (1 - ti / (t ** 3 - t)), 6) AS h FROM kk, t, ti GROUP BY t, ti)
     SELECT count(a)::BIGINT AS n, round(avg(a), 4) AS mean, round(stddev_pop(a), 4) AS sd, CASE WHEN count(a) >= 2 THEN round(stddev_pop(a) / avg(a) * 100, 2) END AS cv, round(max(a) - min(a), 4) AS spread, (SELECT n_groups FROM h) AS n_groups, (SELECT h FROM h) AS h FROM m""")
@@ -167,8 +167,8 @@ def area_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- prospective -------------------------------------------------------------------------------------------------
 
 _NEWPAIRS = with_(SQL_E, SQL_UND, SQL_NT, _DEG, _IND) + """, ap AS (SELECT DISTINCT drug_id, lower(trim(disease_name)) AS disease FROM table5_replication WHERE drug_id IS NOT NULL AND disease_name IS NOT NULL),
-    dr AS (SELECT id, min(idx) AS u FROM nodes_df WHERE kg = 'alder' AND lower(type) = 'drug' AND idx IS NOT NULL GROUP BY id), ds AS (SELECT lower(name) AS disease, min(idx) AS v FROM nodes_df WHERE kg = 'alder' AND lower(type) = 'disease' AND idx IS NOT NULL AND name IS NOT NULL GROUP BY 1),
-    rp AS (SELECT ap.*, dr.u, ds.v, coalesce(deg.deg, 0) AS deg FROM ap LEFT JOIN dr ON dr.id = ap.drug_id LEFT JOIN ds USING (disease) LEFT JOIN deg ON deg.idx = dr.u),
+    drg AS (SELECT id, min(idx) AS u FROM nodes_df WHERE kg = 'alder' AND lower(type) = 'drug' AND idx IS NOT NULL GROUP BY id), dss AS (SELECT lower(name) AS disease, min(idx) AS v FROM nodes_df WHERE kg = 'alder' AND lower(type) = 'disease' AND idx IS NOT NULL AND name IS NOT NULL GROUP BY 1),
+    rp AS (SELECT ap.*, drg.u, dss.v, coalesce(deg.deg, 0) AS deg FROM ap LEFT JOIN drg ON drg.id = ap.drug_id LEFT JOIN dss USING (disease) LEFT JOIN deg ON deg.idx = drg.u),
     st AS (SELECT drug_id, disease, u, v, CASE WHEN u IS NULL OR deg < 5 THEN 'unmatched_drug' WHEN v IS NULL THEN 'unmatched_disease' WHEN EXISTS (SELECT 1 FROM ind WHERE ind.u = rp.u AND ind.v = rp.v) THEN 'leaked' ELSE 'new' END AS state FROM rp)"""
 
 
@@ -224,12 +224,13 @@ def prospective_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
 
-_GENES = "dg AS (SELECT DISTINCT CASE WHEN x_type = 'disease' THEN x_index ELSE y_index END AS d, CASE WHEN x_type = 'disease' THEN y_index ELSE x_index END AS g FROM e WHERE (x_type = 'disease' AND y_type = 'gene/protein') OR (x_type = 'gene/protein' AND y_type = 'disease')), pool AS (SELECT idx AS g FROM nt WHERE type = 'gene/protein')"
+_GENES = "dg AS (SELECT DISTINCT CASE WHEN x_type <> 'gene/protein' THEN x_index ELSE y_index END AS d, CASE WHEN x_type <> 'gene/protein' THEN y_index ELSE x_index END AS g FROM e WHERE (x_type IN ('disease', 'drug') AND y_type = 'gene/protein') OR (x_type = 'gene/protein' AND y_type IN ('disease', 'drug'))), pool AS (SELECT idx AS g FROM nt WHERE type = 'gene/protein')"
 
 
-def _disease_genes(e: DataFrame) -> DataFrame:
-    forward = F.col("x_type") == "disease"
-    both = "(x_type = 'disease' AND y_type = 'gene/protein') OR (x_type = 'gene/protein' AND y_type = 'disease')"
+def _known_genes(e: DataFrame) -> DataFrame:
+    """(d, g): genes of diseases and of drugs, whichever way they are stated."""
+    forward = F.col("x_type") != "gene/protein"
+    both = "(x_type IN ('disease', 'drug') AND y_type = 'gene/protein') OR (x_type = 'gene/protein' AND y_type IN ('disease', 'drug'))"
     return e.filter(both).select(F.when(forward, F.col("x_index")).otherwise(F.col("y_index")).alias("d"), F.when(forward, F.col("y_index")).otherwise(F.col("x_index")).alias("g")).distinct()
 
 
@@ -245,14 +246,14 @@ _SUMMARY = "count(*)::BIGINT AS n, round(avg((rank <= 10)::INT::DOUBLE), 6) AS h
 def _held_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     _, adj, deg = _graph(spark, sf_dir)
-    targets = written(_disease_genes(e))
+    targets = written(_known_genes(e))
     pool = node_types(e).filter("type = 'gene/protein'").select(F.col("idx").alias("g"))
     return rt.leave_one_out_ranks(rt.held_out_targets(targets), targets, adj, deg, pool)
 
 
 @query(_HELD + "SELECT d, g, rank::BIGINT AS rank FROM rk")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of a held-out gene of each disease with at least five, among all genes but its others."""
+    """Rank of a held-out gene of each disease and drug with at least five, among all genes but its others."""
     return _held_ranks(spark, sf_dir)
 
 

@@ -36,9 +36,9 @@ def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_types(e: DataFrame) -> DataFrame:
-    """(idx, type, name) from edge ends, first row wins."""
+    """(idx, type, name) from edge ends, the first row that has one wins."""
     ends = e.select("row_id", F.explode(F.array(F.struct(F.col("x_index").alias("idx"), F.col("x_type").alias("type"), F.col("x_name").alias("name"), F.lit(0).alias("end")), F.struct(F.col("y_index").alias("idx"), F.col("y_type").alias("type"), F.col("y_name").alias("name"), F.lit(1).alias("end")))).alias("n"))
-    return ends.select("n.*", "row_id").groupBy("idx").agg(F.min_by("type", F.struct("end", "row_id")).alias("type"), F.min_by("name", F.struct("end", "row_id")).alias("name"))
+    return ends.select("n.*", "row_id").groupBy("idx").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("end", "row_id"))).alias(c) for c in ("type", "name")])
 
 
 SQL_E = r"""e AS (SELECT edge_id AS row_id, regexp_replace(lower(relation), '[^a-z]', '', 'g') AS rel, display_relation, x_index, x_id, x_type, x_name, x_source, y_index, y_id, y_type, y_name, y_source
