@@ -140,3 +140,100 @@ def roll_up(scores: DataFrame) -> DataFrame:
     dims = scores.filter("score IS NOT NULL").groupBy("kg", "dimension").agg(F.avg("score").alias("score"))
     total = dims.groupBy("kg").agg(F.avg("score").alias("score")).select("kg", F.lit("overall").alias("dimension"), "score")
     return dims.unionByName(total).withColumn("score", F.round("score", 6))
+
+
+# The sub-metrics of a summary, with the dimension each belongs to.
+SUB_METRICS = [
+    ("Entity Coverage", "coverage"), ("Relation Coverage", "coverage"),
+    ("Entity Validity", "annotation_accuracy"), ("Relational Consistency", "annotation_accuracy"),
+    ("Source Diversity", "trustworthiness"), ("Edge Traceability", "trustworthiness"), ("Uncertainty Quantification", "trustworthiness"),
+    ("Graph Cohesion", "topology"), ("Clustering Coefficient", "topology"), ("Graph Reachability", "topology"), ("Community Purity", "topology"),
+    ("Random Dropout", "stability"), ("Periph. Dropout", "stability"),
+    ("Link Prediction", "task_performance"), ("Neighborhood Retrieval", "task_performance"), ("Multi-hop Reasoning", "task_performance"),
+    ("Data-Sparse Gen.", "generalisation"), ("Cross-Domain Gen.", "generalisation"), ("Prospective Gen.", "generalisation"),
+]
+
+
+def summary_table(scores: DataFrame) -> DataFrame:
+    """(kg, dimension, metric, score): every sub-metric of every graph (null where scores has none), the mean of each dimension
+    (metric "all") and the mean of the dimensions ("overall", "all"); scores: (kg, metric, score), one row each, nulls left out."""
+    spark = scores.sparkSession
+    listed = F.broadcast(spark.createDataFrame(SUB_METRICS, "metric string, dimension string"))
+    graphs = scores.select("kg").distinct()
+    full = graphs.join(listed).join(scores, ["kg", "metric"], "left").select("kg", "dimension", "metric", F.round("score", 6).alias("score"))
+    known = scores.join(listed, "metric")
+    return full.unionByName(roll_up(known.select("kg", "dimension", "metric", "score")).select("kg", "dimension", F.lit("all").alias("metric"), "score"))
+
+
+def source_modes(edges: DataFrame, mode: str, columns: list[str] = ()) -> DataFrame:
+    """(source, n) of edges by mode: "columns" (uses over the columns, divided by their number; nulls left out), "relation_prefix" (what
+    stands before :: in relation, else "other"), "relation_values"."""
+    if mode == "columns":
+        long = edges.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("source")).filter("source IS NOT NULL")
+        return long.groupBy("source").agg(F.floor(F.count(F.lit(1)) / len(columns)).alias("n"))
+    if mode == "relation_prefix":
+        prefix = F.coalesce(F.nullif(F.regexp_extract("relation", "^([^:]+)::", 1), F.lit("")), F.lit("other"))
+        return edges.groupBy(prefix.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    if mode == "relation_values":
+        return edges.filter("relation IS NOT NULL").groupBy(F.col("relation").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    raise ValueError(f"unknown mode {mode!r}; known: columns, relation_prefix, relation_values")
+
+
+def granularity_row(edges: DataFrame, name: str, mode: str, tier: int, documented: int, columns: list[str] = ()) -> DataFrame:
+    """(kg, tier, n, pct_attributed, n_sources, pct_cross, traceability): how edges tell where they come from, to one place.
+
+    With two columns pct_cross is the share of attributed edges whose ends name different sources; other modes have none
+    (0 where the relation names the one source). n_sources is the documented number, not the one found."""
+    from lattiq.functions.scores import traceability
+
+    attributed, cross = F.lit(True), F.lit(None).cast("double")
+    if mode == "columns":
+        attributed = F.coalesce(F.col(columns[0]) != "", F.lit(False)) if len(columns) == 1 else F.col(columns[0]).isNotNull()
+    elif mode == "relation_prefix":
+        attributed = F.coalesce(F.col("relation").contains("::"), F.lit(False))
+    elif mode != "relation_values":
+        raise ValueError(f"unknown mode {mode!r}; known: columns, relation_prefix, relation_values")
+    a = F.count(F.when(attributed, 1))
+    if mode == "columns" and len(columns) == 2:
+        x, y = columns
+        cross = F.when(a > 0, F.round(F.count(F.when(attributed & F.col(y).isNotNull() & (F.col(x) != F.col(y)), 1)) * 100.0 / a, 1)).otherwise(0.0)
+    elif mode == "relation_prefix":
+        cross = F.lit(0.0)
+    n = F.count(F.lit(1))
+    return edges.agg(F.lit(name).alias("kg"), F.lit(tier).alias("tier"), n.alias("n"), F.when(n > 0, F.round(a * 100.0 / n, 1)).alias("pct_attributed"), F.lit(documented).alias("n_sources"), cross.alias("pct_cross"), traceability(F.lit(tier)).alias("traceability"))
+
+
+def pair_audit(gold: DataFrame, nodes: DataFrame, links: DataFrame, predicates: list[str]) -> DataFrame:
+    """(key, value) scalars of an audit of gold pairs (a, b) against links (a, b, predicate) between mapped nodes.
+
+    nodes: (id, mapped), mapped null where an id has no counterpart; links with an unmapped end (null) do not count. Pairs
+    are unordered; predicates are those that count as the relation audited."""
+    ordered = lambda df, *c: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *c)
+    g = ordered(gold).distinct().withColumn("g", F.lit(1))
+    mapped = links.filter("a IS NOT NULL AND b IS NOT NULL")
+    f = ordered(mapped, "predicate").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("predicate").isin(list(predicates)).cast("int")).alias("d"))
+    count = lambda x: F.count(F.when(x, 1))
+    found, stated, meant = F.col("g") == 1, F.col("n").isNotNull(), F.col("d") == 1
+    j = g.join(f, ["a", "b"], "full").agg(
+        count(found).alias("gold_pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges_mapped"), count(stated).alias("pairs_any"), count(meant).alias("pairs_meant"), count(found & stated).alias("overlap_any"),
+        count(found & meant).alias("overlap_meant"), count(found & ~stated).alias("missing"))
+    v = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count("mapped").alias("nodes_mapped"), F.count_distinct("mapped").alias("distinct_mapped"))
+    one = j.join(F.broadcast(v))  # single rows
+    pct = lambda c: F.when(F.col("gold_pairs") > 0, F.round(100.0 * F.col(c) / F.col("gold_pairs"), 2))
+    one = one.select(*[F.col(c).cast("double").alias(c) for c in one.columns], pct("overlap_any").alias("coverage_any_pct"), pct("overlap_meant").alias("coverage_meant_pct"))
+    return one.unpivot([], one.columns, "key", "value")
+
+
+def approval_lists(rows: DataFrame) -> DataFrame:
+    """(drug_id, drug_name, approvals) of rows (drug_id, drug_name, disease, date, agency): for each drug its diseases in order of date.
+
+    approvals: array of (date, disease, agencies): earliest date and sorted distinct agencies of the pair."""
+    pairs = rows.filter("drug_id IS NOT NULL AND disease IS NOT NULL").groupBy("drug_id", "disease").agg(F.min("date").alias("date"), F.array_join(F.array_sort(F.collect_set("agency")), ";").alias("agencies"), F.min("drug_name").alias("drug_name"))
+    # a drug has at most one entry for each disease there is
+    return pairs.groupBy("drug_id").agg(F.min("drug_name").alias("drug_name"), F.array_sort(F.collect_list(F.struct("date", "disease", "agencies"))).alias("approvals"))
+
+
+def pairs_beyond(rows: DataFrame, agency: str) -> DataFrame:
+    """Rows of other agencies whose (drug_id, disease) the agency itself does not have."""
+    own = rows.filter(F.col("agency") == agency).select("drug_id", "disease").distinct()
+    return rows.filter(F.col("agency").isNull() | (F.col("agency") != agency)).join(own, ["drug_id", "disease"], "left_anti")
