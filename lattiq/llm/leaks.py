@@ -70,6 +70,7 @@ class Unit:
 
     def __init__(self, words: list[str], rare: set[str]):
         self.size = len(words)
+        self.words = words
         self.masks: dict[str, int] = {}
         for i, w in enumerate(words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
@@ -80,6 +81,10 @@ class Unit:
             middle = self.size // 2
             self.halves = [Unit(words[:middle], rare), Unit(words[middle:], rare)]
 
+    def lacks(self, text: set[str]) -> int:
+        """Words of this unit that text has nowhere: it takes at least as many edits."""
+        return sum(w not in text for w in self.words)
+
     def search(self, text: list[str]) -> tuple[int, int]:
         """(fewest edits, end) of the place in text where this unit fits best (Myers 1999, search form)."""
         m = self.size
@@ -175,7 +180,7 @@ class Items:
         here = set(words)
 
         def take(unit: Unit) -> bool:
-            if not ((unit.names | unit.figures) & here):
+            if unit.lacks(here) > EDIT_SHARE * unit.size or not ((unit.names | unit.figures) & here):
                 return False
             edits, end = unit.search(words)
             if edits <= EDIT_SHARE * unit.size:
@@ -216,7 +221,9 @@ class Items:
             for i in range(place - WINDOW + PIECE, place + 1, PIECE):
                 if i in self.windows[n]:
                     if (i, d) not in fits:
-                        fits[i, d] = self.windows[n][i].search(words[max(0, i + d - STEP) : i + d + WINDOW + STEP])[0] <= WINDOW_EDITS
+                        region = words[max(0, i + d - STEP) : i + d + WINDOW + STEP]
+                        window = self.windows[n][i]
+                        fits[i, d] = window.lacks(set(region)) <= WINDOW_EDITS and window.search(region)[0] <= WINDOW_EDITS
                     if fits[i, d]:
                         held.update(j for j in range(i, min(i + WINDOW, len(item))) if item[j] in words[max(0, j + d - STEP) : j + d + STEP + 1])
             around[at, place] = held
@@ -247,35 +254,26 @@ def is_leak(words: int, names: int, of_names: int, figures: int, of_figures: int
     return words >= (LEAST_WORDS if names + figures > 1 else EXCERPT) and names >= OWN_SHARE * of_names and figures >= OWN_SHARE * of_figures - 1
 
 
-def _outside_copies(row: list[str], runs: set[tuple[str, ...]], terms: dict) -> set:
-    """The terms in a row of words, without those of copied runs."""
-    copied = [i for i, r in enumerate(_runs(row)) if r in runs] if len(row) >= COPIED_RUN else ()
-    if not copied:
-        return {*row, *(p for p in zip(row, row[1:]) if p in terms)}
+def _outside_copies(words: list[str], copied: list[int], terms: dict) -> set:
+    """The terms in words, without those of the runs that begin at the places copied."""
     within = {j for i in copied for j in range(i, i + COPIED_RUN)}
-    free = {w for j, w in enumerate(row) if j not in within}
-    return free | {p for j, p in enumerate(zip(row, row[1:])) if p in terms and not (j in within and j + 1 in within)}
+    free = {w for j, w in enumerate(words) if j not in within}
+    pairs = {p for j, p in enumerate(zip(words, words[1:])) if not (j in within and j + 1 in within)}
+    return terms.keys() & (free | pairs)
 
 
 def _term_counter(block: Items):
     """Partition of documents -> (term, number of documents that have it outside copies), for the words and pairs of the items."""
-    terms, runs = block.terms, block.runs
+    terms, runs, starts = block.terms, block.runs, {r[:3] for r in block.runs}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+        known = terms.keys()
         for batch in batches:
             for text in batch["text"]:
                 words = words_of(text)
-                # words of the items in a row; the names of other texts break most such rows
-                row: list[str] = []
-                seen: set = set()
-                for w in (*words, None):
-                    if w in terms:
-                        row.append(w)
-                    elif row:
-                        seen |= _outside_copies(row, runs, terms)
-                        row = []
-                counts.update(seen)
+                copied = [i for i, g in enumerate(zip(words, words[1:], words[2:])) if g in starts and tuple(words[i : i + COPIED_RUN]) in runs]
+                counts.update(_outside_copies(words, copied, terms) if copied else known & {*words, *zip(words, words[1:])})
         yield pd.DataFrame({"term": [terms[t] for t in counts], "n": list(counts.values())}, columns=["term", "n"])
 
     return run
