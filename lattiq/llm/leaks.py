@@ -42,7 +42,7 @@ OWN_SHARE = 0.6
 #: A word is the item's own (a name or figure, not customary) if, outside copies, at most so large a share of all documents
 #: has it beside any neighbour that it has in an item, and at most so large a share has it at all.
 RARE_PAIR_SHARE, RARE_WORD_SHARE, LEAST_DOCUMENTS = 0.0012, 0.012, 3
-#: Equal words in a row that make a copy.
+#: Equal words in a row that make a copy, looked for at every PIECE-th word of a document.
 COPIED_RUN = 12
 #: One own word is enough in a run of so many equal words.
 LONG_RUN = 9
@@ -264,7 +264,7 @@ def _outside_copies(words: list[str], copied: list[int], terms: dict) -> set:
 
 def _term_counter(block: Items):
     """Partition of documents -> (term, number of documents that have it outside copies), for the words and pairs of the items."""
-    terms, runs, starts = block.terms, block.runs, {r[:3] for r in block.runs}
+    terms, runs = block.terms, block.runs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -272,7 +272,7 @@ def _term_counter(block: Items):
         for batch in batches:
             for text in batch["text"]:
                 words = words_of(text)
-                copied = [i for i, g in enumerate(zip(words, words[1:], words[2:])) if g in starts and tuple(words[i : i + COPIED_RUN]) in runs]
+                copied = [i for i in range(0, len(words) - COPIED_RUN + 1, PIECE) if tuple(words[i : i + COPIED_RUN]) in runs]
                 counts.update(_outside_copies(words, copied, terms) if copied else known & {*words, *zip(words, words[1:])})
         yield pd.DataFrame({"term": [terms[t] for t in counts], "n": list(counts.values())}, columns=["term", "n"])
 
