@@ -28,6 +28,8 @@ from lattiq.plans.lineage import written
 LEAST_SPAN = 4
 #: Share of a mention that its shared spans must cover before it is verified.
 LEAST_COVERAGE = 0.35
+#: Characters of a text whose coverage fits one number.
+BITS = 60
 #: Edits allowed in a stem, and characters of a stem for each edit.
 MOST_EDITS, CHARACTERS_AN_EDIT = 4, 3
 
@@ -89,7 +91,7 @@ def shared_spans(train: DataFrame, test: DataFrame) -> DataFrame:
     offsets = F.when(F.col("kind") == "index", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("text") - LEAST_SPAN))
     suffixes = texts.filter(F.length("text") >= LEAST_SPAN).select("kind", "text", "is_test", F.explode(offsets).alias("at")).withColumn("suffix", F.expr("substring(text, at + 1)"))
     up, down = ["kind", "suffix", F.col("is_test").desc(), "text"], [F.col("kind").desc(), F.col("suffix").desc(), F.col("is_test").desc(), "text"]
-    links = _passed(suffixes, up).unionByName(_passed(suffixes, down)).distinct()
+    links = written(_passed(suffixes, up).unionByName(_passed(suffixes, down)).distinct())  # read twice by the join
     holders = suffixes.filter("is_test = 1").select("kind", "suffix", F.col("text").alias("test")).distinct()
     return salted_join(links, holders, ["kind", "suffix"]).select("kind", "train", "test", "at", "n")
 
@@ -100,10 +102,14 @@ def match_texts(train: DataFrame, test: DataFrame) -> DataFrame:
     Kind "index": the texts are equal. Kind "id": the test text is the end of the train text (after a namespace). Kind "name": spans cover enough of the
     train text and the edit distance is small; the nearest test texts are kept. Empty texts match nothing.
     """
-    spans = shared_spans(train, test)
+    spans = written(shared_spans(train, test))
     ids = spans.filter("(kind = 'id' AND n = length(test) AND at + n = length(train)) OR (kind = 'index' AND train = test)").select("kind", "train", "test", F.lit(0).alias("edits")).distinct()
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)")))))
-    names = spans.filter("kind = 'name'").groupBy("kind", "train", "test").agg(covered.alias("covered")).filter(F.col("covered") >= LEAST_COVERAGE * F.length("train"))
+    # places of short texts are bits of a number; those of longer ones are gathered
+    named, narrow = spans.filter("kind = 'name'"), F.length("train") <= BITS
+    bits = F.bit_count(F.bit_or(F.expr("shiftleft(shiftleft(1L, n) - 1L, at)"))).cast("int")
+    places = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)")))))
+    counted = lambda df, c: df.groupBy("kind", "train", "test").agg(c.alias("covered"))
+    names = counted(named.filter(narrow), bits).unionByName(counted(named.filter(~narrow), places)).filter(F.col("covered") >= LEAST_COVERAGE * F.length("train"))
     # texts too short for a span are compared whole
     short = train.filter(F.length("text").between(1, LEAST_SPAN - 1)).join(test.withColumnRenamed("text", "other"), (F.col("text") == F.col("other")) & (train["kind"] == test["kind"])).select(train["kind"], F.col("text").alias("train"), F.col("other").alias("test"), F.lit(0).alias("edits"))
     edits = names.withColumn("edits", F.levenshtein("train", "test", MOST_EDITS)).filter((F.col("edits") >= 0) & (F.col("edits") * CHARACTERS_AN_EDIT <= F.length("test")))
