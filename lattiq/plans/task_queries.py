@@ -150,7 +150,7 @@ def area_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_AREAS + """, m AS (SELECT round(round(auroc, 6), 4) AS a FROM mx), ps AS (SELECT grp, score FROM gs WHERE label = 1), x AS (SELECT grp, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM ps),
     kk AS (SELECT count(*) AS n, sum(r) AS r FROM x GROUP BY grp), t AS (SELECT count(*)::DOUBLE AS t FROM x), ti AS (SELECT sum(c ** 3 - c) AS ti FROM (SELECT count(*)::DOUBLE AS c FROM x GROUP BY score)),
     h AS (SELECT count(*)::BIGINT AS n_groups, round((12 / (t * (t + 1)) * sum(kk.r * kk.r / kk.n) - 3 * (t + 1)) / (1 - ti / (t ** 3 - t)), 6) AS h FROM kk, t, ti GROUP BY t, ti)
-    SELECT count(a)::BIGINT AS n, round(avg(a), 4) AS mean, round(stddev_pop(a), 4) AS sd, CASE WHEN count(a) >= 2 THEN round(stddev_pop(a) / avg(a) * 100, 2) END AS cv, round(max(a) - min(a), 4) AS spread, (SELECT n_groups FROM h) AS n_groups, (SELECT h FROM h) AS h FROM m""")
+    SELECT count(a)::BIGINT AS n, round(avg(a), 4) AS mean, round(stddev_pop(a), 4) AS sd, CASE WHEN count(a) >= 2 THEN round(stddev_pop(a) / avg(a) * 100, 2) END AS cv, round(max(a) - min(a), 4) AS spread, coalesce((SELECT n_groups FROM h), 0)::BIGINT AS n_groups, (SELECT h FROM h) AS h FROM m""")
 def area_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How AUROC varies over areas, and the Kruskal-Wallis statistic of the positives' scores."""
     scored = written(_area_scores(spark, sf_dir))
