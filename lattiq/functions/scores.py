@@ -74,3 +74,75 @@ def hashed(*terms: Column, seed: int = 42) -> Column:
         h = h + t.cast("bigint") * f
     h = F.pmod(h, F.lit(1000003))
     return F.pmod(h * h + h * 31 + seed, F.lit(1000003))
+
+
+# --- tails of distributions, for the single numbers of a finished test --------------------------------------------
+
+
+def _continued(step, most: int = 500) -> float:
+    """A continued fraction by Lentz's method; step(i) gives its i-th (numerator, denominator)."""
+    tiny = 1e-300
+    f = c = step(0)[1] or tiny
+    d = 0.0
+    for i in range(1, most):
+        a, b = step(i)
+        d = b + a * d or tiny
+        c = b + a / c or tiny
+        d = 1 / d
+        f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return f
+
+
+def chi_square_tail(x: float, freedom: int) -> float:
+    """P(X > x) of a chi-square variable; 1 at or below 0."""
+    if x <= 0:
+        return 1.0
+    a, y = freedom / 2, x / 2
+    scale = math.exp(a * math.log(y) - y - math.lgamma(a))
+    if y < a + 1:
+        term = total = 1 / a
+        for n in range(1, 2000):
+            term *= y / (a + n)
+            total += term
+            if term < total * 1e-16:
+                break
+        return max(0.0, 1 - scale * total)
+    return scale / _continued(lambda i: (i * (a - i), y + 2 * i + 1 - a))
+
+
+def _beta_part(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_part(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+
+    def step(i: int) -> tuple[float, float]:
+        if i == 0:
+            return 0.0, 1.0
+        m = i // 2
+        if i % 2 == 0:
+            return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
+        return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
+
+    return front / _continued(step)
+
+
+def t_tails(t: float, freedom: float) -> float:
+    """P(|T| > |t|) of Student's t."""
+    return _beta_part(freedom / 2, 0.5, freedom / (freedom + t * t))
+
+
+def kruskal_p(h: float, groups: int) -> float | None:
+    """p of a Kruskal-Wallis statistic; None below two groups."""
+    return chi_square_tail(h, groups - 1) if groups > 1 and h is not None else None
+
+
+def correlation_p(rho: float, n: int) -> float | None:
+    """Two-sided p of a rank correlation of n pairs; None below three."""
+    if rho is None or n < 3:
+        return None
+    return 0.0 if abs(rho) >= 1 else t_tails(rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)

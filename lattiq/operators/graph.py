@@ -29,7 +29,8 @@ def pair_scores(pairs: DataFrame, adj: DataFrame, deg: DataFrame) -> DataFrame:
     cn and aa leave the two nodes themselves out, jaccard does not; a neighbour of degree 1 adds nothing to aa."""
     pairs = pairs.select("u", "v").distinct()
     inverse = deg.select(F.col("idx").alias("w"), F.when(F.col("deg") > 1, 1 / F.ln("deg")).otherwise(0.0).alias("inv"))
-    near_u = pairs.join(adj.select(F.col("a").alias("u"), F.col("b").alias("w")), "u")
+    # a hub's neighbours are many rows of one key, and so are the pairs of a frequent end
+    near_u = salted_join(adj.select(F.col("a").alias("u"), F.col("b").alias("w")), pairs, ["u"])
     shared = near_u.join(adj.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
     inner = (F.col("w") != F.col("u")) & (F.col("w") != F.col("v"))
     met = shared.join(inverse, "w").groupBy("u", "v").agg(F.count(F.when(inner, 1)).alias("cn"), F.count(F.lit(1)).alias("both"), F.sum(F.when(inner, F.col("inv")).otherwise(0.0)).alias("aa"))

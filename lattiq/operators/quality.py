@@ -159,8 +159,8 @@ def summary_table(scores: DataFrame) -> DataFrame:
     (metric "all") and the mean of the dimensions ("overall", "all"); scores: (kg, metric, score), one row each, nulls left out."""
     spark = scores.sparkSession
     listed = F.broadcast(spark.createDataFrame(SUB_METRICS, "metric string, dimension string"))
-    graphs = scores.select("kg").distinct()
-    full = graphs.join(listed).join(scores, ["kg", "metric"], "left").select("kg", "dimension", "metric", F.round("score", 6).alias("score"))
+    every = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(d).alias("dimension")) for m, d in SUB_METRICS]))
+    full = scores.select("kg").distinct().select("kg", every.alias("m")).select("kg", "m.*").join(scores, ["kg", "metric"], "left").select("kg", "dimension", "metric", F.round("score", 6).alias("score"))
     known = scores.join(listed, "metric")
     return full.unionByName(roll_up(known.select("kg", "dimension", "metric", "score")).select("kg", "dimension", F.lit("all").alias("metric"), "score"))
 

@@ -272,7 +272,8 @@ def eligible_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     graphs = nodes.groupBy("kg").agg(F.max(F.coalesce(F.col("id").startswith("R-") | F.col("id").startswith("PW:"), F.lit(False))).alias("pathways"))  # one row a graph
     found = nodes.filter("name IS NOT NULL").select("kg", kind.alias("type"), F.lower("name").alias("k")).filter("type IS NOT NULL").distinct()
     allowed = (F.col("type") != "pathway") | F.col("pathways")
-    gold = found.filter("kg = 'alder'").select("type", "k").join(F.broadcast(graphs)).filter(allowed)
+    listed = graphs.agg(F.collect_list(F.struct("kg", "pathways")).alias("graphs"))  # one row
+    gold = found.filter("kg = 'alder'").select("type", "k").join(F.broadcast(listed)).select("type", "k", F.explode("graphs").alias("g")).select("type", "k", "g.*").filter(allowed)
     return q.coverage(gold, found.join(F.broadcast(graphs), "kg").filter(allowed), ["k"], ["kg", "type"])
 
 

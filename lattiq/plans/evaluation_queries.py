@@ -11,8 +11,8 @@ from lattiq.functions.vectors import name_vectors
 from lattiq.operators import graph as g
 from lattiq.operators import ranking as rk
 from lattiq.plans.lineage import written
-from lattiq.plans.graph_queries import _LABSCORE, _RECOVERY, _recovery, _scored
-from lattiq.sources.kg_view import SQL_ADJ, SQL_E, SQL_GOLD, SQL_HASH, SQL_NT, SQL_UND, adjacency, edges, gold_pairs, node_types, undirected, with_
+from lattiq.plans.graph_queries import _LABSCORE, _RECOVERY, _recovery, _scored, kruskal_wallis, scorer_agreement
+from lattiq.sources.kg_view import SQL_E, SQL_HASH, SQL_NT, adjacency, edges, gold_pairs, node_types, undirected, with_
 from lattiq.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -84,33 +84,6 @@ def merged_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("drug_name", F.lower(F.trim("disease_name")).alias("disease")).agg(F.min_by("disease_name", "rep_id").alias("first_spelling"), F.count(F.lit(1)).alias("n"))
 
 
-# Search terms for the resolver, with the alias that a curator would try first.
-_SEARCH = [("leukemia type 4", "chronic"), ("tumor type 3", None), ("anemia", "sickle"), ("no such disease", None)]
-
-
-@query("WITH s(term, alias) AS (VALUES " + ", ".join(f"('{t}', {repr(a) if a else 'NULL'})" for t, a in _SEARCH) + """),
-    a AS (SELECT term, alias, mondo_id, mondo_name FROM s JOIN do_diseases ON contains(lower(mondo_name), alias)), b AS (SELECT term, mondo_id, mondo_name FROM s JOIN do_diseases ON contains(lower(mondo_name), term))
-    SELECT s.term, coalesce((SELECT mondo_id FROM do_diseases WHERE lower(mondo_name) = s.term), (SELECT arg_min(mondo_id, (length(mondo_name), mondo_id)) FROM a WHERE a.term = s.term), (SELECT arg_min(mondo_id, (length(mondo_name), mondo_id)) FROM b WHERE b.term = s.term)) AS mondo_id FROM s""")
-def resolved_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disease terms resolved: exact name, else the shortest name with the alias, else the shortest with the term."""
-    s = spark.createDataFrame(_SEARCH, "term string, alias string")
-    d = table(spark, sf_dir, "do_diseases").select(F.lower("mondo_name").alias("name"), "mondo_id")
-    j = d.join(F.broadcast(s), F.col("name").contains(F.col("term")) | F.col("name").contains(F.col("alias")))
-    kind = F.when(F.col("name") == F.col("term"), 0).when(F.coalesce(F.col("name").contains(F.col("alias")), F.lit(False)), 1).otherwise(2)
-    best = j.groupBy("term").agg(F.min_by("mondo_id", F.struct(kind, F.length("name"), "mondo_id")).alias("mondo_id"))
-    return s.select("term").join(best, "term", "left")
-
-
-@query(r"""WITH c AS (SELECT row_id, id, regexp_extract_all(equivalent_identifiers, 'NCBIGENE:(\d+)', 1) AS g, regexp_extract_all(equivalent_identifiers, 'UNIPROTKB:([A-Z0-9]+)', 1) AS u FROM biolink_nodes)
-    SELECT row_id, CASE WHEN len(g) > 0 THEN 'NCBIGENE:' || g[1] WHEN len(u) = 1 THEN 'UNIPROTKB:' || u[1] ELSE id END AS gene, coalesce(len(g) > 1, false) AS ambiguous FROM c""")
-def gene_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical gene id: the first gene number, else an unambiguous protein, else the node's own id."""
-    e = F.col("equivalent_identifiers")
-    c = table(spark, sf_dir, "biolink_nodes").select("row_id", "id", F.regexp_extract_all(e, F.lit(r"NCBIGENE:(\d+)"), F.lit(1)).alias("g"), F.regexp_extract_all(e, F.lit("UNIPROTKB:([A-Z0-9]+)"), F.lit(1)).alias("u"))
-    gene = F.when(F.size("g") > 0, F.concat(F.lit("NCBIGENE:"), F.get("g", F.lit(0)))).when(F.size("u") == 1, F.concat(F.lit("UNIPROTKB:"), F.get("u", F.lit(0)))).otherwise(F.col("id"))
-    return c.select("row_id", gene.alias("gene"), F.coalesce(F.size("g") > 1, F.lit(False)).alias("ambiguous"))
-
-
 @query(r"""SELECT xref_id, CASE WHEN ltrim(regexp_replace(external_id, '^CHEBI:?', ''), '0') = '' THEN '0' ELSE ltrim(regexp_replace(external_id, '^CHEBI:?', ''), '0') END AS bare, trim(regexp_replace(external_id || ' {note}', '\{.*?\}', '', 'g')) AS clean FROM drugbank_xref WHERE external_id IS NOT NULL""")
 def bare_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "drugbank_xref").filter("external_id IS NOT NULL")
@@ -155,6 +128,14 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("test_id", F.round(sc.cosine(name_vectors(F.col("drug_name")), name_vectors(F.col("disease_name"))), 6).alias("cosine"))
 
 
+@query()
+def rank_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(test, n, statistic, p): Kruskal-Wallis of degrees by type, rank correlation of two scorers over the gold pairs."""
+    k, s = kruskal_wallis(spark, sf_dir).first(), scorer_agreement(spark, sf_dir).first()  # one row each
+    rows = [("kruskal", k.n_groups, k.h, sc.kruskal_p(k.h, k.n_groups)), ("spearman", s.n, s.rho, sc.correlation_p(s.rho, s.n))]
+    return spark.createDataFrame(rows, "test string, n bigint, statistic double, p double")
+
+
 _PARTS = with_(SQL_E, SQL_NT)
 
 

@@ -457,20 +457,6 @@ def drug_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _targets(spark, sf_dir).groupBy("drug").agg(F.count(F.lit(1)).alias("n_targets"), F.min("target").alias("first_target"))
 
 
-@query(with_(SQL_E, SQL_GOLD, _TARGETS, "dg AS (SELECT DISTINCT CASE WHEN x_type = 'disease' THEN x_index ELSE y_index END AS disease, CASE WHEN x_type = 'disease' THEN y_index ELSE x_index END AS gene FROM e WHERE rel = 'diseaseprotein' AND (x_type = 'disease') <> (y_type = 'disease'))",
-             "c AS (SELECT target AS gene, count(*) AS n FROM tg GROUP BY target)") + """
-    SELECT p.u, p.v, count(*)::BIGINT AS n_paths, round(sum(1.0::DOUBLE / (1 + c.n)), 6) AS score FROM (SELECT DISTINCT u, v FROM gold) p JOIN tg ON tg.drug = p.u JOIN dg ON dg.disease = p.v AND dg.gene = tg.target JOIN c ON c.gene = tg.target GROUP BY p.u, p.v""")
-def gene_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drug - gene - disease paths, a gene counting less the more drugs it has."""
-    e = edges(spark, sf_dir).filter("rel = 'diseaseprotein' AND (x_type = 'disease') <> (y_type = 'disease')")
-    forward = F.col("x_type") == "disease"
-    dg = e.select(F.when(forward, F.col("x_index")).otherwise(F.col("y_index")).alias("v"), F.when(forward, F.col("y_index")).otherwise(F.col("x_index")).alias("target")).distinct()
-    tg = _targets(spark, sf_dir)
-    uses = tg.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
-    paths = gold_pairs(spark, sf_dir).select("u", "v").distinct().join(tg.withColumnRenamed("drug", "u"), "u").join(dg, ["v", "target"]).join(uses, "target")
-    return paths.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n_paths"), F.round(F.sum(1 / (1.0 + F.col("n"))), 6).alias("score"))
-
-
 # --- time, resampling reports ------------------------------------------------------------------------------------
 
 

@@ -53,23 +53,6 @@ def curie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("row_id", F.size(c).cast("bigint").alias("n_curies"), F.try_element_at(c, F.lit(1)).alias("first_curie"), ids.source_tokens(F.col("upstream_data_source")).alias("sources"))
 
 
-@query(r"""
-    WITH x AS (SELECT drugbank_id, upper(trim(namespace)) AS ns, trim(external_id) AS ext, xref_id FROM drugbank_xref WHERE drugbank_id IS NOT NULL),
-    b AS (SELECT ext, arg_min(drugbank_id, xref_id) AS db FROM x WHERE ns = 'CHEBI' AND ext <> '' GROUP BY ext),
-    c AS (SELECT row_id, unnest(regexp_extract_all(equivalent_identifiers, '([A-Za-z][\w.]*:[\w.\-]+)', 1)) AS curie, generate_subscripts(regexp_extract_all(equivalent_identifiers, '([A-Za-z][\w.]*:[\w.\-]+)', 1), 1) AS pos FROM biolink_nodes),
-    h AS (SELECT row_id, arg_min(db, pos) AS bridged FROM c JOIN b ON c.curie = b.ext GROUP BY row_id)
-    SELECT n.row_id, coalesce(nullif(regexp_extract(equivalent_identifiers, '\b(DB\d{5,})\b', 1), ''), h.bridged, n.id) AS canonical
-    FROM biolink_nodes n LEFT JOIN h ON n.row_id = h.row_id""")
-def drug_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical drug id: DrugBank id in the field, else the first CURIE that a cross reference knows, else the node's own id."""
-    x = table(spark, sf_dir, "drugbank_xref").filter("drugbank_id IS NOT NULL").select("drugbank_id", F.upper(F.trim("namespace")).alias("ns"), F.trim("external_id").alias("ext"), "xref_id")
-    bridge = x.filter("ns = 'CHEBI' AND ext <> ''").groupBy("ext").agg(F.min_by("drugbank_id", "xref_id").alias("db"))
-    n = table(spark, sf_dir, "biolink_nodes").select("row_id", "id", "equivalent_identifiers")
-    c = n.select("row_id", F.posexplode(ids.curies(F.col("equivalent_identifiers"))).alias("pos", "ext"))
-    hits = c.join(bridge, "ext").groupBy("row_id").agg(F.min_by("db", "pos").alias("bridged"))
-    return n.join(hits, "row_id", "left").select("row_id", F.coalesce(ids.extract(F.col("equivalent_identifiers"), "drugbank"), "bridged", "id").alias("canonical"))
-
-
 @query(r"""
     WITH s AS (SELECT rep_id, CASE rep_id % 3 WHEN 0 THEN disease_mondo_id WHEN 1 THEN regexp_replace(disease_mondo_id, '^MONDO:', '') ELSE regexp_replace(disease_mondo_id, '^MONDO:', '') || '.0' END AS v FROM table5_replication)
     SELECT rep_id, CAST(CAST(TRY_CAST(regexp_replace(v, '^MONDO:', '') AS DOUBLE) AS BIGINT) AS VARCHAR) AS mondo, d.doid

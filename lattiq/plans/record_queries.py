@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lattiq.operators.packed import explode_packed
 from lattiq.operators.skew import heavy_keys, per_key_states

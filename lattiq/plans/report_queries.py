@@ -11,11 +11,10 @@ from lattiq.operators import graph as g
 from lattiq.operators import linkpred as lp
 from lattiq.operators import quality as q
 from lattiq.operators import ranking as rk
-from lattiq.operators import resample as rs
 from lattiq.plans import bridge_queries, evaluation_queries, graph_queries, quality_queries, task_queries
 from lattiq.plans.lineage import written
 from lattiq.plans.task_queries import indications
-from lattiq.sources.kg_view import SQL_E, adjacency, edges, node_types, undirected, with_
+from lattiq.sources.kg_view import SQL_E, adjacency, edges, with_
 from lattiq.sources.tables import table
 
 QUERIES, SQL = {}, {}

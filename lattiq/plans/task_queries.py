@@ -206,7 +206,7 @@ def _prospective_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = new.select(F.lit("new").alias("grp"), "u", "v").unionByName(first(ind, "all_known")).unionByName(first(same, "same_drugs"))
     pos = written(pos if k >= 10 else pos.limit(0))
     of = lambda t, c: nt.filter(F.col("type") == t).select(F.col("idx").alias(c))
-    tails = pos.select("grp").distinct().join(of("disease", "v"))  # three groups beside every disease
+    tails = of("disease", "v").select(F.explode(F.array(*[F.lit(x) for x in ("new", "all_known", "same_drugs")])).alias("grp"), "v")
     return _evaluated(pos, ind.unionByName(new), of("drug", "u"), tails, adj, deg)
 
 

@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict, deque
 from itertools import combinations
-from math import log
+from math import erfc, exp, log, pi
 
 import numpy as np
 import pytest
@@ -212,3 +212,14 @@ def test_summary_has_every_metric(spark):
     got = {(r.kg, r.dimension, r.metric): r.score for r in q.summary_table(scores).collect()}
     assert len(q.SUB_METRICS) == 19 and sum(k == "k" and m != "all" for k, _, m in got) == 19
     assert got["k", "overall", "all"] == 0.5 and got["j", "task_performance", "all"] == 0.25 and got["j", "coverage", "Entity Coverage"] is None
+
+
+def test_tails():
+    from lattiq.functions import scores as sc
+
+    for x, k, p in ((3.841459, 1, 0.05), (18.307038, 10, 0.05), (0.5, 3, 0.918891), (40.0, 5, erfc(20**0.5) + (80 / pi) ** 0.5 * exp(-20) * (1 + 40 / 3))):
+        assert sc.chi_square_tail(x, k) == pytest.approx(p, rel=1e-4)
+    for t, k, p in ((2.228139, 10, 0.05), (12.7062, 1, 0.05), (0.0, 7, 1.0), (-3.0, 20, 0.007076)):
+        assert sc.t_tails(t, k) == pytest.approx(p, rel=1e-3)
+    assert sc.kruskal_p(5.0, 1) is None and sc.correlation_p(0.5, 2) is None and sc.correlation_p(1.0, 9) == 0.0
+    assert sc.correlation_p(0.5, 27) == pytest.approx(0.00790, rel=1e-2)
