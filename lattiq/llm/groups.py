@@ -27,7 +27,7 @@ BETA = 0.4
 #: A vertex with more than 1 / MOST_HUBS of all edges is a hub; its rows are joined by broadcast.
 MOST_HUBS = 1000
 #: Edges of a level that one task takes, both ways counted.
-LOCAL_EDGES = 2_000_000
+LOCAL_EDGES = 1_000_000
 
 
 def _along(edges: DataFrame, state: DataFrame, hubs: DataFrame) -> DataFrame:
