@@ -90,6 +90,22 @@ def _sampled(pos: DataFrame, most: int = 500) -> DataFrame:
 _SAMPLED = f"(SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {SQL_HASH('u', 'v')}, u, v) AS r FROM ap) WHERE r <= 500"
 
 
+def _sql_intervals(stratified: bool) -> str:
+    """Bootstrap intervals by grp after _NEGATIVES and sc: 1000 resamples, classes drawn apart (stratified) or together."""
+    by, order, stratum = ("grp, label", "u, v", "label") if stratified else ("grp", "label, u, v", "0")
+    return f""", gl AS (SELECT lab.grp, lab.u, lab.v, label, aa AS score FROM lab JOIN sc USING (u, v)), gk AS (SELECT * FROM gl WHERE grp IN (SELECT grp FROM gl GROUP BY grp HAVING sum(label) >= 2 AND sum(1 - label) >= 2)),
+    nb AS (SELECT grp, label, score, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS no FROM gk), sn AS (SELECT {by}, count(*) AS n FROM gk GROUP BY {by}),
+    bd AS (SELECT {by}, boot, ({SQL_HASH("boot", "draw", stratum)}) % n AS no FROM (SELECT {by}, n, boot, unnest(range(n)) AS draw FROM sn, range(1000) b(boot))), dr2 AS (SELECT {by}, boot, no, count(*) AS k FROM bd GROUP BY ALL),
+    sb AS (SELECT grp, boot, score, sum(label * k) AS pos, sum((1 - label) * k) AS neg FROM (SELECT * FROM dr2 JOIN nb USING ({by}, no)) GROUP BY ALL),
+    sw AS (SELECT grp, boot, pos, neg, pos * (sum(neg) OVER (PARTITION BY grp, boot ORDER BY score) - neg / 2.0::DOUBLE) AS won, pos * 1.0::DOUBLE * sum(pos) OVER w / (sum(pos) OVER w + sum(neg) OVER w) AS pr FROM sb WINDOW w AS (PARTITION BY grp, boot ORDER BY score DESC)),
+    sa AS (SELECT grp, boot, round(sum(won) / (sum(pos) * sum(neg)), 6) AS auroc, round(sum(pr) / sum(pos), 6) AS ap FROM sw GROUP BY grp, boot HAVING sum(pos) > 0 AND sum(neg) > 0)
+    SELECT grp, count(*)::BIGINT AS n_valid, round(avg(auroc), 5) AS auroc, round(quantile_cont(auroc, 0.025), 5) AS auroc_low, round(quantile_cont(auroc, 0.975), 5) AS auroc_high, round(avg(ap), 5) AS ap, round(quantile_cont(ap, 0.025), 5) AS ap_low, round(quantile_cont(ap, 0.975), 5) AS ap_high FROM sa GROUP BY grp HAVING count(*) >= 10"""
+
+
+def _rounded(intervals: DataFrame) -> DataFrame:
+    return intervals.select("grp", "n_valid", *[F.round(c, 5).alias(c) for c in intervals.columns if c not in ("grp", "n_valid")])
+
+
 # --- by degree of the disease ------------------------------------------------------------------------------------
 
 _TIERS = with_(SQL_E, SQL_UND, SQL_NT, _DEG, _IND) + """, dd AS (SELECT nt.idx AS v, deg FROM nt JOIN deg USING (idx) WHERE type = 'disease'),
@@ -158,10 +174,10 @@ def area_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(F.broadcast(rk.kruskal(scored.filter("label = 1").select("grp", "score"), "grp", "score")))  # single rows
 
 
-@query()
+@query(_AREAS + _sql_intervals(False))
 def area_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap intervals (1000 resamples, classes drawn together) of AUROC and average precision by area."""
-    return rs.bootstrap(_area_scores(spark, sf_dir), ["grp"], ["u", "v"], stratified=False)
+    return _rounded(rs.bootstrap(_area_scores(spark, sf_dir), ["grp"], ["u", "v"], stratified=False))
 
 
 # --- prospective -------------------------------------------------------------------------------------------------
@@ -216,10 +232,10 @@ def prospective_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(_prospective_scores(spark, sf_dir))
 
 
-@query()
+@query(_PROSPECT + _sql_intervals(True))
 def prospective_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap intervals (1000 stratified resamples) of the prospective evaluation."""
-    return rs.bootstrap(_prospective_scores(spark, sf_dir), ["grp"], ["u", "v"])
+    return _rounded(rs.bootstrap(_prospective_scores(spark, sf_dir), ["grp"], ["u", "v"]))
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
