@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from lattiq.llm.groups import connected_groups
 from lattiq.llm.names import learn_lexicon, parse_names
 from lattiq.llm.nearby import near_pairs
+from lattiq.operators.skew import join_groups, salted_join
 from lattiq.plans.lineage import written
 
 #: Stems shorter than this, and stems with digits, say something only as a whole and together with the number.
@@ -231,9 +232,10 @@ def match_entities(nodes: DataFrame) -> DataFrame:
     compared once and share the outcome, so repeated rows each form their own pairs. Empty input gives no rows.
     """
     mentions = written(_mentions(nodes.select("node_key", "kg", "id", "type", "name", "synonym")))
-    profile = mentions.groupBy("node_key", "kg", "kind").agg(F.array_sort(F.collect_set(F.struct("stem", "words", "number"))).alias("names"))
-    heads = profile.groupBy("kg", "kind", "names").agg(F.min("node_key").alias("profile"))
-    members = written(profile.join(heads, ["kg", "kind", "names"]).select("profile", "node_key", "kg"))
+    profile = written(mentions.groupBy("node_key", "kg", "kind").agg(F.array_sort(F.collect_set(F.struct("stem", "words", "number"))).alias("names")))
+    heads = profile.groupBy("kg", "kind", "names").agg(F.min("node_key").alias("profile"), F.count(F.lit(1)).alias("n"))
+    # one name may be that of a third of all nodes
+    members = written(join_groups(profile, heads, ["kg", "kind", "names"], "n", max(profile.count(), 1)).select("profile", "node_key", "kg"))
     own = written(mentions.join(heads.select(F.col("profile").alias("node_key")), "node_key").withColumnRenamed("node_key", "profile"))
     pairs = written(candidate_pairs(own).withColumn("cell", _cell()).select("a", "b", "cell"))
     n, chance = _counts(pairs), _counts(background_pairs(own).withColumn("cell", _cell()))
@@ -259,5 +261,5 @@ def match_entities(nodes: DataFrame) -> DataFrame:
     held = corrected.select("e.a", "e.b", F.col("p").alias("q"))
     final = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cell").join(table, "cell").join(held, ["a", "b"], "left").withColumn("p", F.coalesce("q", "p")).filter(F.col("p") >= MATCH).select("a", "b", "p")
     side = lambda s: members.select(F.col("profile").alias(s), F.col("node_key").alias(f"key_{s}"))
-    rows = final.join(side("a"), "a").join(side("b"), "b")
+    rows = salted_join(side("b"), salted_join(side("a"), final, ["a"]), ["b"])
     return rows.select(F.least("key_a", "key_b").alias("node_key_a"), F.greatest("key_a", "key_b").alias("node_key_b"), F.col("p").alias("confidence"))
