@@ -34,3 +34,13 @@ def test_resamples_beyond_the_hashes_and_odd_scores(monkeypatch, n):
     for boot in range(6):
         drawn = [[value(score[x * n + at(boot, d % 101, x)]) for d in range(n)] for x in (1, 0)]
         assert got["auroc"][boot] == pytest.approx(auroc(drawn[0] + drawn[1], [1] * n + [0] * n), abs=1e-9)
+
+
+def test_bootstrap_of_a_group_equals_that_of_its_rows_alone(spark, monkeypatch):
+    """Groups named by several columns are resampled apart, and no table of draws is made."""
+    monkeypatch.setattr(rs, "_draws", lambda *a: pytest.fail("draws listed"))
+    rng = random.Random(3)
+    data = [(grp, x, i, round(rng.random(), 1), int(rng.random() < 0.4)) for grp in ("a", "b") for x in (1, 2) for i in range(30)]
+    df = spark.createDataFrame(data, "grp string, x int, k long, score double, label int")
+    got = {(r.grp, r.x): tuple(r)[2:] for r in rs.bootstrap(df, ["grp", "x"], ["k"], resamples=40).collect()}
+    assert len(got) == 4 and got["b", 2] == tuple(rs.bootstrap(df.filter("grp = 'b' AND x = 2"), [], ["k"], resamples=40).first())
