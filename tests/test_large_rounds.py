@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lattiq.operators import graph as g
 from lattiq.operators import resample as rs
 from tests.test_evaluation import auroc
 
@@ -44,3 +45,14 @@ def test_bootstrap_of_a_group_equals_that_of_its_rows_alone(spark, monkeypatch):
     df = spark.createDataFrame(data, "grp string, x int, k long, score double, label int")
     got = {(r.grp, r.x): tuple(r)[2:] for r in rs.bootstrap(df, ["grp", "x"], ["k"], resamples=40).collect()}
     assert len(got) == 4 and got["b", 2] == tuple(rs.bootstrap(df.filter("grp = 'b' AND x = 2"), [], ["k"], resamples=40).first())
+
+
+def test_hops_in_blocks_from_the_rarer_end(spark):
+    """Two hubs of 300 links: their 90,000 pairs of neighbours are no rows, and sources in several blocks are found alike."""
+    links = [(0, i) for i in range(10, 310)] + [(1, i) for i in range(1010, 1310)] + [(10, 1010), (2, 1011), (2, 3), (3, 4), (4, 5), (7, 7)]
+    want = {(0, 1): 3, (1, 0): 3, (0, 2): 5, (0, 3): None, (10, 1011): 3, (5, 2): 3, (5, 1): 5, (7, 7): 0, (7, 1): None, (0, 99): 1, (11, 1): 4}
+    adj = spark.createDataFrame([x for u, v in links for x in ((u, v), (v, u))], "a long, b long")
+    pairs = spark.createDataFrame(list(want), "u long, v long")
+    for block in (3, 64):
+        got = {(r.u, r.v): r.hops for r in g.hop_distances(pairs, adj, block=block).collect()}
+        assert got == want
