@@ -56,3 +56,13 @@ def test_hops_in_blocks_from_the_rarer_end(spark):
     for block in (3, 64):
         got = {(r.u, r.v): r.hops for r in g.hop_distances(pairs, adj, block=block).collect()}
         assert got == want
+
+
+def test_hops_are_the_same_either_way(spark):
+    """Whichever end is rarer is the source; both ways give the same distances, in blocks as in one."""
+    links = [(0, i) for i in range(10, 40)] + [(i, i + 100) for i in range(10, 40)] + [(110, 200), (200, 201)]
+    adj = spark.createDataFrame([x for u, v in links for x in ((u, v), (v, u))], "a long, b long")
+    pairs = spark.createDataFrame([(0, i) for i in (11, 111, 200, 201)] + [(1, 201)], "u long, v long")
+    want = {(0, 11): 1, (0, 111): 2, (0, 200): 3, (0, 201): 4, (1, 201): None}
+    assert {(r.u, r.v): r.hops for r in g.hop_distances(pairs, adj, block=1).collect()} == want
+    assert {(r.v, r.u): r.hops for r in g.hop_distances(pairs.select("v", "u").toDF("u", "v"), adj, block=1).collect()} == want
