@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lattiq.operators import graph as g
 from lattiq.operators import resample as rs
@@ -66,3 +67,16 @@ def test_hops_are_the_same_either_way(spark):
     want = {(0, 11): 1, (0, 111): 2, (0, 200): 3, (0, 201): 4, (1, 201): None}
     assert {(r.u, r.v): r.hops for r in g.hop_distances(pairs, adj, block=1).collect()} == want
     assert {(r.v, r.u): r.hops for r in g.hop_distances(pairs.select("v", "u").toDF("u", "v"), adj, block=1).collect()} == want
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_distances_between_equal_those_from_each_source(spark, monkeypatch, block):
+    """Distances at whatever hops, in blocks of bits; a source that is a target is at 0; proximity lists no whole reach."""
+    links = [(i, i + 1) for i in range(7)] + [(3, 20), (20, 21), (30, 31), (31, 30), (5, 5)]
+    adj = spark.createDataFrame([x for u, v in links for x in ((u, v), (v, u))], "a long, b long")
+    sources, targets = [0, 4, 21, 30, 99], [7, 4, 31, 0, 99, 98]
+    df = lambda x, c: spark.createDataFrame([(i,) for i in x], f"{c} long")
+    want = {tuple(r) for r in g.distances_from(df(sources, "s"), adj).collect() if r.x in targets}
+    assert {tuple(r) for r in g.distances_between(df(sources, "s"), df(targets, "x"), adj, block).collect()} == want and (0, 7, 7) in want
+    monkeypatch.setattr(g, "distances_from", lambda *a: pytest.fail("whole reach listed"))
+    g.proximity(df([0], "u").withColumn("v", F.lit(7)), df(sources, "d"), adj, F.col("d"))
