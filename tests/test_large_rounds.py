@@ -1,5 +1,6 @@
 """Operators that must not list what grows as a product of their inputs."""
 
+import os
 import random
 
 import numpy as np
@@ -69,6 +70,20 @@ def test_hops_are_the_same_either_way(spark):
     assert {(r.v, r.u): r.hops for r in g.hop_distances(pairs.select("v", "u").toDF("u", "v"), adj, block=1).collect()} == want
 
 
+def test_hops_of_parts_that_do_not_meet_go_together_and_leave_nothing(spark, monkeypatch):
+    """Twelve lines of five links, a source a block: blocks share passes over the links, and what rounds read is deleted."""
+    links = [(10 * k + i, 10 * k + i + 1) for k in range(12) for i in range(5)]
+    adj = spark.createDataFrame([x for u, v in links for x in ((u, v), (v, u))], "a long, b long")
+    pairs = spark.createDataFrame([(10 * k, 10 * k + 1 + k % 5) for k in range(12)] + [(0, 15)], "u long, v long")
+    passes, spread, tables, written = [], g._spread, [], g.written
+    monkeypatch.setattr(g, "_spread", lambda *a: passes.append(1) or spread(*a))
+    monkeypatch.setattr(g, "written", lambda df: tables.append(written(df)) or tables[-1])
+    got = {(r.u, r.v): r.hops for r in g.hop_distances(pairs, adj, block=1).collect()}
+    assert got == {(10 * k, 10 * k + 1 + k % 5): 1 + k % 5 for k in range(12)} | {(0, 15): None}
+    kept = [t for t in tables if os.path.exists(t.inputFiles()[0].removeprefix("file://"))]
+    assert len(passes) <= 20 and len(kept) < len(tables) - 5 and all(t.columns in (["u", "v"], ["s", "t"]) for t in kept)
+
+
 @pytest.mark.parametrize("block", [2, 64])
 def test_distances_between_equal_those_from_each_source(spark, monkeypatch, block):
     """Distances at whatever hops, in blocks of bits; a source that is a target is at 0; proximity lists no whole reach."""
