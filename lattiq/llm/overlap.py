@@ -5,7 +5,8 @@ may be missing or written in another way. The texts of all distinct mentions of
 the stems of names) are concatenated, in effect, into one text whose suffix array is built in range partitions: every
 suffix is a row, sorted, and the evaluation suffixes next to a training suffix, above and below it, are those with the
 longest common prefixes. Each partition is passed once in either order, and remembers one suffix. Spans from all suffixes
-of a mention are merged into its coverage; a mention that is covered enough is verified by edit distance and number.
+of a mention are merged into its coverage, but only beside mentions within the edit distance; one that is covered enough is
+verified by the least distance and the number.
 Records overlap if both mentions and the relation agree.
 """
 
@@ -83,17 +84,19 @@ def _passed(suffixes: DataFrame, order: list) -> DataFrame:
     return inner.unionByName(outer)
 
 
-def shared_spans(train: DataFrame, test: DataFrame) -> DataFrame:
+def shared_spans(train: DataFrame, test: DataFrame, keep: Column | None = None) -> DataFrame:
     """(kind, train, test, at, n): spans of n characters from at in a train text that a test text shares; texts are (kind, text).
 
-    Of the kind "index" only whole texts are compared."""
+    Of the kind "index" only whole texts are compared. keep: a condition on the spans; others are dropped as they are found,
+    since texts with a common ending are as many as those on one side times those on the other."""
     texts = train.select("kind", "text", F.lit(0).alias("is_test")).unionByName(test.select("kind", "text", F.lit(1).alias("is_test")))
     offsets = F.when(F.col("kind") == "index", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("text") - LEAST_SPAN))
     suffixes = texts.filter(F.length("text") >= LEAST_SPAN).select("kind", "text", "is_test", F.explode(offsets).alias("at")).withColumn("suffix", F.expr("substring(text, at + 1)"))
     up, down = ["kind", "suffix", F.col("is_test").desc(), "text"], [F.col("kind").desc(), F.col("suffix").desc(), F.col("is_test").desc(), "text"]
     links = written(_passed(suffixes, up).unionByName(_passed(suffixes, down)).distinct())  # read twice by the join
     holders = suffixes.filter("is_test = 1").select("kind", "suffix", F.col("text").alias("test")).distinct()
-    return salted_join(links, holders, ["kind", "suffix"]).select("kind", "train", "test", "at", "n")
+    spans = salted_join(links, holders, ["kind", "suffix"])
+    return (spans if keep is None else spans.filter(keep)).select("kind", "train", "test", "at", "n")
 
 
 def match_texts(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -102,8 +105,11 @@ def match_texts(train: DataFrame, test: DataFrame) -> DataFrame:
     Kind "index": the texts are equal. Kind "id": the test text is the end of the train text (after a namespace). Kind "name": spans cover enough of the
     train text and the edit distance is small; the nearest test texts are kept. Empty texts match nothing.
     """
-    spans = written(shared_spans(train, test))
-    ids = spans.filter("(kind = 'id' AND n = length(test) AND at + n = length(train)) OR (kind = 'index' AND train = test)").select("kind", "train", "test", F.lit(0).alias("edits")).distinct()
+    whole = F.expr("(kind = 'id' AND n = length(test) AND at + n = length(train)) OR (kind = 'index' AND train = test)")
+    edits = F.levenshtein("train", "test", MOST_EDITS)
+    few = (F.abs(F.length("train") - F.length("test")) <= MOST_EDITS) & (edits >= 0) & (edits * CHARACTERS_AN_EDIT <= F.length("test"))
+    spans = written(shared_spans(train, test, whole | ((F.col("kind") == "name") & few)))
+    ids = spans.filter(whole).select("kind", "train", "test", F.lit(0).alias("edits")).distinct()
     # places of short texts are bits of a number; those of longer ones are gathered
     named, narrow = spans.filter("kind = 'name'"), F.length("train") <= BITS
     bits = F.bit_count(F.bit_or(F.expr("shiftleft(shiftleft(1L, n) - 1L, at)"))).cast("int")
@@ -112,8 +118,7 @@ def match_texts(train: DataFrame, test: DataFrame) -> DataFrame:
     names = counted(named.filter(narrow), bits).unionByName(counted(named.filter(~narrow), places)).filter(F.col("covered") >= LEAST_COVERAGE * F.length("train"))
     # texts too short for a span are compared whole
     short = train.filter(F.length("text").between(1, LEAST_SPAN - 1)).join(test.withColumnRenamed("text", "other"), (F.col("text") == F.col("other")) & (train["kind"] == test["kind"])).select(train["kind"], F.col("text").alias("train"), F.col("other").alias("test"), F.lit(0).alias("edits"))
-    edits = names.withColumn("edits", F.levenshtein("train", "test", MOST_EDITS)).filter((F.col("edits") >= 0) & (F.col("edits") * CHARACTERS_AN_EDIT <= F.length("test")))
-    best = edits.withColumn("least", F.min("edits").over(Window.partitionBy("kind", "train"))).filter("edits = least").select("kind", "train", "test", "edits")
+    best = names.withColumn("edits", edits).withColumn("least", F.min("edits").over(Window.partitionBy("kind", "train"))).filter("edits = least").select("kind", "train", "test", "edits")
     return ids.unionByName(best).unionByName(short)
 
 

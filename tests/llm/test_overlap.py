@@ -1,3 +1,6 @@
+import random
+
+from lattiq.llm import overlap
 from lattiq.llm.overlap import match_texts, record_overlaps, shared_spans
 
 TRAIN = "triple_id long, relation string, head_index long, head_id string, head_name string, tail_index long, tail_id string, tail_name string, extra string"
@@ -18,6 +21,20 @@ def test_spans_equal_brute_force_for_any_partitioning(spark, rows):
     assert want["brabomuloid", "brabimuloid"] == 6 and want["retavkup", "stigretav"] == 5 if ("retavkup", "stigretav") in want else True
 
 
+def test_spans_of_texts_too_far_apart_are_not_listed(spark, rows, monkeypatch):
+    """Sixty names with one ending on either side: of their 3,600 pairs only those within the edits are rows; matches are those of brute force."""
+    rng = random.Random(5)
+    heads = ["".join(rng.choice("abcdefghijk") for _ in range(8)) for _ in range(60)]
+    train = [("name", f"{h}itrosis") for h in heads]
+    test = [("name", f"{h[:3]}x{h[4:]}itrosis") for h in heads] + [("name", "itrosis")]
+    listed, written = [], overlap.written
+    monkeypatch.setattr(overlap, "written", lambda df: listed.append(written(df)) or listed[-1])
+    kind = "kind string, text string"
+    got = rows(match_texts(spark.createDataFrame(train, kind), spark.createDataFrame(test, kind)).select("train", "test", "edits"))
+    assert got == sorted((a[1], b[1], 1) for a, b in zip(train, test))
+    assert next(t for t in listed if t.columns == ["kind", "train", "test", "at", "n"]).select("train", "test").distinct().count() < 200
+
+
 def test_ids_need_their_whole_text(spark, rows):
     train = spark.createDataFrame([("id", "drugbankdb00000717"), ("id", "db00000718"), ("name", "db00000717")], "kind string, text string")
     test = spark.createDataFrame([("id", "db00000717")], "kind string, text string")
