@@ -95,3 +95,15 @@ def test_distances_between_equal_those_from_each_source(spark, monkeypatch, bloc
     assert {tuple(r) for r in g.distances_between(df(sources, "s"), df(targets, "x"), adj, block).collect()} == want and (0, 7, 7) in want
     monkeypatch.setattr(g, "distances_from", lambda *a: pytest.fail("whole reach listed"))
     g.proximity(df([0], "u").withColumn("v", F.lit(7)), df(sources, "d"), adj, F.col("d"))
+
+
+@pytest.mark.parametrize("order", [lambda t: F.pmod(F.col("u") * 7 + F.col("v") * (t + 3), F.lit(5)), lambda t: F.lit(7)])
+def test_marks_of_dropout_are_those_of_each_trial(spark, order):
+    """A link is one row for all trials, with ties at the cuts; its bits are the trials that keep it."""
+    und = spark.createDataFrame([(i, i + d) for i in range(12) for d in (0, 1, 3)], "u long, v long")
+    trials = [(r, t) for r in (0.0, 0.3, 0.55, 1.0) for t in (0, 1)]
+    marked = g.dropout_marks(und, trials, order).collect()
+    got = {(*trials[i], r.u, r.v) for r in marked for i in range(len(trials)) if r.kept >> i & 1}
+    by_trial = F.when(F.col("trial") == 0, order(0)).otherwise(order(1))
+    kept = g.kept_after_dropout(und, spark.createDataFrame(trials, "rate double, trial int"), by_trial).collect()
+    assert len(marked) == 36 and got == {tuple(r) for r in kept} and got
