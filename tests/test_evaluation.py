@@ -223,3 +223,84 @@ def test_tails():
         assert sc.t_tails(t, k) == pytest.approx(p, rel=1e-3)
     assert sc.kruskal_p(5.0, 1) is None and sc.correlation_p(0.5, 2) is None and sc.correlation_p(1.0, 9) == 0.0
     assert sc.correlation_p(0.5, 27) == pytest.approx(0.00790, rel=1e-2)
+
+
+def _plain_translation(x, dim, epochs, rate=0.05, margin=1.0, seed=42):
+    """The steps of train_translation, written row by row of vectors."""
+    rng, n, m = np.random.default_rng(seed), x[:, [0, 2]].max() + 1, x[:, 1].max() + 1
+    bound = 6 / np.sqrt(dim)
+    ent, rel = rng.uniform(-bound, bound, (n, dim)), rng.uniform(-bound, bound, (m, dim))
+    for epoch in range(epochs):
+        rng = np.random.default_rng([seed, epoch])
+        order = rng.permutation(len(x))
+        for part in np.array_split(order, max(1, len(order) // 512)):
+            h, r, t = x[part].T
+            swap, drawn = rng.random(len(part)) < 0.5, rng.integers(0, n, len(part))
+            ch, ct = np.where(swap, drawn, h), np.where(swap, t, drawn)
+            good, bad = ent[h] + rel[r] - ent[t], ent[ch] + rel[r] - ent[ct]
+            lg, lb = np.linalg.norm(good, axis=1) + 1e-9, np.linalg.norm(bad, axis=1) + 1e-9
+            act = (margin + lg - lb > 0)[:, None]
+            g, b = act * good / lg[:, None] * rate, act * bad / lb[:, None] * rate
+            for to, at, by in ((ent, h, -g), (ent, t, g), (ent, ch, b), (ent, ct, -b), (rel, r, b - g)):
+                np.add.at(to, at, by)
+        ent /= np.maximum(np.linalg.norm(ent, axis=1, keepdims=True), 1e-9)
+    return ent, rel
+
+
+def _plain_rotation(x, dim, epochs, rate=0.05, margin=6.0, seed=42):
+    rng, n, m = np.random.default_rng(seed), x[:, [0, 2]].max() + 1, x[:, 1].max() + 1
+    ent, phase = rng.normal(0, 0.5, (n, dim)) + 1j * rng.normal(0, 0.5, (n, dim)), rng.uniform(-np.pi, np.pi, (m, dim))
+    for _ in range(epochs):
+        order = rng.permutation(len(x))
+        for part in np.array_split(order, max(1, len(order) // 512)):
+            h, r, t = x[part].T
+            swap, drawn = rng.random(len(part)) < 0.5, rng.integers(0, n, len(part))
+            turn, ends = np.exp(1j * phase[r]), ((h, t), (np.where(swap, drawn, h), np.where(swap, t, drawn)))
+            d = [ent[a] * turn - ent[b] for a, b in ends]
+            length = [np.sqrt((np.abs(v) ** 2).sum(1) + 1e-12) for v in d]
+            act = (margin + length[0] - length[1] > 0)[:, None]
+            for s, v, ll, (p, q) in zip((1, -1), d, length, ends):
+                g, source = act * v / ll[:, None] * rate * s, ent[p]
+                np.add.at(ent, p, -(g * np.conj(turn)))
+                np.add.at(ent, q, g)
+                np.add.at(phase, r, -np.real(np.conj(g) * (1j * source * turn)))
+    return ent, phase
+
+
+def test_fits_take_the_plain_steps():
+    import time
+
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 300, 3000), rng.integers(0, 4, 3000), rng.integers(0, 40, 3000)], axis=1)
+    x[:900, 2] = 299  # a frequent end
+    for fit, plain in ((lp.train_translation, _plain_translation), (lp.train_rotation, _plain_rotation)):
+        for dim, margin in ((16, 1.0), (8, 0.2), (12, 0.2), (5, 6.0), (3, 0.2)):
+            for got, want in zip(fit(x.astype(np.int32), dim=dim, epochs=3, margin=margin), plain(x, dim, 3, margin=margin)):
+                assert np.allclose(got, want, rtol=0, atol=1e-12)
+    x = np.stack([rng.integers(0, 5000, 20_000), rng.integers(0, 4, 20_000), rng.integers(0, 5000, 20_000)], axis=1)
+    for fit, plain in ((lp.train_translation, _plain_translation), (lp.train_rotation, _plain_rotation)):
+        took = []
+        for f in (fit, plain) * 3:
+            began = time.thread_time()
+            f(x, 16, 1)
+            took.append(time.thread_time() - began)
+        assert min(took[::2]) < 0.75 * min(took[1::2])  # the second was the fit
+
+
+def test_each_fit_has_its_task_and_inverses_may_be_left_to_it(spark):
+    rng = random.Random(4)
+    forward = list({(run, rng.randrange(20) + (2**40) * (run == 2), rng.randrange(3), rng.randrange(20)) for run in (0, 1, 2) for _ in range(60)})
+    both = forward + [(run, t, r + 3, h) for run, h, r, t in forward]
+    pairs = [(run, "s", u, v, int(u < 5), 1, 4) for run in (0, 1, 2) for u in range(10) for v in (11, 12)]
+    frame = lambda rows: spark.createDataFrame(rows, "rerun int, h long, r long, t long")
+    p = spark.createDataFrame(pairs, "rerun int, strategy string, u long, v long, label int, r long, r_inv long")
+    options = {"translation": {"epochs": 2}, "rotation": {"epochs": 2}}
+    got = lp.score_reruns(frame(forward), p, options, inverse=3)
+    assert sorted(got.collect()) == sorted(lp.score_reruns(frame(both), p, options).collect())
+    at = got.select(F.spark_partition_id().alias("task"), "rerun", "model").distinct().collect()
+    assert len(at) == 6 == len({r.task for r in at})
+    with pytest.raises(Exception, match="overlap"):
+        lp.score_reruns(frame(forward), p, options, inverse=2).collect()
+    many = [(run, h, r, t) for run in (0, 3) for k, h, r, t in both if k == 0]  # more reruns than seeds share tasks
+    more = lp.score_reruns(frame(many), p.filter("rerun = 0").unionByName(p.filter("rerun = 0").withColumn("rerun", F.lit(3))), options).collect()
+    assert len(more) == 80 and {tuple(r)[1:] for r in more if r.rerun == 3} == {tuple(r)[1:] for r in got.collect() if r.rerun == 0}
