@@ -49,6 +49,42 @@ def test_bootstrap_of_a_group_equals_that_of_its_rows_alone(spark, monkeypatch):
     assert len(got) == 4 and got["b", 2] == tuple(rs.bootstrap(df.filter("grp = 'b' AND x = 2"), [], ["k"], resamples=40).first())
 
 
+def test_bootstrap_interval_draws_from_all_rows(spark, monkeypatch):
+    """Classes larger than the number of hashes: rows beyond it, which alone tell the classes apart, are drawn as often as others."""
+    from lattiq.functions import scores
+    from lattiq.plans import graph_queries
+
+    for module in (scores, rs):
+        monkeypatch.setattr(module, "HASHES", 101)
+    data = [(1, i, label, float(label and i >= 101)) for i in range(404) for label in (0, 1)]
+    monkeypatch.setattr(graph_queries, "_scored", lambda *a: spark.createDataFrame(data, "u long, v long, label int, score double"))
+    got = graph_queries.bootstrap_interval(spark, "").first()
+    assert got.n_valid == 1000 and got.auroc == pytest.approx(0.875, abs=0.003) and got.auroc_low < 0.865 < 0.885 < got.auroc_high
+
+
+def test_wide_draws_are_those_of_sql_and_leave_no_row_out():
+    import duckdb
+
+    from lattiq.functions.scores import wide_array
+    from lattiq.sources.kg_view import SQL_WIDE
+
+    draws, n = np.array([0, 1, 5, 1_000_003, 2_999_999, 2**31 - 1, 2**31]), 3_000_017
+    listed = f"SELECT label AS stratum, boot, draw, {n} AS n FROM (SELECT unnest({draws.tolist()}) AS draw), range(998, 1000) b(boot), range(2) l(label)"
+    got = {tuple(r[:3]): r[3] for r in duckdb.sql(SQL_WIDE(listed, "boot, draw, stratum")).fetchall()}
+    assert got == {(b, int(d), x): int(no) for b in (998, 999) for x in (0, 1) for d, no in zip(draws, wide_array(b, draws, x) % n)}
+    size = 1_000_003  # of which half is never drawn by the hashes
+    times = sum(np.bincount(wide_array(boot, np.arange(size), 1) % size, minlength=size) for boot in range(20))
+    assert times.min() > 0 or (times == 0).mean() < 1e-6
+
+
+def test_resamples_of_the_whole_hold_every_row():
+    """Two classes of 1,100,000 rows in one resample: the counted rows are as many as there are, and those beyond 1,000,003 count."""
+    n = 1_100_000
+    rows = pd.DataFrame({"label": np.repeat([0, 1], n), "no": np.tile(np.arange(n), 2), "n": n, "score": np.concatenate([np.zeros(n), np.arange(n) >= 1_000_003]), "nan": False})
+    got = rs._resampled(rows, range(2), True, 42, True)
+    assert got["auroc"].tolist() == pytest.approx([0.5 + (n - 1_000_003) / n / 2] * 2, abs=0.001)
+
+
 def test_hops_in_blocks_from_the_rarer_end(spark):
     """Two hubs of 300 links: their 90,000 pairs of neighbours are no rows, and sources in several blocks are found alike."""
     links = [(0, i) for i in range(10, 310)] + [(1, i) for i in range(1010, 1310)] + [(10, 1010), (2, 1011), (2, 3), (3, 4), (4, 5), (7, 7)]
