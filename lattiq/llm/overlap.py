@@ -5,8 +5,8 @@ may be missing or written in another way. The texts of all distinct mentions of
 the stems of names) are concatenated, in effect, into one text whose suffix array is built in range partitions: every
 suffix is a row, sorted, and the evaluation suffixes next to a training suffix, above and below it, are those with the
 longest common prefixes. Each partition is passed once in either order, and remembers one suffix. Spans from all suffixes
-of a mention are merged into its coverage, but only beside mentions within the edit distance; one that is covered enough is
-verified by the least distance and the number.
+of a mention are merged into its coverage, but only beside mentions within the edit distance, and not for endings that could
+not cover enough; one that is covered enough is verified by the least distance and the number.
 Records overlap if both mentions and the relation agree.
 """
 
@@ -84,42 +84,63 @@ def _passed(suffixes: DataFrame, order: list) -> DataFrame:
     return inner.unionByName(outer)
 
 
+def _links(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind, train, at, n, suffix): places of train texts, each with the suffixes of test texts next to it, of n equal characters; and
+    (kind, suffix, test): the test texts that end so. Of the kind "index" only whole texts are compared."""
+    texts = train.select("kind", "text", F.lit(0).alias("is_test")).unionByName(test.select("kind", "text", F.lit(1).alias("is_test")))
+    offsets = F.when(F.col("kind") == "index", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("text") - LEAST_SPAN))
+    suffixes = texts.filter(F.length("text") >= LEAST_SPAN).select("kind", "text", "is_test", F.explode(offsets).alias("at")).withColumn("suffix", F.expr("substring(text, at + 1)"))
+    up, down = ["kind", "suffix", F.col("is_test").desc(), "text"], [F.col("kind").desc(), F.col("suffix").desc(), F.col("is_test").desc(), "text"]
+    links = written(_passed(suffixes, up).unionByName(_passed(suffixes, down)).distinct())  # read again and again
+    return links, suffixes.filter("is_test = 1").select("kind", "suffix", F.col("text").alias("test")).distinct()
+
+
 def shared_spans(train: DataFrame, test: DataFrame, keep: Column | None = None) -> DataFrame:
     """(kind, train, test, at, n): spans of n characters from at in a train text that a test text shares; texts are (kind, text).
 
     Of the kind "index" only whole texts are compared. keep: a condition on the spans; others are dropped as they are found,
     since texts with a common ending are as many as those on one side times those on the other."""
-    texts = train.select("kind", "text", F.lit(0).alias("is_test")).unionByName(test.select("kind", "text", F.lit(1).alias("is_test")))
-    offsets = F.when(F.col("kind") == "index", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length("text") - LEAST_SPAN))
-    suffixes = texts.filter(F.length("text") >= LEAST_SPAN).select("kind", "text", "is_test", F.explode(offsets).alias("at")).withColumn("suffix", F.expr("substring(text, at + 1)"))
-    up, down = ["kind", "suffix", F.col("is_test").desc(), "text"], [F.col("kind").desc(), F.col("suffix").desc(), F.col("is_test").desc(), "text"]
-    links = written(_passed(suffixes, up).unionByName(_passed(suffixes, down)).distinct())  # read twice by the join
-    holders = suffixes.filter("is_test = 1").select("kind", "suffix", F.col("text").alias("test")).distinct()
+    links, holders = _links(train, test)
     spans = salted_join(links, holders, ["kind", "suffix"])
     return (spans if keep is None else spans.filter(keep)).select("kind", "train", "test", "at", "n")
 
 
+def _near_names(links: DataFrame, holders: DataFrame) -> DataFrame:
+    """(kind, train, test, edits): the nearest test texts of each train text whose spans cover enough of it.
+
+    Texts with a common ending are as many as those on one side times those on the other, so not every span makes a pair:
+    endings shorter than what must be covered can't do alone, and beside a longer one that covers enough with them a pair
+    is made by that. Only a train text that such endings cover enough together, as a repeated one may, keeps them."""
+    least, narrow = LEAST_COVERAGE * F.length("train"), F.length("train") <= BITS
+    # places of short texts are bits of a number; those of longer ones are gathered
+    bits = F.bit_count(F.bit_or(F.expr("shiftleft(shiftleft(1L, n) - 1L, at)"))).cast("int")
+    places = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)")))))
+    counted = lambda df, *by: df.filter(narrow).groupBy(*by).agg(bits.alias("covered")).unionByName(df.filter(~narrow).groupBy(*by).agg(places.alias("covered"))).filter(F.col("covered") >= least)
+    endings = links.filter(F.length("suffix") < least)
+    making = links.filter(F.length("suffix") >= least).unionByName(endings.join(counted(endings, "train"), "train", "left_semi"))
+    edits = F.levenshtein("train", "test", MOST_EDITS)
+    few = (F.abs(F.length("train") - F.length("test")) <= MOST_EDITS) & (edits >= 0) & (edits * CHARACTERS_AN_EDIT <= F.length("test"))
+    pairs = salted_join(making.select("kind", "train", "suffix").distinct(), holders, ["kind", "suffix"]).filter(few).select("kind", "train", "test").distinct()
+    own = links.groupBy("kind", "train").agg(F.collect_list(F.struct("at", "n", "suffix")).alias("own"))
+    spans = written(pairs.join(own, ["kind", "train"]).select("kind", "train", "test", F.expr("inline(filter(own, x -> endswith(test, x.suffix)))")).drop("suffix"))  # read for either length
+    names = counted(spans, "kind", "train", "test").withColumn("edits", edits)
+    return names.withColumn("least", F.min("edits").over(Window.partitionBy("kind", "train"))).filter("edits = least").select("kind", "train", "test", "edits")
+
+
 def match_texts(train: DataFrame, test: DataFrame) -> DataFrame:
     """(kind, train, test, edits) of distinct texts that are the same in all but writing.
 
     Kind "index": the texts are equal. Kind "id": the test text is the end of the train text (after a namespace). Kind "name": spans cover enough of the
     train text and the edit distance is small; the nearest test texts are kept. Empty texts match nothing.
     """
-    whole = F.expr("(kind = 'id' AND n = length(test) AND at + n = length(train)) OR (kind = 'index' AND train = test)")
-    edits = F.levenshtein("train", "test", MOST_EDITS)
-    few = (F.abs(F.length("train") - F.length("test")) <= MOST_EDITS) & (edits >= 0) & (edits * CHARACTERS_AN_EDIT <= F.length("test"))
-    spans = written(shared_spans(train, test, whole | ((F.col("kind") == "name") & few)))
-    ids = spans.filter(whole).select("kind", "train", "test", F.lit(0).alias("edits")).distinct()
-    # places of short texts are bits of a number; those of longer ones are gathered
-    named, narrow = spans.filter("kind = 'name'"), F.length("train") <= BITS
-    bits = F.bit_count(F.bit_or(F.expr("shiftleft(shiftleft(1L, n) - 1L, at)"))).cast("int")
-    places = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)")))))
-    counted = lambda df, c: df.groupBy("kind", "train", "test").agg(c.alias("covered"))
-    names = counted(named.filter(narrow), bits).unionByName(counted(named.filter(~narrow), places)).filter(F.col("covered") >= LEAST_COVERAGE * F.length("train"))
+    links, holders = _links(train, test)
+    # whole texts, and the ends of ids, are test texts themselves; a name that is one needs no search for nearer ones
+    whole = links.filter("n = length(suffix) AND at + n = length(train) AND (kind = 'id' OR at = 0)").select("kind", "train", F.col("suffix").alias("text"))
+    same = written(whole.join(test, ["kind", "text"]).select("kind", "train", F.col("text").alias("test"), F.lit(0).alias("edits")).distinct())
+    rest = links.filter("kind = 'name'").join(same.select("kind", "train"), ["kind", "train"], "left_anti")
     # texts too short for a span are compared whole
     short = train.filter(F.length("text").between(1, LEAST_SPAN - 1)).join(test.withColumnRenamed("text", "other"), (F.col("text") == F.col("other")) & (train["kind"] == test["kind"])).select(train["kind"], F.col("text").alias("train"), F.col("other").alias("test"), F.lit(0).alias("edits"))
-    best = names.withColumn("edits", edits).withColumn("least", F.min("edits").over(Window.partitionBy("kind", "train"))).filter("edits = least").select("kind", "train", "test", "edits")
-    return ids.unionByName(best).unionByName(short)
+    return same.unionByName(_near_names(rest, holders.filter("kind = 'name'"))).unionByName(short)
 
 
 def _mention(index: str, id_: str, name: str) -> Column:

@@ -35,6 +35,41 @@ def test_spans_of_texts_too_far_apart_are_not_listed(spark, rows, monkeypatch):
     assert next(t for t in listed if t.columns == ["kind", "train", "test", "at", "n"]).select("train", "test").distinct().count() < 200
 
 
+def test_names_with_an_ending_alone_are_no_pairs(spark, rows, monkeypatch):
+    """A hundred names on either side end alike: none is compared with all; an ending repeated in a name still covers it."""
+    rng = random.Random(8)
+    heads = ["".join(rng.choice("abcdefghijk") for _ in range(10)) for _ in range(100)]
+    train = [("name", f"{h}tide") for h in heads] + [("name", "tidextidetide"), ("name", f"{heads[0][:9]}x" + "mnopqrst" * 8 + "tide")]
+    test = [("name", f"{h[:3]}x{h[4:]}tide") for h in heads] + [("name", "bcdetidextide"), ("name", f"{heads[0][:9]}y" + "mnopqrst" * 8 + "tide"), *train[:10]]
+    compared, join = [], overlap.salted_join
+    monkeypatch.setattr(overlap, "salted_join", lambda *a: compared.append(join(*a)) or compared[-1])
+    kind = "kind string, text string"
+    links, holders = overlap._links(spark.createDataFrame(train, kind), spark.createDataFrame(test, kind))
+    tested = {}
+    for r in holders.collect():
+        tested.setdefault(r.suffix, set()).add(r.test)
+    covered = {}
+    for r in links.collect():
+        for t in tested[r.suffix]:
+            covered.setdefault((r.train, t), set()).update(range(r.at, r.at + r.n))
+    near = lambda a, b: overlap_edits(a, b) <= min(overlap.MOST_EDITS, len(b) // overlap.CHARACTERS_AN_EDIT)
+    close = [(overlap_edits(a, b), a, b) for (a, b), places in covered.items() if len(places) >= overlap.LEAST_COVERAGE * len(a) and near(a, b)]
+    least = {a: min(e for e, x, _ in close if x == a) for _, a, _ in close}
+    got = rows(match_texts(spark.createDataFrame(train, kind), spark.createDataFrame(test, kind)).select("train", "test", "edits"))
+    assert got == sorted((a, b, e) for e, a, b in close if e == least[a])
+    assert "tidextidetide" in least and train[-1][1] in least and least[train[0][1]] == 0
+    assert sum(df.count() for df in compared) < 3000
+
+
+def overlap_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_ids_need_their_whole_text(spark, rows):
     train = spark.createDataFrame([("id", "drugbankdb00000717"), ("id", "db00000718"), ("name", "db00000717")], "kind string, text string")
     test = spark.createDataFrame([("id", "db00000717")], "kind string, text string")
